@@ -339,7 +339,7 @@ def day_index(spark, folder):
 def _weighted(col):
     """Sum of array entries weighted by their place, so a wrong order shows."""
     weighted = F.transform(col, lambda v, i: v * (i + 1))
-    return half_even(F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v), 4)
+    return half_even(F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v), 6)
 
 
 def _summary(samples):
@@ -378,8 +378,8 @@ def _window_sql(past_days, plan, blank=None, source=None):
     )
     size = blank if blank is not None else past_days * 24 * nh
     return head + f"""select s.plant_id, s.date, s.sample_idx, s.n_samples, cast({size} as bigint) as hist_size,
-  cast({24 * nf} as bigint) as fcst_size, cast(round_even({hist_sum}, 4) + 0.0 as double) as hist_sum,
-  cast(round_even(sum({fcst_terms}), 4) + 0.0 as double) as fcst_sum, round_even(sum(y.y_true * (y."Hour" + 1)), 4) as y_sum
+  cast({24 * nf} as bigint) as fcst_size, cast(round_even({hist_sum}, 6) + 0.0 as double) as hist_sum,
+  cast(round_even(sum({fcst_terms}), 6) + 0.0 as double) as fcst_sum, round_even(sum(y.y_true * (y."Hour" + 1)), 6) as y_sum
   from samples s join scaled y on y.plant_id = s.plant_id and y.date = s.date
   group by s.plant_id, s.date, s.day_pos, s.sample_idx, s.n_samples"""
 
@@ -425,9 +425,9 @@ def _sliding_sql(past, future, plan, source):
     count(*) over (partition by plant_id) as n from scaled)
 select s.plant_id, s.date, s.pos - {past} as sample_idx, s.n - {past + future} + 1 as n_samples, max(x.dt) as end_dt,
   cast({past * nh} as bigint) as hist_size, cast({future * nf} as bigint) as fcst_size,
-  round_even(sum(case when x.pos < s.pos then {hist_terms} else 0.0 end), 4) + 0.0 as hist_sum,
-  round_even(sum(case when x.pos >= s.pos then {fcst_terms} else 0.0 end), 4) + 0.0 as fcst_sum,
-  round_even(sum(case when x.pos >= s.pos then x.y_true * (x.pos - s.pos + 1) else 0.0 end), 4) as y_sum
+  round_even(sum(case when x.pos < s.pos then {hist_terms} else 0.0 end), 6) + 0.0 as hist_sum,
+  round_even(sum(case when x.pos >= s.pos then {fcst_terms} else 0.0 end), 6) + 0.0 as fcst_sum,
+  round_even(sum(case when x.pos >= s.pos then x.y_true * (x.pos - s.pos + 1) else 0.0 end), 6) as y_sum
 from placed s join placed x on x.plant_id = s.plant_id and x.pos between s.pos - {past} and s.pos + {future} - 1
 where s.pos >= {past} and s.pos + {future} <= s.n
 group by s.plant_id, s.date, s.pos, s.n"""

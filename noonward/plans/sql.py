@@ -48,7 +48,7 @@ GAPPY = """gappy as (
   select cast(user_id // 50 as varchar) as plant_id, cast(ts as date) as date, cast(hour(ts) as int) as "Hour",
          cast(cast(ts as date) as timestamp) + hour(ts) * interval 1 hour as dt,
          month(cast(ts as date)) as "Month",
-         least(round(avg(value), 4), 100.0) as capacity_factor, cast(count(*) as double) as load
+         least(sum(cast(round(value * 100) as bigint)) / (cast(count(*) as double) * 100), 100.0) as capacity_factor, cast(count(*) as double) as load
   from events group by cast(user_id // 50 as varchar), cast(ts as date), hour(ts))"""
 
 TIME = {
@@ -159,3 +159,75 @@ flat as (
   select {keys}, round_even({R2}, 4) as r2, {NRMSE} as flat_nrmse, {RANGE} as range_true, count(*) as samples
   from {source} group by {keys}),
 daily as (select * from averaged join flat using ({keys}))"""
+
+
+PLANTS = """plants as (
+  select cast(s_suppkey as varchar) as plant_id, 'Project ' || s_suppkey as plant_name,
+         case when s_suppkey % 10 <> 9 then 'data\\Project' || s_suppkey || '.csv' end as data_path,
+         case when s_suppkey % 4 = 1 then '2023-01-01' end as start_date,
+         case when s_suppkey % 4 = 2 then '2024-06-30' end as end_date,
+         case when s_suppkey % 5 = 1 then cast(0.6 as double) end as train_ratio,
+         case when s_suppkey % 6 = 1 then false when s_suppkey % 6 = 2 then true end as shuffle_split,
+         case when s_suppkey % 7 = 3 then 'high_weather' end as weather_category,
+         cast(floor(abs(s_acctbal)) as bigint) as size
+  from supplier)"""
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join(
+        "(" + ", ".join("null" if v is None else str(v).lower() if isinstance(v, bool) else repr(v) for v in row) + ")"
+        for row in rows
+    )
+
+
+_LEVELS = [(m, c) for m in K.DEEP_MODELS + K.TREE_MODELS for c in K.GRID_COMPLEXITIES] + [("Linear", None)]
+_CHOICES = [(s, h, *K.SCENARIOS[s]) for s in K.POWER_SCENARIOS for h in K.GRID_LOOKBACKS] + [
+    (s, 0, *K.SCENARIOS[s]) for s in K.FORECAST_ONLY_SCENARIOS
+]
+
+GRID = f"""{PLANTS},
+grid as (
+  select p.plant_id, p.size, m.model, m.complexity, f.scenario, f.lookback_hours, f.use_pv, f.use_hist_weather,
+         f.use_forecast, f.use_ideal_nwp, t.use_time_encoding, f.lookback_hours // 24 as past_days,
+         f.lookback_hours = 0 as no_hist_power,
+         m.model || coalesce('_' || m.complexity, '') || '_' || f.scenario
+           || case when f.lookback_hours > 0 then '_' || f.lookback_hours || 'h' else '' end
+           || case when t.use_time_encoding then '_TE' else '_noTE' end as experiment_name
+  from plants p,
+       (values {_values(_LEVELS)}) m(model, complexity),
+       (values {_values(_CHOICES)}) f(scenario, lookback_hours, use_pv, use_hist_weather, use_forecast, use_ideal_nwp),
+       (values (true), (false)) t(use_time_encoding)
+  where m.model <> 'Linear' or f.lookback_hours = 0)"""
+
+RESULTS = f"""{GRID},
+marked as (
+  select *, cast(plant_id as bigint) as key, length(experiment_name) as n,
+    (length(experiment_name) * 37 + size * 13 + cast(plant_id as bigint) * 7 + lookback_hours * 3) % 4001 as mix from grid),
+stated as (
+  select *, case when key % 3 = 0 then 'SUCCESS' when key % 3 = 1 and (n + key) % 3 = 0 then 'SUCCESS'
+    when key % 3 = 1 and (n + key) % 7 = 0 then 'FAILED' end as status from marked),
+scored as (
+  select *, case when status = 'SUCCESS' then 2 + mix / cast(977 as double) end as mae from stated where status is not null),
+results as (
+  select * exclude (key, n, mix, size), mae * (1 + (mix % 89) / cast(211 as double)) as rmse,
+    case when status = 'SUCCESS' then 1 - (mix % 787) / cast(991 as double) end as r2,
+    case when status = 'SUCCESS' then (mix % 503) / cast(7 as double) else 0 end as train_time_sec,
+    case when status = 'SUCCESS' then 24 * (mix % 50 + 1) else 0 end as test_samples,
+    case when status = 'SUCCESS' then mix % 20 else 0 end as best_epoch,
+    case when status = 'SUCCESS' then n * 3 else 0 end as param_count,
+    case when status <> 'SUCCESS' then 'no valid samples' end as error,
+    mae * (1 + (mix % 89) / cast(211 as double)) / cast(53 as double) as nrmse
+  from scored)"""
+
+LOSSES = """losses as (
+  select cast(p_partkey // 400 as varchar) as plant_id, 'run_' || (p_partkey // 40) as experiment_name,
+    cast(p_partkey % 40 + 1 as int) as epoch,
+    ((p_partkey * 7919) % 1009) / cast(1009 as double) / (p_partkey % 40 + 1) as train_loss,
+    ((p_partkey * 104729) % 997) / cast(997 as double) / (1 + (p_partkey % 40) / cast(8 as double)) as val_loss,
+    p_size / cast(10 as double) as epoch_time from part)"""
+
+
+def mean_std(metrics: list[str]) -> str:
+    return ", ".join(
+        f"round_even(avg({m}), 2) as {m}_mean, round_even(stddev_samp({m}), 2) as {m}_std" for m in metrics
+    )
