@@ -140,7 +140,7 @@ def model_family(col="model") -> Column:
 
 def mean_and_spread(mean, spread) -> Column:
     """'m.mm±s.ss', or 'm.mm' where the spread is missing."""
-    text = lambda c: F.format_number(F.col(c), "0.00")
+    text = lambda c: F.call_function("format_number", F.col(c), F.lit("0.00"))
     return F.when(F.col(spread).isNotNull(), F.concat(text(mean), F.lit("±"), text(spread))).otherwise(text(mean))
 
 

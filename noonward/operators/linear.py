@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 KEY = ["plant_id", "experiment_name"]
 FIT_SCHEMA = (
     "plant_id string, experiment_name string, sample_idx long, date date, y_true array<double>, "
-    "y_pred array<double>, param_count int, train_time_sec double, error string"
+    "y_pred array<double>, lo double, hi double, param_count int, train_time_sec double, error string"
 )
-_INPUT = [*KEY, "part", "sample_idx", "date", "features", "y", "y_true"]
+_CARRIED = [*KEY, "sample_idx", "date", "y_true", "lo", "hi"]
+_INPUT = [*_CARRIED, "part", "features", "y"]
+_OUTPUT = [f.split()[0] for f in FIT_SCHEMA.split(", ")]
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -31,15 +33,11 @@ def _fit_group(rows: pd.DataFrame) -> pd.DataFrame:
         x_mean, y_mean = x.mean(axis=0), y.mean(axis=0)
         weights = np.linalg.lstsq(x - x_mean, y - y_mean, rcond=None)[0]
         guess = (_matrix(test["features"]) - x_mean) @ weights + y_mean
-    except (ValueError, np.linalg.LinAlgError) as problem:
-        first = rows.iloc[0]
-        return pd.DataFrame(
-            [{**{k: first[k] for k in KEY}, "sample_idx": None, "date": None, "y_true": None, "y_pred": None,
-              "param_count": 0, "train_time_sec": 0.0, "error": str(problem)}]
-        )
-    return test[[*KEY, "sample_idx", "date", "y_true"]].assign(
-        y_pred=list(guess), param_count=x.shape[1], train_time_sec=time.perf_counter() - started, error=None
-    )
+    except Exception as problem:  # becomes a failed result
+        blank = dict.fromkeys(_CARRIED) | {k: rows.iloc[0][k] for k in KEY}
+        return pd.DataFrame([blank]).assign(y_pred=None, param_count=0, train_time_sec=0.0, error=str(problem))[_OUTPUT]
+    spent = time.perf_counter() - started
+    return test[_CARRIED].assign(y_pred=list(guess), param_count=x.shape[1], train_time_sec=spent, error=None)[_OUTPUT]
 
 
 def fit_daily(samples: DataFrame) -> DataFrame:
@@ -103,13 +101,10 @@ def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = _matrix(rows["features"])
             weights = np.asarray(rows["weights"].iloc[0]).reshape(x.shape[1] + 1, -1)
             guess = x @ weights[1:] + weights[0]
-            out.append(
-                rows[[*KEY, "sample_idx", "date", "y_true", "param_count", "train_time_sec"]].assign(
-                    y_pred=list(guess), error=None
-                )
-            )
+            known = rows[[*_CARRIED, "param_count", "train_time_sec"]]
+            out.append(known.assign(y_pred=list(guess), error=None)[_OUTPUT])
         if out:
-            yield pd.concat(out)[[f.split()[0] for f in FIT_SCHEMA.split(", ")]]
+            yield pd.concat(out)
 
 
 def fit_hourly(samples: DataFrame) -> DataFrame:

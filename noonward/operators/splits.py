@@ -37,19 +37,6 @@ def shuffled_rank(samples: DataFrame, seed: int = K.RANDOM_SEED, out: str = "ran
     return rank_by_bucket(keyed, F.substring("_key", 1, 2), "_key", out=out).drop("_key")
 
 
-def split_samples(
-    samples: DataFrame,
-    shuffle: bool,
-    train: float = K.TRAIN_RATIO,
-    val: float = K.VAL_RATIO,
-    seed: int = K.RANDOM_SEED,
-) -> DataFrame:
-    """Add `part`; samples need sample_idx and n_samples."""
-    if not shuffle:
-        return samples.withColumn("part", part_of("sample_idx", "n_samples", train, val))
-    return shuffled_rank(samples, seed, "_rank").withColumn("part", part_of("_rank", "n_samples", train, val)).drop("_rank")
-
-
 def daily_part(
     shuffle: bool,
     train: float = K.TRAIN_RATIO,
@@ -68,3 +55,26 @@ def daily_part(
         return numbered.withColumn(out, part).drop("_rank")
 
     return add
+
+
+def hourly_part(
+    shuffle: bool,
+    train: float = K.TRAIN_RATIO,
+    val: float = K.VAL_RATIO,
+    seed: int = K.RANDOM_SEED,
+    out: str = "part",
+):
+    """A step that adds the part to hourly rows, each the start of a sliding sample.
+
+    It runs before the samples are put together, so only single rows are moved.
+    """
+
+    def add(rows: DataFrame) -> DataFrame:
+        if not shuffle:
+            return rows.withColumn(out, part_of("sample_idx", "n_samples", train, val))
+        numbers = rows.filter("sample_idx is not null").select("plant_id", "pos", "sample_idx", "n_samples")
+        ranked = shuffled_rank(numbers, seed, "_rank")
+        parts = ranked.select("plant_id", "pos", part_of("_rank", "n_samples", train, val).alias(out))
+        return rows.join(parts, ["plant_id", "pos"], "left")
+
+    return add

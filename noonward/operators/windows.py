@@ -88,28 +88,40 @@ def daily_samples(
     return samples.select(*T.DAY, "sample_idx", "n_samples", *added, "x_hist", "x_fcst", "y_true", _LO, _HI)
 
 
-def sliding_samples(prepared: Prepared, past_hours: int, future_hours: int = 24, scaled: bool = True) -> DataFrame:
+def sliding_samples(
+    prepared: Prepared,
+    past_hours: int,
+    future_hours: int = 24,
+    scaled: bool = True,
+    split: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """One sample per row position with past_hours rows before it and future_hours rows from it on.
 
-    Positions count rows, so a sample may span a gap in time. `end_dt` is the last hour predicted.
+    Positions count rows, so a sample may span a gap in time. `end_dt` is the last hour predicted;
+    `split` may add columns to the rows a sample starts at (see splits.hourly_part).
     """
     plan = prepared.plan
     columns = list(dict.fromkeys([*plan.all_columns, K.TARGET]))
     bounds = [f"{side}_{c}" for c in columns for side in ("lo", "hi")]
     placed = T.add_position(prepared.hours, prepared.spine, *bounds)
     with_history = bool(plan.hist) and not plan.forecast_only
+    is_start = (F.col("pos") >= past_hours) & (F.col("pos") + future_hours <= F.col("plant_rows"))
     rows = placed.select(
         T.PLANT,
         "dt",
         "Hour",
         "pos",
-        "plant_rows",
+        F.when(is_start, F.col("pos") - past_hours).alias("sample_idx"),
+        (F.col("plant_rows") - past_hours - future_hours + 1).alias("n_samples"),
         _LO,
         _HI,
         _columns(plan.hist if with_history else [], scaled).alias("h"),
         _columns(plan.fcst, scaled).alias("f"),
         F.col(K.TARGET).cast("double").alias("t"),
     )
+    known = set(rows.columns)
+    rows = split(rows) if split else rows
+    added = [c for c in rows.columns if c not in known]
     size = max(T.HOURS_PER_BLOCK, past_hours + future_hours)
     spread = T.spread_to_blocks(rows, "pos", past_hours, future_hours - 1, size)
     w = T.block_window("pos")
@@ -120,12 +132,13 @@ def sliding_samples(prepared: Prepared, past_hours: int, future_hours: int = 24,
         spread.withColumn("x_hist", history)
         .withColumn("_ahead", F.collect_list(F.struct("Hour", "f", "t", "dt")).over(ahead))
         .filter("in_own_block")
-        .filter((F.col("pos") >= past_hours) & (F.col("pos") + future_hours <= F.col("plant_rows")))
+        .filter(F.col("sample_idx").isNotNull())
         .select(
             T.PLANT,
             F.col("dt").cast("date").alias("date"),
-            (F.col("pos") - past_hours).alias("sample_idx"),
-            (F.col("plant_rows") - past_hours - future_hours + 1).alias("n_samples"),
+            "sample_idx",
+            "n_samples",
+            *added,
             "x_hist",
             F.transform("_ahead", lambda x: x["f"]).alias("x_fcst"),
             F.transform("_ahead", lambda x: x["t"]).alias("y_true"),

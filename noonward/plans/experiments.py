@@ -13,8 +13,8 @@ from noonward.functions.columns import clip_percent, half_even
 from noonward.operators import windows as W
 from noonward.operators.evaluate import experiment_metrics, long_forecasts
 from noonward.operators.linear import KEY, fit_daily, fit_hourly
-from noonward.operators.prepare import plan_features, prepare
-from noonward.operators.splits import daily_part, split_samples
+from noonward.operators.prepare import plan_features, prepare, unscale
+from noonward.operators.splits import daily_part, hourly_part
 from noonward.operators.trees import fit_trees
 from noonward.plans.grid import tree_params
 from noonward.session import cut_lineage
@@ -81,8 +81,8 @@ def samples_of(hours: DataFrame, e: Experiment) -> DataFrame:
     plan = plan_features(e.scenario, e.weather_category, e.time_encoding, hours.columns)
     prepared = prepare(hours, plan, e.start, e.end)
     if e.sliding:
-        windows = W.sliding_samples(prepared, e.lookback_hours)
-        samples = split_samples(windows, e.shuffle, e.train_ratio, e.val_ratio, e.seed)
+        split = hourly_part(e.shuffle, e.train_ratio, e.val_ratio, e.seed)
+        samples = W.sliding_samples(prepared, e.lookback_hours, split=split)
     else:
         split = daily_part(e.shuffle, e.train_ratio, e.val_ratio, e.seed)
         samples = W.daily_samples(prepared, e.lookback_hours, split=split)
@@ -95,17 +95,16 @@ def samples_of(hours: DataFrame, e: Experiment) -> DataFrame:
         W.flatten_sample().alias("features"),
         W.scaled_target().alias("y"),
         "y_true",
-        f"lo_{K.TARGET}",
-        f"hi_{K.TARGET}",
+        F.col(f"lo_{K.TARGET}").alias("lo"),
+        F.col(f"hi_{K.TARGET}").alias("hi"),
     )
 
 
-def _with_bounds(fit: DataFrame, samples: DataFrame) -> DataFrame:
-    """Bring the forecasts back to percent by the plant's extremes, one short row per plant."""
-    lo, hi = f"lo_{K.TARGET}", f"hi_{K.TARGET}"
-    bounds = samples.groupBy(*KEY).agg(F.first(lo).alias("_lo"), F.first(hi).alias("_hi"))
-    scaled_back = F.transform("y_pred", lambda p: clip_percent(p * (F.col("_hi") - F.col("_lo")) + F.col("_lo")))
-    return fit.join(bounds, KEY, "left").withColumn("y_pred", scaled_back).drop("_lo", "_hi")
+def _in_percent(fit: DataFrame) -> DataFrame:
+    """Bring forecasts back by the plant's extremes and keep them within 0 and 100."""
+    lo, hi = F.col("lo"), F.col("hi")
+    restored = F.transform("y_pred", lambda p: clip_percent(unscale(p, lo, hi)))
+    return fit.withColumn("y_pred", restored).drop("lo", "hi")
 
 
 def _fit(hours: DataFrame, experiments: list[Experiment]) -> Iterable[DataFrame]:
@@ -114,25 +113,26 @@ def _fit(hours: DataFrame, experiments: list[Experiment]) -> Iterable[DataFrame]
         chosen = [samples_of(hours, e) for e in linear if e.sliding == sliding]
         if chosen:
             samples = reduce(DataFrame.unionByName, chosen)
-            yield _with_bounds(fit(samples), samples)
+            yield _in_percent(fit(samples))
     for e in experiments:
         if e.model in K.TREE_MODELS:
             started = time.perf_counter()
             samples = cut_lineage(samples_of(hours, e))
             fit, _ = fit_trees(samples, e.model, tree_params(e.complexity or "high"))
             spent = time.perf_counter() - started
-            yield _with_bounds(
+            yield _in_percent(
                 fit.select(
                     *KEY,
                     "sample_idx",
                     "date",
                     "y_true",
                     "y_pred",
+                    "lo",
+                    "hi",
                     F.size("features").alias("param_count"),
                     F.lit(spent).alias("train_time_sec"),
                     F.lit(None).cast("string").alias("error"),
-                ),
-                samples,
+                )
             )
         elif e.model != K.LINEAR_MODEL:
             raise ValueError(f"no trainer for model: {e.model}")

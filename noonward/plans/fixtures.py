@@ -168,3 +168,54 @@ def forecasts(spark: SparkSession, folder: str) -> DataFrame:
         long = long_forecasts(labelled, mean_of_past_days(days), "model", "experiment_name", "n_samples")
         made = long if made is None else made.unionByName(long)
     return made
+
+
+def tier_forecasts(spark: SparkSession, folder: str) -> DataFrame:
+    """A stand-in model per weather tier: the mean of the tier's scaled forecasts, in percent."""
+    from noonward.functions.columns import clip_percent
+    from noonward.operators import timeline as T
+    from noonward.operators.prepare import plan_features, prepare, scaled_hours, unscale
+
+    prepared = prepare(dense_hours(spark, folder), plan_features("NWP", "all_weather", time_encoding=False))
+    lo, hi = f"lo_{K.TARGET}", f"hi_{K.TARGET}"
+    numbered = T.number_samples(prepared.spine, 0, need_history=False).filter("sample_idx is not null")
+    rows = scaled_hours(prepared).join(numbered.select(*T.DAY, "sample_idx", lo, hi), T.DAY)
+    guess = lambda names: sum((F.col(w + K.FORECAST_SUFFIX) for w in names), F.lit(0.0)) / len(names)
+    tiers = [
+        F.struct(F.lit(t).alias("feature_tier"), guess(K.WEATHER_CATEGORIES[c]).alias("scaled"))
+        for t, c in K.FEATURE_TIERS.items()
+    ]
+    return rows.select(
+        "plant_id",
+        "sample_idx",
+        F.col("Hour").alias("horizon"),
+        unscale(F.col(K.TARGET), F.col(lo), F.col(hi)).alias("y_true"),
+        lo,
+        hi,
+        F.explode(F.array(*tiers)).alias("t"),
+    ).select(
+        "plant_id",
+        F.lit("blend").alias("model"),
+        "t.feature_tier",
+        "sample_idx",
+        "horizon",
+        "y_true",
+        clip_percent(unscale(F.col("t.scaled"), F.col(lo), F.col(hi))).alias("y_pred"),
+    )
+
+
+def target_days(spark: SparkSession, folder: str, past_days: int = 1) -> DataFrame:
+    """Truth per plant, sample and hour ahead, with the sample's number."""
+    from noonward.operators.evaluate import long_forecasts
+    from noonward.operators.prepare import FeaturePlan, prepare
+    from noonward.operators.windows import daily_samples
+
+    prepared = prepare(dense_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
+    samples = daily_samples(prepared, 24 * past_days, scaled=False)
+    return long_forecasts(samples, "y_true", "n_samples").drop("y_pred")
+
+
+def hourly_means(days: DataFrame, *keys: str) -> DataFrame:
+    """Stand-in model: each hour's mean over the training part, for the test part."""
+    mean = days.filter("part = 'train'").groupBy("plant_id", *keys, "horizon").agg(F.avg("y_true").alias("y_pred"))
+    return days.filter("part = 'test'").join(mean, ["plant_id", *keys, "horizon"])
