@@ -11,24 +11,25 @@ from pyspark.sql import functions as F
 from noonward.functions.columns import absent_if_nan, half_even
 
 
-def _pair(truth, guess) -> tuple[Column, Column]:
+def valid_pair(truth, guess) -> tuple[Column, Column]:
+    """Both sides, emptied where either is missing."""
     t, g = absent_if_nan(truth), absent_if_nan(guess)
     both = t.isNotNull() & g.isNotNull()
     return F.when(both, t), F.when(both, g)
 
 
 def pairs(truth="y_true", guess="y_pred") -> Column:
-    t, _ = _pair(truth, guess)
+    t, _ = valid_pair(truth, guess)
     return F.count(t)
 
 
 def mae(truth="y_true", guess="y_pred") -> Column:
-    t, g = _pair(truth, guess)
+    t, g = valid_pair(truth, guess)
     return F.avg(F.abs(t - g))
 
 
 def mse(truth="y_true", guess="y_pred") -> Column:
-    t, g = _pair(truth, guess)
+    t, g = valid_pair(truth, guess)
     return F.avg((t - g) * (t - g))
 
 
@@ -37,7 +38,7 @@ def rmse(truth="y_true", guess="y_pred") -> Column:
 
 
 def value_range(truth="y_true", guess="y_pred") -> Column:
-    t, _ = _pair(truth, guess)
+    t, _ = valid_pair(truth, guess)
     return F.max(t) - F.min(t)
 
 
@@ -53,7 +54,7 @@ def nrmse_or_inf(truth="y_true", guess="y_pred") -> Column:
 
 
 def _squares(truth, guess) -> tuple[Column, Column]:
-    t, g = _pair(truth, guess)
+    t, g = valid_pair(truth, guess)
     return F.sum((t - g) * (t - g)), F.var_pop(t) * F.count(t)
 
 
@@ -75,7 +76,7 @@ def r2_or_zero(truth="y_true", guess="y_pred") -> Column:
 
 def smape(truth="y_true", guess="y_pred") -> Column:
     """Mean of 2|t-g| / (|t|+|g|) over pairs with a positive side."""
-    t, g = _pair(truth, guess)
+    t, g = valid_pair(truth, guess)
     size = F.abs(t) + F.abs(g)
     return F.avg(F.when((t > 0) | (g > 0), 2 * F.abs(t - g) / F.nullif(size, F.lit(0.0))))
 

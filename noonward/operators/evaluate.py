@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noonward import constants as K
-from noonward.functions import metrics as M
+from noonward.functions.metrics import valid_pair
 from noonward.functions.columns import half_even
 
 
@@ -51,7 +51,7 @@ def daily_metrics(forecasts: DataFrame, *keys: str) -> DataFrame:
     Sums are taken per day first and rolled up from there, so the pairs are read once. R2 comes from
     the day moments: the total spread is the spread within days plus that between day means.
     """
-    t, g = M._pair("y_true", "y_pred")
+    t, g = valid_pair("y_true", "y_pred")
     per_day = forecasts.groupBy(*keys, "sample_idx").agg(
         F.count(t).alias("_n"),
         F.avg(F.abs(t - g)).alias("_mae"),
@@ -86,6 +86,7 @@ def daily_metrics(forecasts: DataFrame, *keys: str) -> DataFrame:
         "n_days",
         "samples",
         "range_true",
+        F.sqrt(F.col("_res") / F.col("samples")).alias("flat_rmse"),
     )
 
 
@@ -101,11 +102,12 @@ def experiment_metrics(forecasts: DataFrame, *keys: str) -> DataFrame:
 
 
 def study_daily_metrics(forecasts: DataFrame, *keys: str) -> DataFrame:
-    """Daily MAE, RMSE and R2 with the flat normalised RMSE, per study row."""
-    daily = daily_metrics(forecasts, *keys).select(*keys, "mae", "rmse", "r2", F.col("samples").alias("test_samples"))
-    flat = forecasts.groupBy(*keys).agg(M.nrmse_or_inf().alias("nrmse"))
-    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
-    return daily.alias("d").join(flat.alias("f"), same).select("d.*", "f.nrmse")
+    """Daily MAE, RMSE and R2 with the flat RMSE over the range of the truth, per study row."""
+    spread = F.col("range_true")
+    nrmse = F.when(spread == 0, F.lit(float("inf"))).otherwise(F.col("flat_rmse") / F.nullif(spread, F.lit(0.0)))
+    return daily_metrics(forecasts, *keys).select(
+        *keys, "mae", "rmse", "r2", F.col("samples").alias("test_samples"), nrmse.alias("nrmse")
+    )
 
 
 def hours_ahead(forecasts: DataFrame, horizons: list[int] = K.MULTI_HORIZONS) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noonward import constants as K
-from noonward.functions.columns import cyclic
-from noonward.operators.timeline import DAY, day_spine, previous_value
+from noonward.functions.columns import all_present, cyclic
+from noonward.operators.timeline import DAY, previous_value, spine_of, summarize_days
 
 
 @dataclass(frozen=True)
@@ -104,17 +104,28 @@ def prepare(
     start: str | None = K.DEFAULT_START,
     end: str | None = K.DEFAULT_END,
 ) -> Prepared:
-    """Filter, encode, lag and clean hourly rows."""
+    """Filter, encode, lag and clean hourly rows.
+
+    The spine is summed up from the rows as they are read, 24 to 1 before any shuffle. Only the
+    extremes of the lagged target need rows in order; that pass carries four short columns.
+    """
     rows = keep_dated(hours, start, end)
     features = plan.all_columns
     if any(c in features for c in K.TIME_FEATURES):
         rows = encode_time(rows)
-    if K.LAG_FEATURE in features:
-        rows = previous_value(rows, K.TARGET, K.LAG_FEATURE)
-    needed = [c for c in features if c not in ("Hour", K.TARGET)]
-    rows = clean_features(rows.select(*DAY, "dt", "Hour", K.TARGET, *needed), plan)
-    spine = day_spine(rows, dict.fromkeys([*features, K.TARGET]), plan.hist, [*plan.fcst, K.TARGET])
-    return Prepared(rows, spine, plan)
+    own = [c for c in features if c not in ("Hour", K.TARGET, K.LAG_FEATURE)]
+    rows = rows.select(*DAY, "dt", "Hour", K.TARGET, *own)
+    without_lag = FeaturePlan([c for c in plan.hist if c != K.LAG_FEATURE], plan.fcst, plan.forecast_only)
+    to_scale = dict.fromkeys([*(c for c in features if c != K.LAG_FEATURE), K.TARGET])
+    days = summarize_days(clean_features(rows, without_lag), to_scale)
+    if K.LAG_FEATURE not in features:
+        return Prepared(clean_features(rows, plan), spine_of(days), plan)
+    marked = rows.withColumn("_kept", all_present([*plan.fcst, K.TARGET]))
+    lagged = previous_value(marked, K.TARGET, K.LAG_FEATURE).filter("_kept").drop("_kept")
+    filled = clean_features(lagged, plan)
+    lags = summarize_days(filled.select(*DAY, K.LAG_FEATURE), [K.LAG_FEATURE], required=[])
+    extremes = lags.select(*DAY, f"lo_{K.LAG_FEATURE}", f"hi_{K.LAG_FEATURE}")
+    return Prepared(filled, spine_of(days.join(extremes, DAY)), plan)
 
 
 def scaler_table(rows: DataFrame, features: list[str]) -> DataFrame:

@@ -43,40 +43,55 @@ def previous_value(hours: DataFrame, value: str, out: str) -> DataFrame:
     )
 
 
-def day_spine(
+def summarize_days(
     hours: DataFrame,
     scaled: Iterable[str] = (),
     hist: Iterable[str] = (),
     required: Iterable[str] = (K.TARGET,),
 ) -> DataFrame:
-    """One row per plant and present day.
-
-    day_pos counts present days from 0, row_offset the rows before the day, plant_rows all rows;
-    complete tells whether the day has 24 rows, hist_ok and required_ok whether those columns are
-    filled throughout; lo_<c> and hi_<c> are the plant's extremes of each scaled column.
-    """
+    """Rows, filled columns and extremes of each plant and present day; combined before the shuffle."""
     scaled = list(scaled)
-    per_day = hours.groupBy(*DAY).agg(
+    return hours.groupBy(*DAY).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.bool_and(all_present(list(hist))).alias("hist_ok"),
         F.bool_and(all_present(list(required))).alias("required_ok"),
         *[F.min(c).alias(f"lo_{c}") for c in scaled],
         *[F.max(c).alias(f"hi_{c}") for c in scaled],
     )
-    return per_day.select(
+
+
+def spine_of(days: DataFrame) -> DataFrame:
+    """One row per plant and present day.
+
+    day_pos counts present days from 0, row_offset the rows before the day, plant_rows all rows;
+    complete tells whether the day has 24 rows, hist_ok and required_ok whether those columns are
+    filled throughout; lo_<c> and hi_<c> become the plant's extremes of each scaled column.
+    """
+    by_date = _by_date()
+    earlier = by_date.rowsBetween(Window.unboundedPreceding, -1)
+    return days.select(
         *DAY,
         "n_rows",
         (F.col("n_rows") == K.HOURS_PER_DAY).alias("complete"),
         "hist_ok",
         "required_ok",
-        (F.row_number().over(_by_date()) - 1).cast("long").alias("day_pos"),
-        F.coalesce(F.sum("n_rows").over(_by_date().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("row_offset"),
+        (F.row_number().over(by_date) - 1).cast("long").alias("day_pos"),
+        F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)).cast("long").alias("row_offset"),
         F.sum("n_rows").over(_whole()).alias("plant_rows"),
-        *[F.min(f"lo_{c}").over(_whole()).alias(f"lo_{c}") for c in scaled],
-        *[F.max(f"hi_{c}").over(_whole()).alias(f"hi_{c}") for c in scaled],
+        *[F.min(c).over(_whole()).alias(c) for c in days.columns if c.startswith("lo_")],
+        *[F.max(c).over(_whole()).alias(c) for c in days.columns if c.startswith("hi_")],
     )
 
 
+def day_spine(
+    hours: DataFrame,
+    scaled: Iterable[str] = (),
+    hist: Iterable[str] = (),
+    required: Iterable[str] = (K.TARGET,),
+) -> DataFrame:
+    return spine_of(summarize_days(hours, scaled, hist, required))
+
+
 def number_samples(spine: DataFrame, past_days: int, need_history: bool = True) -> DataFrame:
     """Add sample_idx (empty where the day is no sample) and n_samples to the spine.
 

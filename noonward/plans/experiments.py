@@ -41,6 +41,14 @@ class Experiment:
     name: str = ""
     tags: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def sample_key(self) -> tuple:
+        """Experiments with the same key have the same samples."""
+        return (
+            self.scenario, self.lookback_hours, self.time_encoding, self.weather_category, self.shuffle, self.seed,
+            self.train_ratio, self.val_ratio, self.sliding, self.start, self.end,
+        )
+
     @property
     def experiment_name(self) -> str:
         if self.name:
@@ -88,7 +96,6 @@ def samples_of(hours: DataFrame, e: Experiment) -> DataFrame:
         samples = W.daily_samples(prepared, e.lookback_hours, split=split)
     return samples.select(
         "plant_id",
-        F.lit(e.experiment_name).alias("experiment_name"),
         "sample_idx",
         "date",
         "part",
@@ -107,35 +114,48 @@ def _in_percent(fit: DataFrame) -> DataFrame:
     return fit.withColumn("y_pred", restored).drop("lo", "hi")
 
 
+def _named(samples: DataFrame, e: Experiment) -> DataFrame:
+    return samples.withColumn("experiment_name", F.lit(e.experiment_name))
+
+
+def _fit_trees(samples: DataFrame, e: Experiment) -> DataFrame:
+    started = time.perf_counter()
+    fit, _ = fit_trees(samples, e.model, tree_params(e.complexity or "high"))
+    spent = time.perf_counter() - started
+    return _named(fit, e).select(
+        *KEY,
+        "sample_idx",
+        "date",
+        "y_true",
+        "y_pred",
+        "lo",
+        "hi",
+        F.size("features").alias("param_count"),
+        F.lit(spent).alias("train_time_sec"),
+        F.lit(None).cast("string").alias("error"),
+    )
+
+
 def _fit(hours: DataFrame, experiments: list[Experiment]) -> Iterable[DataFrame]:
-    linear = [e for e in experiments if e.model == K.LINEAR_MODEL]
-    for sliding, fit in ((False, fit_daily), (True, fit_hourly)):
-        chosen = [samples_of(hours, e) for e in linear if e.sliding == sliding]
-        if chosen:
-            samples = reduce(DataFrame.unionByName, chosen)
-            yield _in_percent(fit(samples))
+    """Fits of all experiments; samples used by several tree fits are built once and checkpointed."""
+    by_key: dict[tuple, list[Experiment]] = {}
+    linear: dict[bool, list[DataFrame]] = {False: [], True: []}
     for e in experiments:
-        if e.model in K.TREE_MODELS:
-            started = time.perf_counter()
-            samples = cut_lineage(samples_of(hours, e))
-            fit, _ = fit_trees(samples, e.model, tree_params(e.complexity or "high"))
-            spent = time.perf_counter() - started
-            yield _in_percent(
-                fit.select(
-                    *KEY,
-                    "sample_idx",
-                    "date",
-                    "y_true",
-                    "y_pred",
-                    "lo",
-                    "hi",
-                    F.size("features").alias("param_count"),
-                    F.lit(spent).alias("train_time_sec"),
-                    F.lit(None).cast("string").alias("error"),
-                )
-            )
-        elif e.model != K.LINEAR_MODEL:
+        if e.model not in [*K.TREE_MODELS, K.LINEAR_MODEL]:
             raise ValueError(f"no trainer for model: {e.model}")
+        by_key.setdefault(e.sample_key, []).append(e)
+    for same in by_key.values():
+        samples = samples_of(hours, same[0])
+        trees = [e for e in same if e.model in K.TREE_MODELS]
+        if trees:
+            samples = cut_lineage(samples)
+        yield from (_in_percent(_fit_trees(samples, e)) for e in trees)
+        for e in same:
+            if e.model == K.LINEAR_MODEL:
+                linear[e.sliding].append(_named(samples, e))
+    for sliding, fit in ((False, fit_daily), (True, fit_hourly)):
+        if linear[sliding]:
+            yield _in_percent(fit(reduce(DataFrame.unionByName, linear[sliding])))
 
 
 def run_fits(hours: DataFrame, experiments: list[Experiment]) -> DataFrame:

@@ -42,10 +42,11 @@ def aggregate_results(results: DataFrame, *group_by: str) -> DataFrame:
     present = [m for m in STUDY_METRICS if m in ok.columns]
     if group_by:
         return ok.groupBy(*group_by).agg(*[c for m in present for c in _mean_std(m)])
-    long = ok.unpivot([], present, "metric", "value")
-    return long.groupBy("metric").agg(
-        half_even(F.avg("value"), 2).alias("mean"), half_even(F.stddev_samp("value"), 2).alias("std")
-    )
+    wide = ok.agg(F.count(F.lit(1)).alias("n"), *[c for m in present for c in _mean_std(m)]).filter("n > 0")
+    rows = [
+        F.struct(F.lit(m).alias("metric"), F.col(f"{m}_mean").alias("mean"), F.col(f"{m}_std").alias("std")) for m in present
+    ]
+    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def pivot_models(aggregated: DataFrame, dimension: str, value: str, models: list[str] = K.MODEL_ORDER) -> DataFrame:

@@ -510,7 +510,12 @@ def rf_forecast(spark, folder):
 
 @query("gbt_forecast")
 def gbt_forecast(spark, folder):
-    return _trees(spark, folder, "XGB", "LGBM")
+    return _trees(spark, folder, "XGB")
+
+
+@query("lgbm_forecast")
+def lgbm_forecast(spark, folder):
+    return _trees(spark, folder, "LGBM")
 
 
 @query("study_tiers_linear")
