@@ -337,8 +337,8 @@ def day_index(spark, folder):
 
 
 def _weighted(col):
-    """Sum of array entries weighted by their place, so a wrong order shows."""
-    weighted = F.transform(col, lambda v, i: v * (i + 1))
+    """Sum of array entries weighted by the root of their place, so a wrong order shows."""
+    weighted = F.transform(col, lambda v, i: v * F.sqrt(i + 1))
     return half_even(F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v), 6)
 
 
@@ -367,9 +367,9 @@ def _window_sql(past_days, plan, blank=None, source=None):
     source = source or (Q.DENSE, Q.kept())
     head = Q.chain(*source, Q.clean(plan.hist, plan.fcst), Q.scaled(plan.all_columns), Q.numbered(past_days))
     hist_terms = " + ".join(
-        f"""x.{c} * (((p.day_pos - s.day_pos + {past_days}) * 24 + x."Hour") * {nh} + {i} + 1)""" for i, c in enumerate(hist)
+        f"""x.{c} * sqrt(((p.day_pos - s.day_pos + {past_days}) * 24 + x."Hour") * {nh} + {i} + 1)""" for i, c in enumerate(hist)
     )
-    fcst_terms = " + ".join(f'y.{c} * (y."Hour" * {nf} + {i} + 1)' for i, c in enumerate(plan.fcst)) or "0.0"
+    fcst_terms = " + ".join(f'y.{c} * sqrt(y."Hour" * {nf} + {i} + 1)' for i, c in enumerate(plan.fcst)) or "0.0"
     hist_sum = (
         f"""(select sum({hist_terms}) from present p join scaled x on x.plant_id = p.plant_id and x.date = p.date
      where p.plant_id = s.plant_id and p.day_pos between s.day_pos - {past_days} and s.day_pos - 1)"""
@@ -379,7 +379,7 @@ def _window_sql(past_days, plan, blank=None, source=None):
     size = blank if blank is not None else past_days * 24 * nh
     return head + f"""select s.plant_id, s.date, s.sample_idx, s.n_samples, cast({size} as bigint) as hist_size,
   cast({24 * nf} as bigint) as fcst_size, cast(round_even({hist_sum}, 6) + 0.0 as double) as hist_sum,
-  cast(round_even(sum({fcst_terms}), 6) + 0.0 as double) as fcst_sum, round_even(sum(y.y_true * (y."Hour" + 1)), 6) as y_sum
+  cast(round_even(sum({fcst_terms}), 6) + 0.0 as double) as fcst_sum, round_even(sum(y.y_true * sqrt(y."Hour" + 1)), 6) as y_sum
   from samples s join scaled y on y.plant_id = s.plant_id and y.date = s.date
   group by s.plant_id, s.date, s.day_pos, s.sample_idx, s.n_samples"""
 
@@ -417,8 +417,8 @@ def nwp_only_windows(spark, folder):
 
 def _sliding_sql(past, future, plan, source):
     nh, nf = len(plan.hist), len(plan.fcst)
-    hist_terms = " + ".join(f"x.{c} * ((x.pos - s.pos + {past}) * {nh} + {i} + 1)" for i, c in enumerate(plan.hist))
-    fcst_terms = " + ".join(f"x.{c} * ((x.pos - s.pos) * {nf} + {i} + 1)" for i, c in enumerate(plan.fcst)) or "0.0"
+    hist_terms = " + ".join(f"x.{c} * sqrt((x.pos - s.pos + {past}) * {nh} + {i} + 1)" for i, c in enumerate(plan.hist))
+    fcst_terms = " + ".join(f"x.{c} * sqrt((x.pos - s.pos) * {nf} + {i} + 1)" for i, c in enumerate(plan.fcst)) or "0.0"
     return (
         Q.chain(*source, Q.clean(plan.hist, plan.fcst), Q.scaled(plan.all_columns))
         + f""", placed as (select *, row_number() over (partition by plant_id order by dt) - 1 as pos,
@@ -427,7 +427,7 @@ select s.plant_id, s.date, s.pos - {past} as sample_idx, s.n - {past + future} +
   cast({past * nh} as bigint) as hist_size, cast({future * nf} as bigint) as fcst_size,
   round_even(sum(case when x.pos < s.pos then {hist_terms} else 0.0 end), 6) + 0.0 as hist_sum,
   round_even(sum(case when x.pos >= s.pos then {fcst_terms} else 0.0 end), 6) + 0.0 as fcst_sum,
-  round_even(sum(case when x.pos >= s.pos then x.y_true * (x.pos - s.pos + 1) else 0.0 end), 6) as y_sum
+  round_even(sum(case when x.pos >= s.pos then x.y_true * sqrt(x.pos - s.pos + 1) else 0.0 end), 6) as y_sum
 from placed s join placed x on x.plant_id = s.plant_id and x.pos between s.pos - {past} and s.pos + {future} - 1
 where s.pos >= {past} and s.pos + {future} <= s.n
 group by s.plant_id, s.date, s.pos, s.n"""
