@@ -94,24 +94,23 @@ def _solve(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for _, rows in batch.groupby(KEY, sort=False):
-            x = _matrix(rows["features"])
-            weights = np.asarray(rows["weights"].iloc[0]).reshape(x.shape[1] + 1, -1)
-            guess = x @ weights[1:] + weights[0]
-            known = rows[[*_CARRIED, "param_count", "train_time_sec"]]
-            out.append(known.assign(y_pred=list(guess), error=None)[_OUTPUT])
-        if out:
-            yield pd.concat(out)
+def _apply(test: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+    if test.empty or fitted.empty:
+        return pd.DataFrame(columns=_OUTPUT)
+    x, model = _matrix(test["features"]), fitted.iloc[0]
+    weights = np.asarray(model["weights"]).reshape(x.shape[1] + 1, -1)
+    guess = x @ weights[1:] + weights[0]
+    return test[_CARRIED].assign(
+        y_pred=list(guess), param_count=model["param_count"], train_time_sec=model["train_time_sec"], error=None
+    )[_OUTPUT]
 
 
 def fit_hourly(samples: DataFrame) -> DataFrame:
     """As fit_daily for one sample per hour, where a plant's samples are too many for one task.
 
     The products the normal equations need are summed per Arrow batch, then in slots, then per group,
-    so no task sees more than a batch of samples or a few product matrices.
+    so no task sees more than a batch of samples or a few product matrices. Weights meet the test
+    samples year by year, each weight row once per group rather than once per sample.
     """
     used = samples.select(*_INPUT)
     partial = used.filter("part = 'train'").select(*KEY, "sample_idx", "features", "y").mapInPandas(
@@ -119,9 +118,10 @@ def fit_hourly(samples: DataFrame) -> DataFrame:
     )
     slots = partial.groupBy(*KEY, "slot").applyInPandas(_add_up, schema=_SUMS_SCHEMA)
     weights = slots.groupBy(*KEY).applyInPandas(_solve, schema=_WEIGHTS_SCHEMA)
-    salted = weights.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(_SLOTS - 1))))
-    test = used.filter("part = 'test'").withColumn("slot", (F.col("sample_idx") % _SLOTS).cast("int"))
-    return test.join(salted, [*KEY, "slot"]).drop("slot", "part", "y").mapInPandas(_apply, schema=FIT_SCHEMA)
+    test = used.filter("part = 'test'").drop("part", "y").withColumn("_year", F.year("date"))
+    years = test.select(*KEY, F.col("_year").alias("_fitted_year")).distinct()
+    grouped = weights.join(years, KEY).groupBy(*KEY, "_fitted_year")
+    return test.groupBy(*KEY, "_year").cogroup(grouped).applyInPandas(_apply, schema=FIT_SCHEMA)
 
 
 def fit_one_feature(rows: DataFrame, keys: list[str], feature: str, target: str) -> DataFrame:

@@ -26,7 +26,7 @@ from noonward.operators.prepare import (
     unscale,
 )
 from noonward.plans import sql as Q
-from noonward.plans.fixtures import dense_hours, gappy_hours, plants, table
+from noonward.plans.fixtures import dense_hours, gappy_hours, stored_hours, table
 from noonward.plans.registry import query
 from noonward.sources.hourly import date_ranges, with_stamp
 
@@ -178,13 +178,13 @@ _SCENARIO_SQL = " union all ".join(
     Q.chain(Q.DENSE, Q.kept(), Q.clean([], [])) + f"select plant_id, scenario, n_hist, n_fcst, cast(hist_total as double) as hist_total, cast(fcst_total as double) as fcst_total from ({_SCENARIO_SQL})",
 )
 def scenario_features(spark, folder):
-    rows = encode_time(T.previous_value(keep_dated(dense_hours(spark, folder)), K.TARGET, K.LAG_FEATURE))
+    rows = encode_time(T.previous_value(keep_dated(stored_hours(spark, folder)), K.TARGET, K.LAG_FEATURE))
     used = dict.fromkeys(c for s in K.SCENARIOS for cols in _scenario_values(s) for c in cols)
     sums = rows.groupBy("plant_id").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in used])
     total = lambda cols: half_even(sum((F.col(c) for c in cols), F.lit(0.0)), 4)
     options = []
     for s in K.SCENARIOS:
-        plan = plan_features(s, "high_weather", True, available=dense_hours(spark, folder).columns)
+        plan = plan_features(s, "high_weather", True, available=rows.columns)
         options.append(
             F.struct(
                 F.lit(s).alias("scenario"),
@@ -204,7 +204,7 @@ def scenario_features(spark, folder):
     text="dt",
 )
 def lag_target(spark, folder):
-    rows = T.previous_value(keep_dated(dense_hours(spark, folder)), K.TARGET, "previous")
+    rows = T.previous_value(keep_dated(stored_hours(spark, folder)), K.TARGET, "previous")
     return rows.select("plant_id", "dt", "previous")
 
 
@@ -218,7 +218,7 @@ _PREP_PLAN = plan_features("PV+NWP", "high_weather", time_encoding=False)
     text="dt",
 )
 def prep_clean(spark, folder):
-    rows = T.previous_value(keep_dated(dense_hours(spark, folder)), K.TARGET, K.LAG_FEATURE)
+    rows = T.previous_value(keep_dated(stored_hours(spark, folder)), K.TARGET, K.LAG_FEATURE)
     return clean_features(rows, _PREP_PLAN).select("plant_id", "dt", K.TARGET, *_PREP_PLAN.all_columns)
 
 
@@ -296,7 +296,7 @@ _SCALE_COLUMNS = [*_SCALE_PLAN.all_columns, K.TARGET]
     text="dt",
 )
 def minmax_scale(spark, folder):
-    rows = scaled_hours(prepare(dense_hours(spark, folder), _SCALE_PLAN))
+    rows = scaled_hours(prepare(stored_hours(spark, folder), _SCALE_PLAN))
     return rows.select("plant_id", "dt", *[half_even(c, 8).alias(c) for c in _SCALE_COLUMNS])
 
 
@@ -307,7 +307,7 @@ def minmax_scale(spark, folder):
     text="dt",
 )
 def inverse_scale(spark, folder):
-    prepared = prepare(dense_hours(spark, folder), FeaturePlan([], [], True))
+    prepared = prepare(stored_hours(spark, folder), FeaturePlan([], [], True))
     bounds = prepared.spine.select(*T.DAY, "lo_capacity_factor", "hi_capacity_factor")
     rows = scaled_hours(prepared).join(bounds, T.DAY)
     restored = unscale(F.col(K.TARGET), F.col("lo_capacity_factor"), F.col("hi_capacity_factor"))
@@ -342,7 +342,7 @@ def _weighted(col):
     return half_even(F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v), 6)
 
 
-def _summary(samples):
+def _summary(samples, *extra):
     hist, fcst = F.flatten("x_hist"), F.flatten("x_fcst")
     return samples.select(
         "plant_id",
@@ -354,6 +354,7 @@ def _summary(samples):
         _weighted(hist).alias("hist_sum"),
         _weighted(fcst).alias("fcst_sum"),
         _weighted("y_true").alias("y_sum"),
+        *extra,
     )
 
 
@@ -387,7 +388,7 @@ def _window_sql(past_days, plan, blank=None, source=None):
 def _daily(past_days):
     @query(f"daily_windows_{past_days}d", _window_sql(past_days, _WINDOW_PLAN), text="date")
     def daily(spark, folder):
-        prepared = prepare(dense_hours(spark, folder), _WINDOW_PLAN)
+        prepared = prepare(stored_hours(spark, folder), _WINDOW_PLAN)
         return _summary(W.daily_samples(prepared, 24 * past_days))
 
 
@@ -412,7 +413,7 @@ _NWP_PLAN = plan_features("NWP", "high_weather", time_encoding=True)
 
 @query("nwp_only_windows", _window_sql(1, _NWP_PLAN, blank=24 * len(_NWP_PLAN.hist)), text="date")
 def nwp_only_windows(spark, folder):
-    return _summary(W.daily_samples(prepare(dense_hours(spark, folder), _NWP_PLAN), 24))
+    return _summary(W.daily_samples(prepare(stored_hours(spark, folder), _NWP_PLAN), 24))
 
 
 def _sliding_sql(past, future, plan, source):
@@ -436,16 +437,14 @@ group by s.plant_id, s.date, s.pos, s.n"""
 
 @query("sliding_windows", _sliding_sql(24, 24, _WINDOW_PLAN, (Q.DENSE, Q.kept())), text="date end_dt")
 def sliding_windows(spark, folder):
-    samples = W.sliding_samples(prepare(dense_hours(spark, folder), _WINDOW_PLAN), 24, 24)
-    return _summary(samples.withColumnRenamed("end_dt", "_end")).join(
-        samples.select("plant_id", "sample_idx", "end_dt"), ["plant_id", "sample_idx"]
-    )
+    samples = W.sliding_samples(prepare(stored_hours(spark, folder), _WINDOW_PLAN), 24, 24)
+    return _summary(samples, "end_dt")
 
 
 @query("sliding_windows_gappy", _sliding_sql(72, 24, _GAPPY_PLAN, (Q.GAPPY, Q.kept("gappy"))), text="date end_dt")
 def sliding_windows_gappy(spark, folder):
     samples = W.sliding_samples(prepare(gappy_hours(spark, folder), _GAPPY_PLAN), 72, 24)
-    return _summary(samples).join(samples.select("plant_id", "sample_idx", "end_dt"), ["plant_id", "sample_idx"])
+    return _summary(samples, "end_dt")
 
 
 _MATRIX_PLAN = plan_features("PV+NWP", "solar_irradiance_only", time_encoding=False)
@@ -464,7 +463,7 @@ _MATRIX_PLAN = plan_features("PV+NWP", "solar_irradiance_only", time_encoding=Fa
   from samples s join scaled x on x.plant_id = s.plant_id and x.date = s.date""",
 )
 def feature_matrix(spark, folder):
-    samples = W.daily_samples(prepare(dense_hours(spark, folder), _MATRIX_PLAN), 24)
+    samples = W.daily_samples(prepare(stored_hours(spark, folder), _MATRIX_PLAN), 24)
     return samples.select("plant_id", "sample_idx", F.posexplode(W.flatten_sample()).alias("place", "value")).select(
         "plant_id", "sample_idx", F.col("place").cast("long").alias("place"), half_even("value", 6).alias("value")
     )
@@ -478,7 +477,7 @@ def feature_matrix(spark, folder):
     text="date",
 )
 def array_flatten(spark, folder):
-    prepared = prepare(dense_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
+    prepared = prepare(stored_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
     days = W.day_rows(prepared.hours, prepared.spine.filter("complete"), prepared.plan, scaled=False)
     values = F.flatten("x_day")
     total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
@@ -494,7 +493,7 @@ _SAMPLES_SQL = Q.chain(Q.DENSE, Q.kept(), Q.clean([], []), Q.numbered(1))
 
 
 def _numbered(spark, folder):
-    prepared = prepare(dense_hours(spark, folder), FeaturePlan([], [], True))
+    prepared = prepare(stored_hours(spark, folder), FeaturePlan([], [], True))
     return T.number_samples(prepared.spine, 1, need_history=False)
 
 
@@ -530,7 +529,7 @@ def split_shuffled(spark, folder):
     text="dt",
 )
 def split_shuffled_hours(spark, folder):
-    prepared = prepare(dense_hours(spark, folder), FeaturePlan([], [], True))
+    prepared = prepare(stored_hours(spark, folder), FeaturePlan([], [], True))
     placed = T.add_position(prepared.hours, prepared.spine).select(
         "plant_id", "dt", F.col("pos").alias("sample_idx"), F.col("plant_rows").alias("n_samples")
     )
@@ -621,7 +620,7 @@ def scalar_strings(spark, folder):
 def dilated_lags(spark, folder):
     from noonward.operators.sequences import dilated_offsets
 
-    rows = keep_dated(dense_hours(spark, folder)).select(*T.DAY, "dt", K.TARGET)
+    rows = keep_dated(stored_hours(spark, folder)).select(*T.DAY, "dt", K.TARGET)
     lagged = T.values_before(rows, T.day_spine(rows), K.TARGET, dilated_offsets(kernel=3, levels=2))
     return lagged.select("plant_id", "dt", *[f"{K.TARGET}_lag{n}" for n in (1, 2, 4)])
 
@@ -638,7 +637,7 @@ def dilated_lags(spark, folder):
 def position_encoding(spark, folder):
     from noonward.operators.sequences import position_waves
 
-    rows = keep_dated(dense_hours(spark, folder)).select(*T.DAY, "dt", K.TARGET)
+    rows = keep_dated(stored_hours(spark, folder)).select(*T.DAY, "dt", K.TARGET)
     placed = T.add_position(rows, T.day_spine(rows))
     return placed.select("plant_id", "dt", "pos", F.posexplode(position_waves("pos", 8)).alias("dim", "value")).select(
         "plant_id", "dt", "pos", F.col("dim").cast("long").alias("dim"), half_even("value", 5).alias("value")

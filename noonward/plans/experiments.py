@@ -16,7 +16,7 @@ from noonward.operators.linear import KEY, fit_daily, fit_hourly
 from noonward.operators.prepare import plan_features, prepare, unscale
 from noonward.operators.splits import daily_part, hourly_part
 from noonward.operators.trees import fit_trees
-from noonward.plans.grid import tree_params
+from noonward.plans.grid import pending, tree_params
 from noonward.session import cut_lineage
 from noonward.sources.results import as_results
 
@@ -84,10 +84,15 @@ def base_experiment(model: str, **changes) -> Experiment:
     return replace(base, **changes)
 
 
-def samples_of(hours: DataFrame, e: Experiment) -> DataFrame:
-    """Samples of all plants with flat features, scaled targets and the part each belongs to."""
+def samples_of(hours: DataFrame, e: Experiment, skip: DataFrame | None = None) -> DataFrame:
+    """Samples of all plants with flat features, scaled targets and the part each belongs to.
+
+    Plants in `skip` are taken out of the day spine, so their rows go no further than the first join.
+    """
     plan = plan_features(e.scenario, e.weather_category, e.time_encoding, hours.columns)
     prepared = prepare(hours, plan, e.start, e.end)
+    if skip is not None:
+        prepared = replace(prepared, spine=prepared.spine.join(skip, "plant_id", "left_anti"))
     if e.sliding:
         split = hourly_part(e.shuffle, e.train_ratio, e.val_ratio, e.seed)
         samples = W.sliding_samples(prepared, e.lookback_hours, split=split)
@@ -136,8 +141,12 @@ def _fit_trees(samples: DataFrame, e: Experiment) -> DataFrame:
     )
 
 
-def _fit(hours: DataFrame, experiments: list[Experiment]) -> Iterable[DataFrame]:
-    """Fits of all experiments; samples used by several tree fits are built once and checkpointed."""
+def _fit(hours: DataFrame, experiments: list[Experiment], done: DataFrame | None = None) -> Iterable[DataFrame]:
+    """Fits of all experiments; samples used by several tree fits are built once and checkpointed.
+
+    Linear fits leave out the plants that are done. Tree models learn from all plants, so they are
+    fitted on all as long as one is left.
+    """
     by_key: dict[tuple, list[Experiment]] = {}
     linear: dict[bool, list[DataFrame]] = {False: [], True: []}
     for e in experiments:
@@ -145,25 +154,27 @@ def _fit(hours: DataFrame, experiments: list[Experiment]) -> Iterable[DataFrame]
             raise ValueError(f"no trainer for model: {e.model}")
         by_key.setdefault(e.sample_key, []).append(e)
     for same in by_key.values():
-        samples = samples_of(hours, same[0])
         trees = [e for e in same if e.model in K.TREE_MODELS]
         if trees:
-            samples = cut_lineage(samples)
-        yield from (_in_percent(_fit_trees(samples, e)) for e in trees)
+            samples = cut_lineage(samples_of(hours, trees[0]))
+            yield from (_in_percent(_fit_trees(samples, e)) for e in trees)
         for e in same:
             if e.model == K.LINEAR_MODEL:
-                linear[e.sliding].append(_named(samples, e))
+                skip = None
+                if done is not None:
+                    skip = done.filter(F.col("experiment_name") == e.experiment_name).select("plant_id")
+                linear[e.sliding].append(_named(samples_of(hours, e, skip), e))
     for sliding, fit in ((False, fit_daily), (True, fit_hourly)):
         if linear[sliding]:
             yield _in_percent(fit(reduce(DataFrame.unionByName, linear[sliding])))
 
 
-def run_fits(hours: DataFrame, experiments: list[Experiment]) -> DataFrame:
+def run_fits(hours: DataFrame, experiments: list[Experiment], done: DataFrame | None = None) -> DataFrame:
     """Forecasts of the test part, one row per sample, written to the checkpoint folder.
 
     A group that cannot be fitted gives one row with its error instead.
     """
-    return cut_lineage(reduce(DataFrame.unionByName, _fit(hours, experiments)))
+    return cut_lineage(reduce(DataFrame.unionByName, _fit(hours, experiments, done)))
 
 
 def _settings(work: DataFrame, experiments: list[Experiment]) -> DataFrame:
@@ -219,6 +230,21 @@ def run_experiments(hours: DataFrame, experiments: list[Experiment], plants: Dat
     return as_results(results_of(plants, run_fits(hours, experiments), experiments))
 
 
+def run_pending(
+    hours: DataFrame, experiments: list[Experiment], results: DataFrame, plants: DataFrame | None = None
+) -> DataFrame | None:
+    """Result rows of what has no success yet; None when all is done."""
+    plants = hours.select("plant_id").distinct() if plants is None else plants.select("plant_id")
+    todo = pending(_settings(plants, experiments).select(*KEY), results)
+    names = {r[0] for r in todo.select("experiment_name").distinct().collect()}
+    left = [e for e in experiments if e.experiment_name in names]
+    if not left:
+        return None
+    done = results.filter("status = 'SUCCESS'").select(*KEY).distinct()
+    made = results_of(plants, run_fits(hours, left, done), left)
+    return as_results(made.join(todo, KEY, "left_semi"))
+
+
 def modified(models: list[str], modify: Callable[[Experiment], Experiment] | None = None, **base) -> list[Experiment]:
     """The base experiment of each model after a user's change."""
     made = [base_experiment(m, **base) for m in models]

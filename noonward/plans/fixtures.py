@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noonward import constants as K
+from noonward.session import store
 
 SUPPLIERS_PER_PLANT = 34
 USERS_PER_PLANT = 50
@@ -34,7 +35,7 @@ def _stamped(cells: DataFrame) -> DataFrame:
 def dense_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Plant, pseudo-day and hour with a target and eleven weather columns, before the defects."""
     items = table(spark, folder, "lineitem").select(
-        F.expr(f"cast(l_suppkey div {SUPPLIERS_PER_PLANT} as string)").alias("plant_id"),
+        F.expr(f"l_suppkey div {SUPPLIERS_PER_PLANT}").alias("plant"),
         (F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")) % PSEUDO_DAYS).alias("dd"),
         (F.col("l_orderkey") % 24).cast("int").alias("Hour"),
         "l_quantity",
@@ -58,9 +59,10 @@ def dense_cells(spark: SparkSession, folder: str) -> DataFrame:
         "surface_pressure": F.count(F.lit(1)).cast("double"),
         "precipitation": F.sum(F.round(F.col("l_tax") * 100).cast("int")).cast("double"),
     }
-    return items.groupBy("plant_id", "dd", "Hour").agg(
+    cells = items.groupBy("plant", "dd", "Hour").agg(
         (2 * F.avg(q)).alias(K.TARGET), *[c.alias(name) for name, c in weather.items()]
     )
+    return cells.withColumn("plant_id", F.col("plant").cast("string")).drop("plant")
 
 
 def dense_hours(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,6 +82,11 @@ def dense_hours(spark: SparkSession, folder: str) -> DataFrame:
     return _stamped(dated).drop("dd")
 
 
+def stored_hours(spark: SparkSession, folder: str) -> DataFrame:
+    """The dense rows, worked out from the sales table once for queries that pass over them repeatedly."""
+    return store(dense_hours(spark, folder))
+
+
 def gappy_hours(spark: SparkSession, folder: str) -> DataFrame:
     """Hourly plant rows with natural gaps."""
     events = table(spark, folder, "events")
@@ -160,7 +167,7 @@ def forecasts(spark: SparkSession, folder: str) -> DataFrame:
     from noonward.operators.prepare import FeaturePlan, prepare
     from noonward.operators.windows import daily_samples
 
-    prepared = prepare(dense_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
+    prepared = prepare(stored_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
     made = None
     for name, days in (("persist", 1), ("mean3", 3)):
         samples = daily_samples(prepared, 24 * days, scaled=False)
@@ -176,7 +183,7 @@ def tier_forecasts(spark: SparkSession, folder: str) -> DataFrame:
     from noonward.operators import timeline as T
     from noonward.operators.prepare import plan_features, prepare, scaled_hours, unscale
 
-    prepared = prepare(dense_hours(spark, folder), plan_features("NWP", "all_weather", time_encoding=False))
+    prepared = prepare(stored_hours(spark, folder), plan_features("NWP", "all_weather", time_encoding=False))
     lo, hi = f"lo_{K.TARGET}", f"hi_{K.TARGET}"
     numbered = T.number_samples(prepared.spine, 0, need_history=False).filter("sample_idx is not null")
     rows = scaled_hours(prepared).join(numbered.select(*T.DAY, "sample_idx", lo, hi), T.DAY)
@@ -210,7 +217,7 @@ def target_days(spark: SparkSession, folder: str, past_days: int = 1) -> DataFra
     from noonward.operators.prepare import FeaturePlan, prepare
     from noonward.operators.windows import daily_samples
 
-    prepared = prepare(dense_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
+    prepared = prepare(stored_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
     samples = daily_samples(prepared, 24 * past_days, scaled=False)
     return long_forecasts(samples, "y_true", "n_samples").drop("y_pred")
 

@@ -293,7 +293,7 @@ _LOOKBACK = ",\n".join(
 
 @query("study_lookback", _daily_study_sql("lookback_hours", _LOOKBACK, "lookbacks"))
 def study_lookback(spark, folder):
-    prepared = prepare(X.dense_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
+    prepared = prepare(X.stored_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
     made = None
     for hours in K.STUDY_LOOKBACKS:
         samples = W.daily_samples(prepared, hours, scaled=False).withColumns(
@@ -341,7 +341,7 @@ _COMPLEX = ",\n".join(
 @query("study_complexity", _daily_study_sql("complexity", _COMPLEX, "levels"))
 def study_complexity(spark, folder):
     """Stand-in model: an hourly mean approached in n steps of the learning rate."""
-    prepared = prepare(X.dense_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
+    prepared = prepare(X.stored_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
     samples = W.daily_samples(prepared, 24, scaled=False, split=S.daily_part(shuffle=True))
     means = X.hourly_means(V.long_forecasts(samples, "y_true", "part").drop("y_pred"))
     levels = [
@@ -421,7 +421,7 @@ slides as (select s.plant_id, 'persist' as model, s.pos - 24 as sample_idx, s.n
 
 
 def _sliding_test(spark, folder):
-    prepared = prepare(X.dense_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
+    prepared = prepare(X.stored_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
     samples = W.sliding_samples(prepared, 24, 24, scaled=False, split=S.hourly_part(shuffle=False)).filter("part = 'test'")
     yesterday = F.transform("x_hist", lambda x: x[0])
     return V.long_forecasts(samples.withColumn("model", F.lit("persist")), yesterday, "model")
@@ -451,7 +451,7 @@ def agg_sliding(spark, folder):
     ),
 )
 def feature_counts(spark, folder):
-    hours, made = X.dense_hours(spark, folder), None
+    hours, made = X.stored_hours(spark, folder), None
     for scenario in ("PV+NWP", "NWP"):
         plan = plan_features(scenario, "all_weather", time_encoding=False)
         samples = W.daily_samples(prepare(hours, plan), 24)
@@ -472,7 +472,7 @@ _OLS_PLAN = plan_features("NWP", "solar_irradiance_only", time_encoding=False)
   round_even(regr_intercept(capacity_factor, global_tilted_irradiance_pred), 6) as intercept, count(*) as n from scaled group by plant_id, "Hour\"""",
 )
 def ols_simple(spark, folder):
-    rows = scaled_hours(prepare(X.dense_hours(spark, folder), _OLS_PLAN)).withColumn("horizon", F.col("Hour").cast("long"))
+    rows = scaled_hours(prepare(X.stored_hours(spark, folder), _OLS_PLAN)).withColumn("horizon", F.col("Hour").cast("long"))
     fitted = fit_one_feature(rows, ["plant_id", "horizon"], "global_tilted_irradiance_pred", K.TARGET)
     return _rounded(fitted, 6, "slope", "intercept")
 
@@ -481,26 +481,26 @@ def ols_simple(spark, folder):
 def ols_multi(spark, folder):
     """Forecasts of the four linear experiments."""
     experiments = E.linear_grid()
-    return E.forecasts_of(E.run_fits(X.dense_hours(spark, folder), experiments), experiments)
+    return E.forecasts_of(E.run_fits(X.stored_hours(spark, folder), experiments), experiments)
 
 
 @query("ols_sliding")
 def ols_sliding(spark, folder):
     """Forecasts of the linear model on hourly sliding samples."""
     experiments = [E.base_experiment(K.LINEAR_MODEL, sliding=True, weather_category="high_weather")]
-    return E.forecasts_of(E.run_fits(X.dense_hours(spark, folder), experiments), experiments)
+    return E.forecasts_of(E.run_fits(X.stored_hours(spark, folder), experiments), experiments)
 
 
 @query("run_experiment")
 def run_experiment(spark, folder):
-    return E.run_experiments(X.dense_hours(spark, folder), E.linear_grid())
+    return E.run_experiments(X.stored_hours(spark, folder), E.linear_grid())
 
 
 def _trees(spark, folder, *models):
     experiments = [
         E.base_experiment(m, complexity="low", weather_category="solar_irradiance_only") for m in models
     ]
-    return E.run_experiments(X.dense_hours(spark, folder), experiments)
+    return E.run_experiments(X.stored_hours(spark, folder), experiments)
 
 
 @query("rf_forecast")
@@ -520,4 +520,4 @@ def lgbm_forecast(spark, folder):
 
 @query("study_tiers_linear")
 def study_tiers_linear(spark, folder):
-    return U.run_study(X.dense_hours(spark, folder), "weather_feature_adoption", [K.LINEAR_MODEL])[1]
+    return U.run_study(X.stored_hours(spark, folder), "weather_feature_adoption", [K.LINEAR_MODEL])[1]

@@ -46,3 +46,13 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="noonward-")
     return f"{base.rstrip('/')}/noonward-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write a table several passes will read to the shared folder, and read it from there.
+
+    Unlike a checkpoint the files are columnar, so each pass reads only the columns it uses.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,6 +12,17 @@ def append_results(results: DataFrame, path: str) -> None:
     as_results(results).sortWithinPartitions("plant_id", "experiment_name").write.mode("append").parquet(path)
 
 
+def save_hours(hours: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Keep hourly rows bucketed by plant and day.
+
+    Preparation joins and orders rows by plant and day, so it reads this table without moving them.
+    """
+    spread = hours.repartition(buckets, "plant_id", "date")
+    writer = spread.write.mode("overwrite").format("parquet").option("path", path)
+    writer.bucketBy(buckets, "plant_id", "date").saveAsTable(table)
+    return hours.sparkSession.table(table)
+
+
 def in_model_order(table: DataFrame, *after: str) -> DataFrame:
     return table.orderBy(model_rank(), "model", *after)
 

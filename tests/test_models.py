@@ -94,6 +94,18 @@ def test_linear_experiments_of_all_plants(spark, hourly):
     assert "valid samples" in bad["error"]
 
 
+def test_resumed_run_does_only_what_is_left(spark, hourly):
+    hours = hourly(driven("a", 1, n=15) + driven("b", 2, n=15))
+    experiments = [E.base_experiment("Linear", name="x"), E.base_experiment("Linear", name="y", shuffle=False)]
+    known = spark.createDataFrame(
+        [("a", "x", "SUCCESS"), ("b", "x", "FAILED"), ("a", "y", "SUCCESS"), ("b", "y", "SUCCESS")],
+        "plant_id string, experiment_name string, status string",
+    )
+    got = [(r["plant_id"], r["experiment_name"], r["status"]) for r in E.run_pending(hours, experiments, known).collect()]
+    assert got == [("b", "x", "SUCCESS")]
+    assert E.run_pending(hours, experiments, known.withColumn("status", F.lit("SUCCESS"))) is None
+
+
 def test_sliding_linear_experiment(spark, hourly):
     hours = hourly(driven("a", 3, n=20))
     experiments = [E.base_experiment("Linear", sliding=True, shuffle=s, name=str(s)) for s in (True, False)]
@@ -195,6 +207,30 @@ def test_study_runner_logs_failures(spark, hourly, tmp_path, monkeypatch):
     }
 
 
+def test_bucketed_hours_are_not_moved_again(spark, hourly, tmp_path):
+    from noonward.operators.prepare import plan_features, prepare, scaled_hours
+    from noonward.sinks.tables import save_hours
+
+    kept = save_hours(hourly(driven("a", 1, n=10)), "hours_by_day", str(tmp_path / "hours"), 4)
+    plan = plan_features("PV+NWP", "solar_irradiance_only", True)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        scaled = scaled_hours(prepare(kept, plan))
+        text = scaled._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in text.splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line]
+        assert "Bucketed: true" in text
+        # only the day tables move: to plants for the lag, back to days, to plants for the spine, back to days
+        assert len(moved) <= 4
+        assert scaled.count() == 240
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.sql("drop table hours_by_day")
+
+
 def test_user_changes():
     made = E.modified(["RF", "Linear"], lambda e: E.replace(e, weather_category="high_weather"))
     assert {e.weather_category for e in made} == {"high_weather"} and [e.lookback_hours for e in made] == [24, 0]
