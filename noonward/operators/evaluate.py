@@ -19,30 +19,26 @@ def mean_of_past_days(past_days: int) -> Column:
     return F.transform(hours, lambda h: F.aggregate(days, F.lit(0.0), lambda s, d: s + at(d, h)) / past_days)
 
 
+def stamps_from_end(end, horizon, length=K.HOURS_PER_DAY) -> Column:
+    """Hour a step is for, counted back from the last hour of the window."""
+    length = F.col(length) if isinstance(length, str) else F.lit(length)
+    return F.col(end) - F.make_dt_interval(F.lit(0), length - 1 - F.col(horizon))
+
+
 def long_forecasts(samples: DataFrame, y_pred, *keep: str) -> DataFrame:
     """One row per sample and hour ahead, stamped with the hour it is for."""
     y_pred = F.col(y_pred) if isinstance(y_pred, str) else y_pred
-    return (
-        samples.withColumn("_p", y_pred)
-        .select("plant_id", *keep, "sample_idx", "date", F.posexplode(F.arrays_zip("y_true", "_p")).alias("horizon", "v"))
-        .select(
-            "plant_id",
-            *keep,
-            "sample_idx",
-            "date",
-            "horizon",
-            (F.col("date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("horizon"))).alias(
-                "forecast_datetime"
-            ),
-            F.col("v.y_true").alias("y_true"),
-            F.col("v._p").alias("y_pred"),
-        )
+    known = ["plant_id", *keep, "sample_idx", "date"]
+    steps = samples.withColumns({"_p": y_pred, "_n": F.size("y_true")}).select(
+        *known, "end_dt", "_n", F.posexplode(F.arrays_zip("y_true", "_p")).alias("horizon", "v")
+    )
+    return steps.select(
+        *known,
+        "horizon",
+        stamps_from_end("end_dt", "horizon", "_n").alias("forecast_datetime"),
+        F.col("v.y_true").alias("y_true"),
+        F.col("v._p").alias("y_pred"),
     )
-
-
-def stamps_from_end(end, horizon, length: int = K.HOURS_PER_DAY) -> Column:
-    """Hour a step is for when only the last hour of the window is known."""
-    return F.col(end) - F.make_dt_interval(F.lit(0), F.lit(length - 1) - F.col(horizon))
 
 
 def daily_metrics(forecasts: DataFrame, *keys: str) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 KEY = ["plant_id", "experiment_name"]
 FIT_SCHEMA = (
-    "plant_id string, experiment_name string, sample_idx long, date date, y_true array<double>, "
+    "plant_id string, experiment_name string, sample_idx long, date date, end_dt timestamp_ntz, y_true array<double>, "
     "y_pred array<double>, lo double, hi double, param_count int, train_time_sec double, error string"
 )
-_CARRIED = [*KEY, "sample_idx", "date", "y_true", "lo", "hi"]
+_CARRIED = [*KEY, "sample_idx", "date", "end_dt", "y_true", "lo", "hi"]
 _INPUT = [*_CARRIED, "part", "features", "y"]
 _OUTPUT = [f.split()[0] for f in FIT_SCHEMA.split(", ")]
 

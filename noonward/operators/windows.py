@@ -56,8 +56,8 @@ def daily_samples(
 ) -> DataFrame:
     """One sample per day: past_hours // 24 present days of history, the day's forecast, its 24 targets.
 
-    Columns: plant_id, date, sample_idx, n_samples, x_hist, x_fcst (hours x features), y_true, the
-    plant's target extremes and whatever `split` adds to the numbered spine (see splits.daily_part),
+    Columns: plant_id, date, sample_idx, n_samples, x_hist, x_fcst (hours x features), y_true, end_dt
+    (the last hour predicted), the plant's target extremes and whatever `split` adds to the numbered spine (see splits.daily_part),
     where one short row per day is moved instead of the samples. Without history x_hist holds zeros.
     """
     plan, past_days = prepared.plan, past_hours // K.HOURS_PER_DAY
@@ -85,7 +85,10 @@ def daily_samples(
             .filter("in_own_block")
             .filter(F.col("sample_idx").isNotNull())
         )
-    return samples.select(*T.DAY, "sample_idx", "n_samples", *added, "x_hist", "x_fcst", "y_true", _LO, _HI)
+    last_hour = F.col("date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(K.HOURS_PER_DAY - 1))
+    return samples.select(
+        *T.DAY, "sample_idx", "n_samples", *added, "x_hist", "x_fcst", "y_true", last_hour.alias("end_dt"), _LO, _HI
+    )
 
 
 def sliding_samples(

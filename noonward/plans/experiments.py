@@ -13,11 +13,11 @@ from noonward.functions.columns import clip_percent, half_even
 from noonward.operators import windows as W
 from noonward.operators.evaluate import experiment_metrics, long_forecasts
 from noonward.operators.linear import KEY, fit_daily, fit_hourly
-from noonward.operators.prepare import plan_features, prepare, unscale
+from noonward.operators.prepare import Prepared, plan_features, prepare, unscale
 from noonward.operators.splits import daily_part, hourly_part
 from noonward.operators.trees import fit_trees
 from noonward.plans.grid import pending, tree_params
-from noonward.session import cut_lineage
+from noonward.session import cut_lineage, store
 from noonward.sources.results import as_results
 
 
@@ -41,13 +41,16 @@ class Experiment:
     name: str = ""
     tags: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def feature_key(self) -> tuple:
+        """Experiments with the same key are prepared alike."""
+        return self.scenario, self.weather_category, self.time_encoding, self.start, self.end
+
     @property
     def sample_key(self) -> tuple:
         """Experiments with the same key have the same samples."""
-        return (
-            self.scenario, self.lookback_hours, self.time_encoding, self.weather_category, self.shuffle, self.seed,
-            self.train_ratio, self.val_ratio, self.sliding, self.start, self.end,
-        )
+        split = self.shuffle, self.seed, self.train_ratio, self.val_ratio
+        return *self.feature_key, self.lookback_hours, self.sliding, *split
 
     @property
     def experiment_name(self) -> str:
@@ -84,13 +87,27 @@ def base_experiment(model: str, **changes) -> Experiment:
     return replace(base, **changes)
 
 
-def samples_of(hours: DataFrame, e: Experiment, skip: DataFrame | None = None) -> DataFrame:
+def prepare_for(hours: DataFrame, experiments: list[Experiment]) -> dict[tuple, Prepared]:
+    """Prepared hours per feature key, stored where several sample sets are cut from them."""
+    sets: dict[tuple, dict[tuple, Experiment]] = {}
+    for e in experiments:
+        sets.setdefault(e.feature_key, {})[e.sample_key] = e
+    made = {}
+    for key, cuts in sets.items():
+        e = next(iter(cuts.values()))
+        plan = plan_features(e.scenario, e.weather_category, e.time_encoding, hours.columns)
+        prepared = prepare(hours, plan, e.start, e.end)
+        if len(cuts) > 1:
+            prepared = replace(prepared, hours=store(prepared.hours), spine=store(prepared.spine))
+        made[key] = prepared
+    return made
+
+
+def samples_of(prepared: Prepared, e: Experiment, skip: DataFrame | None = None) -> DataFrame:
     """Samples of all plants with flat features, scaled targets and the part each belongs to.
 
     Plants in `skip` are taken out of the day spine, so their rows go no further than the first join.
     """
-    plan = plan_features(e.scenario, e.weather_category, e.time_encoding, hours.columns)
-    prepared = prepare(hours, plan, e.start, e.end)
     if skip is not None:
         prepared = replace(prepared, spine=prepared.spine.join(skip, "plant_id", "left_anti"))
     if e.sliding:
@@ -103,6 +120,7 @@ def samples_of(hours: DataFrame, e: Experiment, skip: DataFrame | None = None) -
         "plant_id",
         "sample_idx",
         "date",
+        "end_dt",
         "part",
         W.flatten_sample().alias("features"),
         W.scaled_target().alias("y"),
@@ -131,6 +149,7 @@ def _fit_trees(samples: DataFrame, e: Experiment) -> DataFrame:
         *KEY,
         "sample_idx",
         "date",
+        "end_dt",
         "y_true",
         "y_pred",
         "lo",
@@ -153,17 +172,19 @@ def _fit(hours: DataFrame, experiments: list[Experiment], done: DataFrame | None
         if e.model not in [*K.TREE_MODELS, K.LINEAR_MODEL]:
             raise ValueError(f"no trainer for model: {e.model}")
         by_key.setdefault(e.sample_key, []).append(e)
+    prepared = prepare_for(hours, experiments)
     for same in by_key.values():
+        own = prepared[same[0].feature_key]
         trees = [e for e in same if e.model in K.TREE_MODELS]
         if trees:
-            samples = cut_lineage(samples_of(hours, trees[0]))
+            samples = cut_lineage(samples_of(own, trees[0]))
             yield from (_in_percent(_fit_trees(samples, e)) for e in trees)
         for e in same:
             if e.model == K.LINEAR_MODEL:
                 skip = None
                 if done is not None:
                     skip = done.filter(F.col("experiment_name") == e.experiment_name).select("plant_id")
-                linear[e.sliding].append(_named(samples_of(hours, e, skip), e))
+                linear[e.sliding].append(_named(samples_of(own, e, skip), e))
     for sliding, fit in ((False, fit_daily), (True, fit_hourly)):
         if linear[sliding]:
             yield _in_percent(fit(reduce(DataFrame.unionByName, linear[sliding])))

@@ -7,11 +7,18 @@ from noonward import constants as K
 from noonward.functions.columns import half_even
 
 
-def plant_status(plants: DataFrame, results: DataFrame) -> DataFrame:
+def plant_status(plants: DataFrame, results: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
     """Successes, rest, progress and state of each plant, those without results included.
 
-    Rows of a result table without a status count when they name an experiment.
+    Rows of a result table without a status count when they name an experiment. Plants whose results
+    could not be read (plant_id, error) are in state ERROR with nothing completed.
     """
+    if unreadable is not None:
+        known = plant_status(plants, results.join(unreadable.select("plant_id"), "plant_id", "left_anti"))
+        failed = F.col("error").isNotNull()
+        return known.join(unreadable.select("plant_id", "error"), "plant_id", "left").withColumn(
+            "status", F.when(failed, "ERROR").otherwise(F.col("status"))
+        )
     success = (F.col("status") == "SUCCESS") | (F.col("status").isNull() & F.col("experiment_name").isNotNull())
     done = results.groupBy("plant_id").agg(F.count(F.when(success, 1)).alias("completed"))
     completed = F.coalesce("completed", F.lit(0))

@@ -12,11 +12,14 @@ FILE_TARGET = "Capacity Factor"
 FILE_PATTERN = "*.{csv,CSV}"
 
 
-def read_hourly(spark: SparkSession, *paths: str, plant_id: Column | None = None) -> DataFrame:
+def read_hourly(
+    spark: SparkSession, *paths: str, plant_id: Column | None = None, strict: bool = True
+) -> DataFrame:
     """Plant files of one layout, the plant taken from the file name.
 
     Columns are matched by header name; weather columns a layout lacks are simply absent. Read each
-    layout by itself and join them with union_layouts.
+    layout by itself and join them with union_layouts. Time columns and target must be there unless
+    `strict` is off; then they are empty, and date_ranges falls back on the default range.
     """
     raw = (
         spark.read.option("header", True)
@@ -25,15 +28,16 @@ def read_hourly(spark: SparkSession, *paths: str, plant_id: Column | None = None
         .csv(list(paths))
     )
     missing = [c for c in [*TIME_COLUMNS, FILE_TARGET] if c not in raw.columns]
-    if missing:
+    if missing and strict:
         raise ValueError(f"missing columns: {missing}")
+    text = lambda c: F.lit(None).cast("string") if c in missing else F.col(c)
     weather = [w for w in [*K.WEATHER, *(w + K.FORECAST_SUFFIX for w in K.WEATHER)] if w in raw.columns]
     plant = plant_id_from_file(F.col("_metadata.file_name")) if plant_id is None else plant_id
     return with_stamp(
         raw.select(
             plant.alias("plant_id"),
-            *[F.col(c).cast("int").alias(c) for c in TIME_COLUMNS],
-            absent_if_nan(F.col(FILE_TARGET).cast("double")).alias(K.TARGET),
+            *[text(c).cast("int").alias(c) for c in TIME_COLUMNS],
+            absent_if_nan(text(FILE_TARGET).cast("double")).alias(K.TARGET),
             *[absent_if_nan(F.col(w).cast("double")).alias(w) for w in weather],
         )
     )

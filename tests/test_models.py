@@ -1,5 +1,5 @@
 import random
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -34,17 +34,17 @@ def samples_table(spark, plants=("a", "b"), n=60, d=5, seed=1):
         for i in range(n):
             part = "train" if i < 0.8 * n else "val" if i < 0.9 * n else "test"
             day = date(2022, 1, 1) + timedelta(days=i)
-            rows.append((p, "e", i, day, part, x[i].tolist(), y[i].tolist(), (y[i] * 50).tolist(), 0.0, 50.0))
-    schema = "plant_id string, experiment_name string, sample_idx long, date date, part string, features array<double>, y array<double>, y_true array<double>, lo double, hi double"
+            rows.append((p, "e", i, day, datetime(day.year, day.month, day.day, 23), part, x[i].tolist(), y[i].tolist(), (y[i] * 50).tolist(), 0.0, 50.0))
+    schema = "plant_id string, experiment_name string, sample_idx long, date date, end_dt timestamp_ntz, part string, features array<double>, y array<double>, y_true array<double>, lo double, hi double"
     return spark.createDataFrame(rows, schema), rows
 
 
 def by_hand(rows, plant):
     own = [r for r in rows if r[0] == plant]
-    x = np.array([[1.0, *r[5]] for r in own if r[4] == "train"])
-    y = np.array([r[6] for r in own if r[4] == "train"])
+    x = np.array([[1.0, *r[6]] for r in own if r[5] == "train"])
+    y = np.array([r[7] for r in own if r[5] == "train"])
     w = np.linalg.lstsq(x, y, rcond=None)[0]
-    return {r[2]: np.array([1.0, *r[5]]) @ w for r in own if r[4] == "test"}
+    return {r[2]: np.array([1.0, *r[6]]) @ w for r in own if r[5] == "test"}
 
 
 @pytest.mark.parametrize("fit", [L.fit_daily, L.fit_hourly])
@@ -59,11 +59,11 @@ def test_linear_fit_per_plant(spark, fit):
 def test_linear_fit_with_more_features_than_samples(spark):
     table, rows = samples_table(spark, plants=("a",), n=20, d=40)
     own = [r for r in rows]
-    x = np.array([r[5] for r in own if r[4] == "train"])
-    y = np.array([r[6] for r in own if r[4] == "train"])
+    x = np.array([r[6] for r in own if r[5] == "train"])
+    y = np.array([r[7] for r in own if r[5] == "train"])
     w = np.linalg.pinv(x - x.mean(0)) @ (y - y.mean(0))
     for r in L.fit_daily(table).collect():
-        features = np.array(next(o[5] for o in own if o[2] == r["sample_idx"]))
+        features = np.array(next(o[6] for o in own if o[2] == r["sample_idx"]))
         assert np.allclose(r["y_pred"], (features - x.mean(0)) @ w + y.mean(0), atol=1e-8)
 
 
@@ -112,6 +112,9 @@ def test_sliding_linear_experiment(spark, hourly):
     fits = E.run_fits(hours, experiments)
     n = 20 * 24 - 23
     n_test = n - int(n * 0.8) - int(n * 0.1)
+    last = E.forecasts_of(fits, experiments).filter("experiment_name = 'False'").orderBy(F.desc("forecast_datetime"), "sample_idx")
+    row = last.first()
+    assert (row["forecast_datetime"], row["horizon"], row["sample_idx"]) == (datetime(2022, 1, 20, 23), 23, n - 1)
     assert {r["experiment_name"]: r["count"] for r in fits.groupBy("experiment_name").count().collect()} == {"True": n_test, "False": n_test}
     assert all(r["r2"] > 0.99 for r in E.results_of(hours.select("plant_id").distinct(), fits, experiments).collect())
 
@@ -146,7 +149,7 @@ def test_trees_beat_the_training_mean(spark, tmp_path, model):
     samples = cut_lineage(table)
     forecast, fitted = fit_trees(samples, model, {"n_estimators": 5.0, "max_depth": 3.0, "learning_rate": 0.5}, range(3))
     got = forecast.collect()
-    mean = np.mean([r[6][:3] for r in rows if r[4] == "train"], axis=0)
+    mean = np.mean([r[7][:3] for r in rows if r[5] == "train"], axis=0)
     ours = np.mean([np.abs(np.array(r["y_pred"]) - r["y"][:3]).mean() for r in got])
     assert len(got) == 16 and ours < np.mean([np.abs(mean - r["y"][:3]).mean() for r in got])
     save_models(fitted[:1], str(tmp_path / "m"))

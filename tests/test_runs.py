@@ -53,6 +53,15 @@ def test_status_counts(spark):
     assert [r["plant_id"] for r in P.in_progress(status).collect()] == ["2", "5"]
 
 
+def test_unreadable_results(spark):
+    rows = results(spark, [("1", "a", "SUCCESS"), ("2", "a", "SUCCESS")])
+    broken = spark.createDataFrame([("2", "bad file")], "plant_id string, error string")
+    status = P.plant_status(plants(spark, "1", "2"), rows, broken)
+    got = {r["plant_id"]: (r["status"], r["completed"], r["error"]) for r in status.collect()}
+    assert got == {"1": ("IN_PROGRESS", 1, None), "2": ("ERROR", 0, "bad file")}
+    assert P.fleet_status(status).first()["n_error"] == 1
+
+
 def test_batches_and_waiting_list(spark):
     ids = [f"{i:03d}" for i in range(60)] + ["1000", "10"]
     status = P.plant_status(plants(spark, *ids), results(spark, []))

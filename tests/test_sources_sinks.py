@@ -39,6 +39,8 @@ def test_missing_time_column_is_an_error(spark, tmp_path):
     write(tmp_path / "1.csv", "Year,Month,Day,Capacity Factor\n2022,1,1,3\n")
     with pytest.raises(ValueError, match="Hour"):
         H.read_hourly(spark, str(tmp_path))
+    loose = H.date_ranges(H.read_hourly(spark, str(tmp_path), strict=False)).first()
+    assert tuple(loose) == ("1", K.DEFAULT_START, K.DEFAULT_END, 1)
 
 
 def test_layouts_are_joined_by_name(spark, tmp_path):
