@@ -54,7 +54,6 @@ HOURS_PER_PLANT = 2.5
 PLANTS_PER_BATCH = 25
 
 # Study dimensions.
-SEASONS = ["Spring", "Summer", "Fall", "Winter"]
 FEATURE_TIERS = {
     "SI": "solar_irradiance_only",
     "H": "high_weather",

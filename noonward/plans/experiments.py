@@ -12,7 +12,7 @@ from noonward import constants as K
 from noonward.functions.columns import clip_percent, half_even
 from noonward.operators import windows as W
 from noonward.operators.evaluate import experiment_metrics, long_forecasts
-from noonward.operators.linear import KEY, fit_daily, fit_hourly
+from noonward.operators.linear import FIT_SCHEMA, KEY, fit_daily, fit_hourly
 from noonward.operators.prepare import Prepared, plan_features, prepare, unscale
 from noonward.operators.splits import daily_part, hourly_part
 from noonward.operators.trees import fit_trees
@@ -21,6 +21,10 @@ from noonward.session import cut_lineage, store
 from noonward.sources.results import as_results
 
 
+TRAINED_MODELS = [*K.TREE_MODELS, K.LINEAR_MODEL]
+_FIT_TYPES = [tuple(f.split()) for f in FIT_SCHEMA.split(", ")]
+
+
 @dataclass(frozen=True)
 class Experiment:
     """Settings of one experiment; the same for all plants."""
@@ -142,22 +146,21 @@ def _named(samples: DataFrame, e: Experiment) -> DataFrame:
 
 
 def _fit_trees(samples: DataFrame, e: Experiment) -> DataFrame:
+    """Forecasts of a tree experiment; if it cannot be fitted, one row per plant with the reason."""
     started = time.perf_counter()
-    fit, _ = fit_trees(samples, e.model, tree_params(e.complexity or "high"))
-    spent = time.perf_counter() - started
-    return _named(fit, e).select(
-        *KEY,
-        "sample_idx",
-        "date",
-        "end_dt",
-        "y_true",
-        "y_pred",
-        "lo",
-        "hi",
-        F.size("features").alias("param_count"),
-        F.lit(spent).alias("train_time_sec"),
-        F.lit(None).cast("string").alias("error"),
-    )
+    try:
+        fit, _ = fit_trees(samples, e.model, tree_params(e.complexity or "high"))
+    except Exception as problem:  # becomes a failed result
+        blank = samples.select("plant_id").distinct()
+        error = F.lit(str(problem))
+        values = {c: F.lit(None) for c in ("sample_idx", "date", "end_dt", "y_true", "y_pred", "lo", "hi")}
+        spent, width = 0.0, F.lit(0)
+    else:
+        blank, error = fit, F.lit(None)
+        values = {c: F.col(c) for c in ("sample_idx", "date", "end_dt", "y_true", "y_pred", "lo", "hi")}
+        spent, width = time.perf_counter() - started, F.size("features")
+    values |= {"param_count": width, "train_time_sec": F.lit(spent), "error": error}
+    return _named(blank, e).select(*KEY, *[values[c].cast(t).alias(c) for c, t in _FIT_TYPES if c not in KEY])
 
 
 def _fit(hours: DataFrame, experiments: list[Experiment], done: DataFrame | None = None) -> Iterable[DataFrame]:
@@ -169,8 +172,6 @@ def _fit(hours: DataFrame, experiments: list[Experiment], done: DataFrame | None
     by_key: dict[tuple, list[Experiment]] = {}
     linear: dict[bool, list[DataFrame]] = {False: [], True: []}
     for e in experiments:
-        if e.model not in [*K.TREE_MODELS, K.LINEAR_MODEL]:
-            raise ValueError(f"no trainer for model: {e.model}")
         by_key.setdefault(e.sample_key, []).append(e)
     prepared = prepare_for(hours, experiments)
     for same in by_key.values():
@@ -193,9 +194,13 @@ def _fit(hours: DataFrame, experiments: list[Experiment], done: DataFrame | None
 def run_fits(hours: DataFrame, experiments: list[Experiment], done: DataFrame | None = None) -> DataFrame:
     """Forecasts of the test part, one row per sample, written to the checkpoint folder.
 
-    A group that cannot be fitted gives one row with its error instead.
+    A group that cannot be fitted gives one row with its error instead; models without a trainer give none.
     """
-    return cut_lineage(reduce(DataFrame.unionByName, _fit(hours, experiments, done)))
+    own = [e for e in experiments if e.model in TRAINED_MODELS]
+    if not own:
+        kept = [c for c in FIT_SCHEMA.split(", ") if c.split()[0] not in ("lo", "hi")]
+        return hours.sparkSession.createDataFrame([], ", ".join(kept))
+    return cut_lineage(reduce(DataFrame.unionByName, _fit(hours, own, done)))
 
 
 def _settings(work: DataFrame, experiments: list[Experiment]) -> DataFrame:
@@ -232,6 +237,7 @@ def results_of(plants: DataFrame, fits: DataFrame, experiments: list[Experiment]
     work = _settings(plants, experiments)
     joined = work.join(meta, KEY, "left").join(scores, KEY, "left")
     ok = F.col("mae").isNotNull()
+    no_trainer = F.when(~F.col("model").isin(TRAINED_MODELS), F.concat(F.lit("no trainer for model "), "model"))
     return joined.withColumns(
         {
             "status": F.when(ok, "SUCCESS").otherwise("FAILED"),
@@ -240,7 +246,7 @@ def results_of(plants: DataFrame, fits: DataFrame, experiments: list[Experiment]
             "test_samples": F.coalesce("samples", F.lit(0)),
             "best_epoch": F.lit(0),
             "param_count": F.coalesce("param_count", F.lit(0)),
-            "error": F.when(~ok, F.coalesce("problem", F.lit("unable to create any valid samples"))),
+            "error": F.when(~ok, F.coalesce("problem", no_trainer, F.lit("unable to create any valid samples"))),
         }
     ).drop("seconds", "problem")
 

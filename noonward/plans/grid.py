@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noonward import constants as K
-from noonward.functions.columns import experiment_name, forecast_only, scenario_label
+from noonward.functions.columns import experiment_name, forecast_only, model_family, scenario_label
 
 RESULT_KEY = ["plant_id", "experiment_name"]
 
@@ -84,13 +84,8 @@ def label_scenarios(grid: DataFrame) -> DataFrame:
 
 def count_by_family(grid: DataFrame) -> DataFrame:
     """Experiments per plant and model family, with the plant's total."""
-    family = (
-        F.when(F.col("model").isin(K.DEEP_MODELS), "deep")
-        .when(F.col("model").isin(K.TREE_MODELS), "tree")
-        .otherwise("linear")
-    )
     return (
-        grid.select("plant_id", family.alias("family"))
+        grid.select("plant_id", model_family().alias("family"))
         .groupBy("plant_id", "family")
         .agg(F.count(F.lit(1)).alias("n"))
         .rollup("plant_id", "family")

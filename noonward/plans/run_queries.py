@@ -15,7 +15,7 @@ from noonward.session import shared_folder
 from noonward.sinks.tables import append_new, append_results
 from noonward.sources import configs as C
 from noonward.sources.hourly import date_ranges
-from noonward.sources.results import as_results, read_results, union_results
+from noonward.sources.results import read_results, union_results
 
 _OVERLAID = f"""select plant_id, plant_name, data_path, coalesce(start_date, '{K.DEFAULT_START}') as start_date,
   coalesce(end_date, '{K.DEFAULT_END}') as end_date, coalesce(train_ratio, cast(0.8 as double)) as train_ratio,
@@ -457,10 +457,6 @@ def best_config_per_plant(spark, folder):
     return R.best_configuration(X.results(spark, folder), "plant_id").withColumn("mae", half_even("mae", 6))
 
 
-def _params_sql(columns):
-    return ", ".join(f"round_even({c}, 6) as {c}" for c in columns)
-
-
 _PRESET_ROWS = ", ".join(
     [f"('tree', '{lv}', {t}, {d}, {r}, null)" for lv, (t, d, r) in K.TREE_PRESETS.items()]
     + [f"('deep', '{lv}', null, null, 0.001, {e})" for lv, (e, *_) in K.DEEP_PRESETS.items()]

@@ -17,7 +17,7 @@ from noonward.plans import experiments as E
 from noonward.plans.reports import STUDY_METRICS, aggregate_over_plants, pivot_formatted
 from noonward.sinks.tables import save_study_table
 
-FITTED_MODELS = [*K.TREE_MODELS, K.LINEAR_MODEL]
+FITTED_MODELS = E.TRAINED_MODELS
 # Studies that leave the linear model out.
 WITHOUT_LINEAR = {"lookback_window", "model_complexity"}
 # The column each study varies.

@@ -125,9 +125,17 @@ def test_grid_experiments():
     assert E.tree_grid("RF")[0].experiment_name == "RF_low_PV_24h_TE"
 
 
-def test_unknown_models_are_errors(hourly):
-    with pytest.raises(ValueError):
-        E.run_fits(hourly(full_days("a", "2022-01-01", 3)), [E.Experiment("LSTM", "PV")])
+def test_failures_become_rows(spark, hourly):
+    experiments = [E.Experiment("LSTM", "PV"), E.base_experiment("RF", weather_category="solar_irradiance_only")]
+    results = E.run_experiments(hourly(full_days("a", "2022-01-01", 3)), experiments).collect()
+    got = {r["model"]: r for r in results}
+    assert {r["status"] for r in results} == {"FAILED"} and len(results) == 2
+    assert got["LSTM"]["error"] == "no trainer for model LSTM" and got["RF"]["error"]
+    only = E.run_experiments(hourly(full_days("a", "2022-01-01", 3)), experiments[:1]).collect()
+    assert [r["status"] for r in only] == ["FAILED"]
+
+
+def test_unknown_names_are_errors():
     with pytest.raises(ValueError):
         tree_model("GBM", {})
     with pytest.raises(ValueError):

@@ -162,3 +162,14 @@ def test_study_tables_are_ordered_by_model(spark, tmp_path):
 def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
     assert cut_lineage(spark.range(3)).count() == 3
     assert shared_folder(spark) != shared_folder(spark)
+
+
+def test_other_tables_are_saved(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "e", 1)], "plant_id string, experiment_name string, epoch int")
+    S.save_epoch_log(rows, str(tmp_path / "log"))
+    S.save_epoch_log(rows, str(tmp_path / "log"))
+    S.save_forecasts(rows, str(tmp_path / "forecasts"))
+    S.save_status_report(rows, str(tmp_path / "status"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "forecasts")).count() == 1
+    assert spark.read.option("header", True).csv(str(tmp_path / "status")).columns == rows.columns
