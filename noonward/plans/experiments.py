@@ -13,7 +13,7 @@ from noonward.functions.columns import clip_percent, half_even
 from noonward.operators import windows as W
 from noonward.operators.evaluate import experiment_metrics, long_forecasts
 from noonward.operators.linear import FIT_SCHEMA, KEY, fit_daily, fit_hourly
-from noonward.operators.prepare import Prepared, plan_features, prepare, unscale
+from noonward.operators.prepare import FeaturePlan, Prepared, plan_features, prepare, unscale
 from noonward.operators.splits import daily_part, hourly_part
 from noonward.operators.trees import fit_trees
 from noonward.plans.grid import pending, tree_params
@@ -45,16 +45,12 @@ class Experiment:
     name: str = ""
     tags: dict[str, str] = field(default_factory=dict)
 
-    @property
-    def feature_key(self) -> tuple:
-        """Experiments with the same key are prepared alike."""
-        return self.scenario, self.weather_category, self.time_encoding, self.start, self.end
-
     @property
     def sample_key(self) -> tuple:
         """Experiments with the same key have the same samples."""
+        features = self.scenario, self.weather_category, self.time_encoding, self.start, self.end
         split = self.shuffle, self.seed, self.train_ratio, self.val_ratio
-        return *self.feature_key, self.lookback_hours, self.sliding, *split
+        return *features, self.lookback_hours, self.sliding, *split
 
     @property
     def experiment_name(self) -> str:
@@ -92,18 +88,25 @@ def base_experiment(model: str, **changes) -> Experiment:
 
 
 def prepare_for(hours: DataFrame, experiments: list[Experiment]) -> dict[tuple, Prepared]:
-    """Prepared hours per feature key, stored where several sample sets are cut from them."""
-    sets: dict[tuple, dict[tuple, Experiment]] = {}
+    """Prepared hours per sample key.
+
+    Which rows are kept depends only on the dates and the forecast columns that must be filled, so
+    experiments that agree on these share one preparation with the columns of all of them (three for
+    the whole grid). It is stored where several sample sets are cut from it.
+    """
+    groups: dict[tuple, dict[tuple, FeaturePlan]] = {}
     for e in experiments:
-        sets.setdefault(e.feature_key, {})[e.sample_key] = e
-    made = {}
-    for key, cuts in sets.items():
-        e = next(iter(cuts.values()))
         plan = plan_features(e.scenario, e.weather_category, e.time_encoding, hours.columns)
-        prepared = prepare(hours, plan, e.start, e.end)
-        if len(cuts) > 1:
+        rows = frozenset(plan.fcst) - set(K.TIME_FEATURES), e.start, e.end
+        groups.setdefault(rows, {})[e.sample_key] = plan
+    made = {}
+    for (_, start, end), plans in groups.items():
+        hist = dict.fromkeys(c for plan in plans.values() for c in plan.hist)
+        fcst = dict.fromkeys(c for plan in plans.values() for c in plan.fcst)
+        prepared = prepare(hours, FeaturePlan(list(hist), list(fcst), False), start, end)
+        if len(plans) > 1:
             prepared = replace(prepared, hours=store(prepared.hours), spine=store(prepared.spine))
-        made[key] = prepared
+        made |= {key: replace(prepared, plan=plan) for key, plan in plans.items()}
     return made
 
 
@@ -175,7 +178,7 @@ def _fit(hours: DataFrame, experiments: list[Experiment], done: DataFrame | None
         by_key.setdefault(e.sample_key, []).append(e)
     prepared = prepare_for(hours, experiments)
     for same in by_key.values():
-        own = prepared[same[0].feature_key]
+        own = prepared[same[0].sample_key]
         trees = [e for e in same if e.model in K.TREE_MODELS]
         if trees:
             samples = cut_lineage(samples_of(own, trees[0]))

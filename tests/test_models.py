@@ -119,6 +119,18 @@ def test_sliding_linear_experiment(spark, hourly):
     assert all(r["r2"] > 0.99 for r in E.results_of(hours.select("plant_id").distinct(), fits, experiments).collect())
 
 
+def test_shared_preparation_gives_the_same_samples(hourly):
+    rows = [r if i % 97 else (*r[:5], None) for i, r in enumerate(driven("a", 5, n=15))]
+    hours = hourly(rows)
+    choices = [E.Experiment("RF", s, lookback_hours=h, time_encoding=t, shuffle=False) for s, h, t in
+               [("PV", 24, True), ("PV+HW", 48, False), ("PV+NWP", 24, False), ("NWP", 0, True), ("NWP+", 0, False)]]
+    together = E.prepare_for(hours, choices)
+    for e in choices:
+        alone = E.samples_of(E.prepare_for(hours, [e])[e.sample_key], e).orderBy("sample_idx").collect()
+        shared = E.samples_of(together[e.sample_key], e).orderBy("sample_idx").collect()
+        assert alone == shared and alone
+
+
 def test_grid_experiments():
     assert len(E.linear_grid()) == 4 and sum(len(E.tree_grid(m)) for m in K.TREE_MODELS) == 120
     assert {e.experiment_name for e in E.linear_grid()} == {"Linear_NWP_TE", "Linear_NWP_noTE", "Linear_NWP+_TE", "Linear_NWP+_noTE"}
