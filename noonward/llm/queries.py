@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from noonward.llm import bpe, chat, token_counts, url_filter
+from noonward.llm import bpe, chat, quality_rules, token_counts, url_filter
 from noonward.llm.common import table
 from noonward.llm.registry import ORACLE, QUERIES, query
 from noonward.session import shared_folder
@@ -105,3 +105,11 @@ def op10_url_filter(spark, folder):
     rules = [r for prefix in URL_PREFIXES for r in url_filter.prefix_rules(*prefix)]
     rules += [url_filter.Rule(g, "block") for g in URL_GLOBS]
     return url_filter.judge(table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    judged = quality_rules.judge(quality_rules.measure(docs).drop("text"))
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *own, "base_failed", "kept", F.round("p_good", 9).alias("p_good"))
