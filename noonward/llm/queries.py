@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from noonward.llm import bpe, chat, quality_rules, token_counts, url_filter
+from noonward.llm import bpe, chat, jaccard_join, quality_rules, token_counts, url_filter
 from noonward.llm.common import table
 from noonward.llm.registry import ORACLE, QUERIES, query
 from noonward.session import shared_folder
@@ -113,3 +113,9 @@ def op9_quality_rules(spark, folder):
     judged = quality_rules.judge(quality_rules.measure(docs).drop("text"))
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *own, "base_failed", "kept", F.round("p_good", 9).alias("p_good"))
+
+
+@query("op7_jaccard_join")
+def op7_jaccard_join(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_groups(docs, jaccard_join.Settings(words=4, percent=85))
