@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from noonward.llm import bpe, chat, jaccard_join, quality_rules, token_counts, url_filter
+from noonward.llm import bpe, chat, decontaminate, jaccard_join, pii, quality_rules, token_counts, url_filter
 from noonward.llm.common import table
 from noonward.llm.registry import ORACLE, QUERIES, query
 from noonward.session import shared_folder
@@ -119,3 +119,18 @@ def op9_quality_rules(spark, folder):
 def op7_jaccard_join(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return jaccard_join.jaccard_groups(docs, jaccard_join.Settings(words=4, percent=85))
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, folder, "benchmark"))
+
+
+@query("op8_pii")
+def op8_pii(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find_spans(pii.detect(docs).drop("text"))
+    counts = [F.size(pii.of_kind("base", k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    base = F.sha2(pii.listed(F.col("base")), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
