@@ -11,14 +11,14 @@ Texts and items are compared as their letters and digits in lower case, words ap
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from noonward.llm.common import slices
+from noonward.llm.common import slices, without
 
 #: Characters of benchmark items that go to the tasks at a time; larger benchmarks take several passes.
 BLOCK_CHARS = 4_000_000
@@ -149,50 +149,66 @@ class Matcher:
         return out
 
 
-SCHEMA = "doc_id long, item_id long, distance long, start long, end long, matches long"
+LEAK = T.StructType([T.StructField(c, T.LongType()) for c in ("item_id", "distance", "start", "end", "matches")])
 
 
-def _block(docs: DataFrame, rows: list, rate: float) -> DataFrame:
+def _searched(docs: DataFrame, rows: list, rate: float, text: str) -> DataFrame:
+    """`docs` with the finds of a block of items added to its column leaks."""
     items = [(r.item_id, r.item) for r in rows]
+    kind = pa.list_(pa.struct([(f.name, pa.int64()) for f in LEAK]))
 
     def run(batches):
         matcher = Matcher([Item.of(i, t, rate) for i, t in items])
-        for batch, texts in slices(batches, "text"):
-            out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts):
+        for batch, texts in slices(batches, text):
+            leaks = []
+            for whole, known in zip(texts, batch.column("leaks").to_pylist()):
                 by_item: dict[int, list] = {}
-                for i, *match in matcher.search(normalised(text)):
+                for i, *match in matcher.search(normalised(whole)):
                     by_item.setdefault(i, []).append(match)
+                out = list(known or ())
                 if by_item:
-                    _, starts, ends = normalised_places(text)
-                    for i, matches in by_item.items():
-                        d, low, high = min(matches)
-                        out.append((doc_id, items[i][0], d, starts[low], ends[high - 1], len(matches)))
-            columns = zip(*out) if out else [[]] * 6
-            names = ["doc_id", "item_id", "distance", "start", "end", "matches"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=names)
+                    _, starts, ends = normalised_places(whole)
+                for i, matches in by_item.items():
+                    d, low, high = min(matches)
+                    at = dict(start=starts[low], end=ends[high - 1])
+                    out.append(dict(item_id=items[i][0], distance=d, **at, matches=len(matches)))
+                leaks.append(out)
+            place = batch.schema.get_field_index("leaks")
+            yield batch.set_column(place, "leaks", pa.array(leaks, kind))
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, docs.schema)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.0625, min_words: int = 5) -> DataFrame:
-    """(doc_id, item_id, distance, start, end, matches) for each row of `docs` and test item that it contains.
+def with_leaks(
+    docs: DataFrame, benchmark: DataFrame, rate: float = 0.0625, min_words: int = 5, text: str = "text"
+) -> DataFrame:
+    """`docs` with leaks: for each test item that the text contains its item_id, distance, start, end and matches.
 
     distance, start and end (code points of the text) are those of the best match, the first of equals; matches
-    counts the stretches where the item was found. `docs` needs (doc_id, text) and `benchmark` (item_id, text);
-    other columns are not used. Missing and empty texts contain nothing. Items of fewer than `min_words` words, or
-    without any, are no evidence and match nothing. Repeated rows of `docs` are searched one by one; repeated items
-    count once. Items go to the tasks in blocks of about BLOCK_CHARS characters, each a pass over all documents.
+    counts the stretches where the item was found. `benchmark` needs (item_id, text); its other columns are not
+    used. Missing and empty texts contain nothing. Items of fewer than `min_words` words, or without any, are no
+    evidence and match nothing. Rows of `docs` stay as they are, repeated ones too; repeated items count once. A
+    column called leaks is replaced. Items go to the tasks in blocks of about BLOCK_CHARS characters, each a pass
+    over all texts.
     """
-    spark = docs.sparkSession
-    clean = F.udf(normalised, "string")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), clean(F.coalesce("text", F.lit(""))).alias("item"))
-    items = items.distinct().filter(F.size(F.split("item", " ")) >= min_words).filter("item <> ''")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def clean(batches):
+        for batch, texts in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([normalised(t) for t in texts], pa.string())], names=["item_id", "item"])
+
+    items = items.mapInArrow(clean, "item_id long, item string").distinct()
+    items = items.filter((F.col("item") != "") & (F.size(F.split("item", " ")) >= min_words))
     chars = items.agg(F.sum(F.length("item"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = []
+    out = without(docs, "leaks").withColumn("leaks", F.array().cast(T.ArrayType(LEAK)))
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item_id", "item")
-        parts.append(_block(texts, block.collect(), rate))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)
+        out = _searched(out, block.collect(), rate, text)
+    return out
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.0625, min_words: int = 5) -> DataFrame:
+    """(doc_id, item_id, distance, start, end, matches): the leaks of `docs` (doc_id, text), a row each."""
+    found = with_leaks(docs.select("doc_id", "text"), benchmark, rate, min_words)
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")

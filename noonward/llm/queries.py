@@ -1,9 +1,10 @@
 """Registered queries of the operators, with the parameters they run with in production."""
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from noonward.llm import bpe, chat, decontaminate, jaccard_join, pii, quality_rules, token_counts, url_filter
+from noonward.llm import bpe, chat, decontaminate, jaccard_join, license_scan, line_dedup, pii, quality_rules, token_counts, url_filter
 from noonward.llm.common import table
 from noonward.llm.registry import ORACLE, QUERIES, query
 from noonward.session import shared_folder
@@ -134,3 +135,60 @@ def op8_pii(spark, folder):
     counts = [F.size(pii.of_kind("base", k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     base = F.sha2(pii.listed(F.col("base")), 256)
     return found.select("doc_id", *counts, base.alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+REPEATED_WORDS = 5
+OP3_SQL = f"""
+with t as (
+  select doc_id, text, unnest(regexp_extract_all(text, '\\n|[^\\n.!?]*[.!?]+|[^\\n.!?]+')) as part,
+    generate_subscripts(regexp_extract_all(text, '\\n|[^\\n.!?]*[.!?]+|[^\\n.!?]+'), 1) as pos
+  from documents where text <> ''
+), u as (
+  select doc_id, pos, part, trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[ \\t-\\r]+', ' ', 'g'), ' ') as unit,
+    sum(length(part)) over (partition by doc_id order by pos) - length(part) as low
+  from t
+), own as (
+  select *, length(unit) - length(replace(unit, ' ', '')) + 1 as words,
+    low + length(part) - length(ltrim(part, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as a,
+    low + length(rtrim(part, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as b
+  from u where unit <> ''
+), ranked as (
+  select *, row_number() over (partition by unit order by doc_id nulls last, pos) as k
+  from own where words >= {REPEATED_WORDS}
+), marked as (
+  select o.doc_id, o.pos, o.a, o.b, coalesce(r.k > 1, false) as gone, r.k is not null as counted
+  from own o left join ranked r on o.doc_id is not distinct from r.doc_id and o.pos = r.pos
+), runs as (
+  select *, sum(case when gone and lag_gone then 0 else 1 end) over (partition by doc_id order by pos) as run
+  from (select *, coalesce(lag(gone) over (partition by doc_id order by pos), false) as lag_gone from marked)
+), spans as (
+  select doc_id, min(a) as a, max(b) as b from runs where gone group by doc_id, run
+), cut as (
+  select doc_id, string_agg(a || ':' || b, ',' order by a) as removed, cast(sum(b - a) as bigint) as removed_chars
+  from spans group by doc_id
+), counts as (select doc_id, cast(count(*) filter (counted) as bigint) as n_units from marked group by doc_id)
+select d.doc_id, coalesce(n_units, 0) as n_units, coalesce(removed, '') as removed,
+  cast(length(coalesce(d.text, '')) - coalesce(removed_chars, 0) as bigint) as kept_chars
+from documents d left join cut c on d.doc_id = c.doc_id left join counts n on d.doc_id = n.doc_id
+"""
+
+
+@query("op3_line_dedup", OP3_SQL)
+def op3_line_dedup(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    made = line_dedup.remove_repeats(docs, REPEATED_WORDS)
+    spans = F.transform("removed", lambda s: F.concat_ws(":", s.start, s.end))
+    kept = F.length(F.coalesce("kept_text", F.lit(""))).cast("long")
+    return made.select("doc_id", "n_units", F.array_join(spans, ",").alias("removed"), kept.alias("kept_chars"))
+
+
+@query("op4_license_scan")
+def op4_license_scan(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    told = F.transform("licenses", lambda m: F.concat_ws(":", m.license, m.start, m.end, m.matched))
+    found = license_scan.scan(docs)
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(told, ",").alias("licenses"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
