@@ -3,11 +3,13 @@
 import os
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Characters of text that a Python worker handles at a time.
-CHUNK_CHARS = 4_000_000
+#: UTF-8 bytes of text that a Python worker handles at a time.
+CHUNK_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,23 +22,22 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in taken])
 
 
-def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
+def texts_of(column: pa.Array) -> list[str]:
     """The texts of an Arrow column; a missing one counts as empty."""
     return ["" if t is None else t for t in column.to_pylist()]
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Batches cut so that each piece holds about CHUNK_CHARS characters; a longer text is a piece by itself."""
+    """Batches cut so that each piece holds about CHUNK_BYTES of text; a longer text is a piece by itself."""
     for batch in batches:
-        texts = texts_of(batch.column(column))
-        start = held = 0
-        for i, text in enumerate(texts):
-            if held and held + len(text) > CHUNK_CHARS:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, held = i, 0
-            held += len(text)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        texts = batch.column(column)
+        held = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < len(texts):
+            before = held[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(held, before + CHUNK_BYTES, "right")))
+            yield batch.slice(start, end - start), texts_of(texts.slice(start, end - start))
+            start = end
 
 
 def extended(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
