@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noonward.session import store
+from noonward.session import discard, store
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,13 +16,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     real = edges.filter("a is not null and b is not null and a <> b").select("a", "b")
     both = store(real.union(real.select("b", "a")).distinct())
-    labels = store(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "id"))
-    while True:
+    start = both.groupBy("a").agg(F.least("a", F.min("b")).alias("label"))
+    labels = store(start.select(F.col("a").alias("id"), "label", F.lit(True).alias("moved")))
+    while not labels.filter("moved").isEmpty():
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", "label", F.least("label", "near").alias("least"))
         jump = step.select(F.col("id").alias("least"), F.col("least").alias("further"))
-        moved = step.join(jump, "least").select("id", F.least("least", "further").alias("new"), F.col("label").alias("old"))
-        moved = store(moved)
-        labels = moved.select("id", F.col("new").alias("label"))
-        if moved.filter("new <> old").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        new = F.least("least", "further")
+        before, labels = labels, store(step.join(jump, "least").select("id", new.alias("label"), (new != F.col("label")).alias("moved")))
+        discard(before)
+    discard(both)
+    return labels.select("id", F.col("label").alias("component"))

@@ -10,8 +10,9 @@ and again for each frequent n-gram in its reach, since leaving those for last le
 1. Equal sets are one set, known by the least doc_id of its copies.
 2. Prefix members are dealt out by n-gram; those that only one set holds go no further.
 3. Sets that share fewer members than they must are dropped, and again with what is left of each n-gram's sets.
-4. What remains is grouped through its shared n-grams into clusters. A cluster is not a result: it is the set of
-   documents among which all links lie. Large ones are cut into blocks, and each pair of blocks is a task.
+4. Pairs that share as many members as they must connect the rest into clusters. A cluster is not a result: it is
+   a set of documents outside which they have no links. Large ones are cut into blocks, and each pair of blocks is
+   a task.
 5. In each task, full sets are compared exactly. A breadth-first search compares the set at hand with all that
    are not reached yet, so that copies cost one comparison each, and no link between components is missed.
 6. The links found, one per set and task at most, are joined up to components.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from noonward.llm.common import slices
 from noonward.llm.components import components
-from noonward.session import store
+from noonward.session import discard, store
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,8 @@ class Settings:
     listed: int = 1 << 16
     #: One more match is asked for per so many members.
     per_match: int = 32
+    #: A member that up to so many sets have is looked at pair by pair.
+    few: int = 32
     #: Members of sets in a block, and about so many in a task.
     block: int = 1_000_000
 
@@ -144,19 +147,50 @@ def frequent_members(sets: DataFrame, s: Settings) -> np.ndarray:
     return np.sort(np.array([r[0] for r in top.select("member").collect()], np.int64).view(np.uint64))
 
 
-def _needed(s: Settings, n: str = "n"):
-    shared = lambda c: F.ceil(c * s.percent / 100)
-    least = shared(F.col(n))
-    return F.least(shared(least), F.floor(least / s.per_match) + 1)
+def _least_shared(s: Settings, n):
+    return F.ceil(n * s.percent / 100)
+
+
+def _base_matches(s: Settings, n):
+    return F.least(_least_shared(s, n), F.floor(n / s.per_match) + 1)
+
+
+def _needed(s: Settings):
+    return _base_matches(s, _least_shared(s, F.col("n")))
 
 
 def _peeled(hits: DataFrame, s: Settings) -> DataFrame:
-    """Of (member, doc_id, n) those whose set has enough members that other sets have as well."""
+    """Of (member, doc_id, n) those whose set has enough members that other sets have as well.
+
+    With each comes how many of these sets have the member, and the first of them.
+    """
+    hits = hits.select("member", "doc_id", "n")
     enough = hits.groupBy("doc_id").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
     enough = enough.filter(F.col("shared") >= _needed(s)).select("doc_id")
     left = hits.join(enough, "doc_id", "left_semi")
-    ends = left.groupBy("member").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    return store(left.join(ends.filter("first <> last").select("member", "first"), "member"))
+    groups = left.groupBy("member").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("held"))
+    return store(left.join(groups.filter("first <> last").drop("last"), "member"))
+
+
+def _candidates(hits: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) that connect all documents among which there may be links.
+
+    A member that few sets have says which pairs share it; pairs that share at least the smaller of their q stay,
+    counted over all such members. A member of many sets connects all of them to the first instead, so that rows
+    never grow with the square of a group.
+    """
+    few = hits.filter(F.col("held") <= s.few).groupBy("member")
+    rows = few.agg(F.sort_array(F.collect_list(F.struct("doc_id", "n"))).alias("sets")).select("sets")
+
+    def later(a, i):
+        near = F.filter(F.slice("sets", i + 2, s.few), lambda b: F.greatest(a.n, b.n) * s.percent <= F.least(a.n, b.n) * 100)
+        return F.transform(near, lambda b: F.struct(a.doc_id.alias("a"), b.doc_id.alias("b"), F.least(a.n, b.n).alias("n")))
+
+    pairs = rows.select(F.explode(F.flatten(F.transform("sets", later))).alias("pair")).select("pair.*")
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
+    enough = counted.filter(F.col("shared") >= _base_matches(s, F.col("n"))).select("a", "b")
+    many = hits.filter(F.col("held") > s.few).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    return enough.union(many.distinct())
 
 
 def _shared_members(prefixes: DataFrame, listed: np.ndarray) -> DataFrame:
@@ -263,18 +297,25 @@ def jaccard_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     none = np.empty(0, np.uint64)
-    first = store(_sets(docs, s, none))
-    listed = frequent_members(first.filter("n > 0"), s)
-    again = _sets(docs, s, listed) if listed.size else first
+    counted = store(_sets(docs, s, none))
+    listed = frequent_members(counted.filter("n > 0"), s)
+    first = store(counted.drop("prefix"))
+    again = _sets(docs, s, listed) if listed.size else counted
     one_each = again.filter("n > 0").groupBy("hi", "lo").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
     )
-    hits = store(_shared_members(one_each.filter("doc_id is not null").select("doc_id", "n", "prefix"), listed))
-    hits = _peeled(_peeled(hits, s).drop("first"), s)
-    clusters = components(hits.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+    one_each = store(one_each.filter("doc_id is not null").select("doc_id", "n", "prefix"))
+    discard(counted)
+    shared = store(_shared_members(one_each, listed))
+    once = _peeled(shared, s)
+    hits = _peeled(once, s)
+    discard(one_each, shared, once)
+    clusters = components(_candidates(hits, s))
     sizes = hits.groupBy("doc_id").agg(F.max("n").alias("n"))
     clustered = sizes.join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
-    links = store(_links(docs, _blocks(store(clustered), s), s))
+    clustered = store(clustered)
+    discard(hits)
+    links = store(_links(docs, _blocks(clustered, s), s))
     found = components(links).select(F.col("id").alias("own"), "component")
     sets = first.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("own")).join(found, "own", "left")
     sets = sets.select("hi", "lo", F.coalesce("component", "own").alias("component"))
