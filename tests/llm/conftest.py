@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import types as T
 
@@ -41,3 +43,11 @@ def fields(df) -> list[str]:
     assert len({f.name.lower() for f in df.schema}) == len(df.schema)
     assert isinstance(df.schema, T.StructType)
     return df.columns
+
+
+@pytest.fixture
+def data_folder():
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    return folder
