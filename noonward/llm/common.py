@@ -22,6 +22,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in taken])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or that with further underscores, so that `df` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The texts of an Arrow column; a missing one counts as empty."""
     return ["" if t is None else t for t in column.to_pylist()]

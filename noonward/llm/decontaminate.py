@@ -27,7 +27,7 @@ GAP = re.compile(r"[\W_]+")
 
 
 def normalised(text: str) -> str:
-    return GAP.sub(" ", text.lower()).strip()
+    return GAP.sub(" ", text).strip().lower()
 
 
 def normalised_places(text: str) -> tuple[str, list[int], list[int]]:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noonward.llm.common import slices, without
+from noonward.llm.common import slices, unused, without
 
 #: These stretches fill a text without a gap.
 UNIT = re.compile(r"\n|[^\n.!?]*[.!?]+|[^\n.!?]+")
@@ -49,7 +49,7 @@ def _digests(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def _repeats(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, digests): per document its units that a document of lesser doc_id holds as well, 16 bytes each.
+    """(doc_id, repeats): per document its units that a document of lesser doc_id holds as well, 16 bytes each.
 
     What is grouped are minima, which combine before the shuffle, so that a unit that a third of all documents
     share is a few rows. The join back may split the rows of such a unit.
@@ -58,7 +58,7 @@ def _repeats(docs: DataFrame, min_words: int) -> DataFrame:
     first = each.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     first = first.filter("n > 1").select("hi", "lo", "first")
     later = each.join(first, ["hi", "lo"]).filter("not doc_id <=> first")
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("_repeats"))
+    return later.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("repeats"))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 5, text: str = "text") -> DataFrame:
@@ -70,10 +70,11 @@ def remove_repeats(docs: DataFrame, min_words: int = 5, text: str = "text") -> D
     each keeps what that document keeps, and loses what it repeats itself. Rows without a doc_id rank behind all
     others and among themselves as one document. Columns called as the results are replaced.
     """
-    base = without(docs, "n_units", "removed", "kept_text", "_repeats")
+    base = without(docs, "n_units", "removed", "kept_text")
+    key, held = unused(base, "_id"), unused(base, "_repeats")
     slim = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    repeats = _repeats(slim, min_words).withColumnRenamed("doc_id", "_id")
-    joined = base.join(repeats, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    repeats = _repeats(slim, min_words).select(F.col("doc_id").alias(key), F.col("repeats").alias(held))
+    joined = base.join(repeats, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left").drop(key)
 
     own_columns = base.columns
 
@@ -81,7 +82,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 5, text: str = "text") -> D
         for batch, texts in slices(batches, text):
             missing = batch.column(text).is_null().to_pylist()
             n_units, removed, kept = [], [], []
-            for whole, gone, null in zip(texts, batch.column("_repeats").to_pylist(), missing):
+            for whole, gone, null in zip(texts, batch.column(held).to_pylist(), missing):
                 bad = {np.array([g["hi"], g["lo"]], np.int64).tobytes() for g in gone or ()}
                 spans, seen, own = [], set(), units(whole, min_words)
                 for low, high, digest in own:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noonward.llm.common import without
+from noonward.llm.common import unused, without
 from noonward.session import store
 
 #: Word separators: blank, tab to carriage return.
@@ -88,34 +88,35 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     A missing text counts as empty: all counts are 0. Columns of these names are replaced; rows stay as they are,
     repeated ones too.
     """
-    base = without(docs, *COUNTS, "_words", "_lines", "_windows")
+    base = without(docs, *COUNTS)
+    words, lines, hashed = (unused(base, name) for name in ("_words", "_lines", "_windows"))
     whole = F.coalesce(F.col(text), F.lit(""))
     arrays = base.withColumns(
         {
-            "_words": F.filter(F.split(whole, GAPS), lambda w: w != ""),
-            "_lines": F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^ \t-\r]")),
+            words: F.filter(F.split(whole, GAPS), lambda w: w != ""),
+            lines: F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^ \t-\r]")),
         }
     )
     windows = arrays.withColumn(
-        "_windows",
+        hashed,
         F.transform(
-            F.slice("_words", 1, F.greatest(F.size("_words") - 2, F.lit(0))),
-            lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)),
+            F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
+            lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)),
         ),
     )
-    glued = F.array_join("_words", "")
+    glued = F.array_join(words, "")
     counts = {
-        "n_words": F.size("_words"),
+        "n_words": F.size(words),
         "word_chars": F.length(glued),
         "n_symbols": F.length(glued) - F.length(F.regexp_replace(glued, "[#*$%&|<>]+", "")),
-        "n_lines": F.size("_lines"),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_ended_lines": F.size(F.filter("_lines", lambda x: x.rlike(r"[.!?\"'»”…][ \t-\r]*$"))),
-        "n_repeat_words": _repeat_words(F.col("_windows")),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_ended_lines": F.size(F.filter(lines, lambda x: x.rlike(r"[.!?\"'»”…][ \t-\r]*$"))),
+        "n_repeat_words": _repeat_words(F.col(hashed)),
         "n_upper": F.length(glued) - F.length(F.regexp_replace(glued, r"\p{Lu}+", "")),
         "n_letters": F.length(F.regexp_replace(glued, r"[^\p{L}]+", "")),
     }
-    return windows.withColumns({c: e.cast("long") for c, e in counts.items()}).drop("_words", "_lines", "_windows")
+    return windows.withColumns({c: e.cast("long") for c, e in counts.items()}).drop(words, lines, hashed)
 
 
 def base_failed() -> Column:

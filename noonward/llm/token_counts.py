@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from noonward.llm.bpe import per_text_sums, split_batch
-from noonward.llm.common import slices, without
+from noonward.llm.common import slices, unused, without
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -104,6 +104,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, cache: str,
     misses = encode_misses(docs, stored(), tokenizer_path, pattern, text)
     misses.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     out = without(docs, "n_bytes", "n_tokens")
-    counts = stored().select(F.col("digest").alias("_digest"), "n_tokens")
-    sized = out.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "_digest": content_digest(text)})
-    return sized.join(counts, "_digest", "left").select(*out.columns, "n_bytes", "n_tokens")
+    key = unused(out, "_digest")
+    counts = stored().select(F.col("digest").alias(key), "n_tokens")
+    sized = out.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), key: content_digest(text)})
+    return sized.join(counts, key, "left").select(*out.columns, "n_bytes", "n_tokens")
