@@ -76,7 +76,7 @@ def test_empty_table_clashing_names_and_no_python(documents, clashing):
     assert qr.judge(qr.measure(documents([]))).count() == 0
     df = qr.judge(qr.measure(clashing([(1, "a b")], "n_words", "VOTES", "kept", "_words", "p_good")))
     row = df.first()
-    assert (row.n_words, row.kept) == (2, False) and len({c.lower() for c in df.columns}) == len(df.columns)
+    assert (row.n_words, row.kept, row._words) == (2, False, "mine") and len({c.lower() for c in df.columns}) == len(df.columns)
     plan = qr.measure(documents([(1, "a")]).select(F.col("text")))._jdf.queryExecution().toString()
     assert "Python" not in plan.replace("PythonRDD", "") and "Arrow" not in plan
 
