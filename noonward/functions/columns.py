@@ -18,8 +18,9 @@ def absent_if_nan(col) -> Column:
 
 
 def hour_stamp(year, month, day, hour) -> Column:
+    """The hour as a time stamp; null where there is no such date or hour."""
     zero = F.lit(0)
-    return F.make_timestamp_ntz(year, month, day, hour, zero, zero)
+    return F.try_make_timestamp_ntz(year, month, day, hour, zero, zero)
 
 
 def cyclic(col, period: int) -> tuple[Column, Column]:

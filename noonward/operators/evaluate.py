@@ -97,12 +97,16 @@ def experiment_metrics(forecasts: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def study_daily_metrics(forecasts: DataFrame, *keys: str) -> DataFrame:
-    """Daily MAE, RMSE and R2 with the flat RMSE over the range of the truth, per study row."""
+def study_daily_metrics(forecasts: DataFrame, *keys: str, days: str | None = None) -> DataFrame:
+    """Daily MAE, RMSE and R2 with the flat RMSE over the range of the truth, per study row.
+
+    `days` names a column for the number of days or windows.
+    """
+    counted = [F.col("n_days").alias(days)] if days else []
     spread = F.col("range_true")
     nrmse = F.when(spread == 0, F.lit(float("inf"))).otherwise(F.col("flat_rmse") / F.nullif(spread, F.lit(0.0)))
     return daily_metrics(forecasts, *keys).select(
-        *keys, "mae", "rmse", "r2", F.col("samples").alias("test_samples"), nrmse.alias("nrmse")
+        *keys, "mae", "rmse", "r2", F.col("samples").alias("test_samples"), nrmse.alias("nrmse"), *counted
     )
 
 

@@ -95,16 +95,19 @@ def count_by_family(grid: DataFrame) -> DataFrame:
     )
 
 
+_SUCCEEDED = "coalesce(status, 'SUCCESS') = 'SUCCESS'"
+
+
 def pending(work: DataFrame, results: DataFrame, any_status: bool = False) -> DataFrame:
     """Work without a successful result; with any_status, without any result."""
-    done = results if any_status else results.filter((F.col("status") == "SUCCESS") | F.col("status").isNull())
+    done = results if any_status else results.filter(_SUCCEEDED)
     return work.join(done.select(*RESULT_KEY).distinct(), RESULT_KEY, "left_anti")
 
 
 def pending_plants(plants: DataFrame, results: DataFrame) -> DataFrame:
-    """Plants with fewer successes than the grid has experiments."""
+    """Plants with fewer successes than the grid has experiments; a result without status is one."""
     full = (
-        results.filter("status = 'SUCCESS'")
+        results.filter(_SUCCEEDED)
         .groupBy("plant_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= K.GRID_SIZE)

@@ -163,8 +163,8 @@ def _work(spark, folder):
 @query(
     "resume_pending",
     Q.chain(Q.RESULTS)
-    + """select plant_id, experiment_name, model from grid g where not exists (select 1 from results r
-  where r.plant_id = g.plant_id and r.experiment_name = g.experiment_name and r.status = 'SUCCESS')""",
+    + """, done as (select distinct plant_id, experiment_name from results where coalesce(status, 'SUCCESS') = 'SUCCESS')
+select plant_id, experiment_name, model from grid g anti join done using (plant_id, experiment_name)""",
 )
 def resume_pending(spark, folder):
     return G.pending(_work(spark, folder), X.results(spark, folder))
@@ -173,8 +173,8 @@ def resume_pending(spark, folder):
 @query(
     "resume_pending_any",
     Q.chain(Q.RESULTS)
-    + """select plant_id, experiment_name, model from grid g where not exists (select 1 from results r
-  where r.plant_id = g.plant_id and r.experiment_name = g.experiment_name)""",
+    + """, done as (select distinct plant_id, experiment_name from results)
+select plant_id, experiment_name, model from grid g anti join done using (plant_id, experiment_name)""",
 )
 def resume_pending_any(spark, folder):
     return G.pending(_work(spark, folder), X.results(spark, folder), any_status=True)
@@ -184,7 +184,7 @@ def resume_pending_any(spark, folder):
     "resume_plants",
     Q.chain(Q.RESULTS)
     + """select plant_id, plant_name from plants p where (select count(*) from results r
-  where r.plant_id = p.plant_id and r.status = 'SUCCESS') < 284""",
+  where r.plant_id = p.plant_id and coalesce(r.status, 'SUCCESS') = 'SUCCESS') < 284""",
 )
 def resume_plants(spark, folder):
     return G.pending_plants(X.plants(spark, folder).select("plant_id", "plant_name"), X.results(spark, folder))
@@ -358,15 +358,16 @@ _KEYS = ["plant_id", *R.ABLATION_KEY]
     + f""", abl as (select {_ABLATION} from results where status = 'SUCCESS'),
  old as (select * from abl where not use_ideal_nwp and past_days < 3),
  fresh as (select * exclude rn from (select *, row_number() over (partition by {', '.join(_KEYS)}
-     order by use_ideal_nwp, mae, rmse, param_count) as rn from abl) f
+     order by param_count, mae, rmse, use_ideal_nwp) as rn from abl) f
    where rn = 1 and not exists (select 1 from old o where {' and '.join(f'o.{k} is not distinct from f.{k}' for k in _KEYS)}))
  select {', '.join(_KEYS)}, use_ideal_nwp, mae, rmse from old union all
  select {', '.join(_KEYS)}, use_ideal_nwp, mae, rmse from fresh""",
 )
 def dedup_append(spark, folder):
-    rows = _ablation(spark, folder).select(*_KEYS, "use_ideal_nwp", "mae", "rmse")
-    old = rows.filter(~F.col("use_ideal_nwp") & (F.col("past_days") < 3))
-    return append_new(old, rows, _KEYS)
+    shown = [*_KEYS, "use_ideal_nwp", "mae", "rmse"]
+    rows = _ablation(spark, folder).select(*shown, "param_count")
+    old = rows.filter(~F.col("use_ideal_nwp") & (F.col("past_days") < 3)).select(*shown)
+    return append_new(old, rows, _KEYS, "param_count", "mae", "rmse", "use_ideal_nwp")
 
 
 @query(

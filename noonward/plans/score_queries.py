@@ -388,6 +388,11 @@ _SEQUENTIAL = ",\n".join(
 )
 
 
+#: Over plants, of the daily metrics; the RMSE that nRMSE is taken from is that over all pairs.
+_AGG_DAILY = f"""select model, {Q.mean_std(['mae', 'rmse', 'r2', 'nrmse'])}, count(*) as n_plants from (
+  select * exclude flat_nrmse, case when range_true = 0 then 'inf'::double else flat_nrmse end as nrmse from daily)"""
+
+
 def _sequential_test(spark, folder):
     rows = X.forecasts(spark, folder)
     return rows.withColumn("part", S.part_of("sample_idx", "n_samples")).filter("part = 'test'")
@@ -400,11 +405,10 @@ def study_no_shuffle(spark, folder):
 
 @query(
     "agg_no_shuffle",
-    Q.chain(_SEQUENTIAL) + _agg_sql("", _study_sql("plant_id, model", "tests", 15)),
+    Q.chain(_SEQUENTIAL, Q.daily("plant_id, model", "tests")) + _AGG_DAILY + " group by model",
 )
 def agg_no_shuffle(spark, folder):
-    scores = _sequential_test(spark, folder).groupBy(*_KEYS).agg(*M.study_metrics())
-    return R.aggregate_over_plants(scores, "model")
+    return R.aggregate_over_plants(V.study_daily_metrics(_sequential_test(spark, folder), *_KEYS), "model")
 
 
 _SLIDING = ",\n".join(
@@ -435,10 +439,11 @@ def study_sliding(spark, folder):
 @query(
     "agg_sliding",
     Q.chain(_SLIDING, Q.daily("plant_id, model", "slide_tests"))
-    + f"select model, {Q.mean_std(['mae', 'rmse', 'r2'])}, avg(n_days) as avg_windows, count(*) as n_plants from daily group by model",
+    + _AGG_DAILY.replace("count(*)", "avg(n_days) as avg_windows, count(*)")
+    + " group by model",
 )
 def agg_sliding(spark, folder):
-    scores = V.daily_metrics(_sliding_test(spark, folder), *_KEYS)
+    scores = V.study_daily_metrics(_sliding_test(spark, folder), *_KEYS, days="n_days")
     return R.aggregate_over_plants(scores, "model", windows="n_days")
 
 

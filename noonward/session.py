@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
-    """A session for tests and the bench; on a cluster use the one the platform hands out."""
+    """A session for tests and the bench, with a folder of its own; on a cluster use the one the platform hands out."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("noonward")
@@ -16,36 +16,28 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="noonward-"))
         .getOrCreate()
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and go on from there.
+def _shared(spark: SparkSession) -> str:
+    """The folder the session names in spark.checkpoint.dir; without one, a folder below the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_noonward").rstrip("/")
 
-    The folder is the one the session names in spark.checkpoint.dir. Only a local session may fall
-    back on a folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="noonward-")
-    if folder and context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and go on from there."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one the session names, for tables written on the way."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="noonward-")
-    return f"{base.rstrip('/')}/noonward-{uuid.uuid4().hex}"
+    """A new folder below the shared one, for tables written on the way."""
+    return f"{_shared(spark)}/noonward-{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame) -> DataFrame:

@@ -40,13 +40,15 @@ def save_study_table(table: DataFrame, folder: str, study: str, name: str, copy_
         out.write.mode("overwrite").option("header", True).csv(f"{base}/{study}/{name}")
 
 
-def append_new(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def append_new(existing: DataFrame, new: DataFrame, keys: list[str], *arrival: str) -> DataFrame:
     """All existing rows and the new ones whose key is not among them; empty keys are equal.
 
-    Of new rows with the same key one is kept: the one that sorts first.
+    Of new rows with the same key the first to arrive is kept: by the columns `arrival`, or without them by the
+    order in which `new` is read, which is that of its files and lines.
     """
     rest = [c for c in existing.columns if c not in keys]
-    once = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*")
+    placed = new.withColumn("_at", F.struct(*arrival) if arrival else F.monotonically_increasing_id())
+    once = placed.groupBy(*keys).agg(F.min_by(F.struct(*rest), "_at").alias("_r")).select(*keys, "_r.*")
     same = [F.col(f"n.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
     fresh = once.alias("n").join(existing.select(*keys).distinct().alias("e"), same, "left_anti")
     return existing.unionByName(fresh.select(*existing.columns))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from noonward import constants as K
 from noonward.functions.columns import absent_if_nan, forward_slashes, hour_stamp, plant_id_from_file
+from noonward.sources.by_name import all_names, cell, read_by_name
 
 # Column names of the files.
 TIME_COLUMNS = ["Year", "Month", "Day", "Hour"]
@@ -12,37 +13,68 @@ FILE_TARGET = "Capacity Factor"
 FILE_PATTERN = "*.{csv,CSV}"
 
 
+def _lines(spark: SparkSession, *paths: str) -> DataFrame:
+    return read_by_name(spark, list(paths), pathGlobFilter=FILE_PATTERN, recursiveFileLookup=True)
+
+
+def _whole(name: str) -> Column:
+    """A whole number, also where a tool has written it with a fraction of zero."""
+    number = cell(name).try_cast("double")
+    return F.when(number == F.floor(number), number.try_cast("int"))
+
+
+def _number(name: str) -> Column:
+    return absent_if_nan(cell(name).try_cast("double"))
+
+
+def _lacking() -> Column:
+    return F.array_except(F.array(*[F.lit(c) for c in [*TIME_COLUMNS, FILE_TARGET]]), "names")
+
+
 def read_hourly(
     spark: SparkSession, *paths: str, plant_id: Column | None = None, strict: bool = True
 ) -> DataFrame:
-    """Plant files of one layout, the plant taken from the file name.
+    """Plant files of any layouts, the plant taken from the file name.
 
-    Columns are matched by header name; weather columns a layout lacks are simply absent. Read each
-    layout by itself and join them with union_layouts. Time columns and target must be there unless
-    `strict` is off; then they are empty, and date_ranges falls back on the default range.
+    Each file's columns are matched by its own header; weather columns that a file lacks are empty, those that all
+    lack are absent. Time columns and target must be there in every file unless `strict` is off; then they are
+    empty, and date_ranges falls back on the default range. A cell that is no number, or a date that does not
+    exist, is empty too: `unreadable_plants` lists the plants that have such rows.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("pathGlobFilter", FILE_PATTERN)
-        .option("recursiveFileLookup", True)
-        .csv(list(paths))
-    )
-    missing = [c for c in [*TIME_COLUMNS, FILE_TARGET] if c not in raw.columns]
-    if missing and strict:
-        raise ValueError(f"missing columns: {missing}")
-    text = lambda c: F.lit(None).cast("string") if c in missing else F.col(c)
-    weather = [w for w in [*K.WEATHER, *(w + K.FORECAST_SUFFIX for w in K.WEATHER)] if w in raw.columns]
-    plant = plant_id_from_file(F.col("_metadata.file_name")) if plant_id is None else plant_id
+    rows = _lines(spark, *paths)
+    if strict and (bad := rows.select(F.explode(_lacking()).alias("name")).distinct().collect()):
+        raise ValueError(f"missing columns: {sorted(r[0] for r in bad)}")
+    given = all_names(rows)
+    weather = [w for w in [*K.WEATHER, *(w + K.FORECAST_SUFFIX for w in K.WEATHER)] if w in given]
+    plant = plant_id_from_file(F.col("file_name")) if plant_id is None else plant_id
     return with_stamp(
-        raw.select(
+        rows.select(
             plant.alias("plant_id"),
-            *[text(c).cast("int").alias(c) for c in TIME_COLUMNS],
-            absent_if_nan(text(FILE_TARGET).cast("double")).alias(K.TARGET),
-            *[absent_if_nan(F.col(w).cast("double")).alias(w) for w in weather],
+            *[_whole(c).alias(c) for c in TIME_COLUMNS],
+            _number(FILE_TARGET).alias(K.TARGET),
+            *[_number(w).alias(w) for w in weather],
         )
     )
 
 
+def unreadable_plants(spark: SparkSession, *paths: str) -> DataFrame:
+    """(plant_id, error): plants whose files lack a needed column, or have cells or dates that cannot be read.
+
+    Such a plant does not end the reading of the others; the table goes to plant_status.
+    """
+    rows = _lines(spark, *paths).withColumn("lacking", _lacking())
+    numbers = [FILE_TARGET, *K.WEATHER, *(w + K.FORECAST_SUFFIX for w in K.WEATHER)]
+    no_number = [cell(c).isNotNull() & cell(c).try_cast("double").isNull() for c in numbers]
+    time = [_whole(c) for c in TIME_COLUMNS]
+    problem = (
+        F.when(F.size("lacking") > 0, F.concat(F.lit("missing columns: "), F.array_join("lacking", ", ")))
+        .when(hour_stamp(*time).isNull(), F.lit("no such time"))
+        .when(F.array_contains(F.array(*no_number), True), F.lit("not a number"))
+    )
+    told = rows.select(plant_id_from_file(F.col("file_name")).alias("plant_id"), problem.alias("error"))
+    return told.filter("error is not null").groupBy("plant_id").agg(F.min("error").alias("error"))
+
+
 def with_stamp(rows: DataFrame) -> DataFrame:
     """Add the time stamp and the calendar day from year, month, day and hour."""
     stamped = rows.withColumn("dt", hour_stamp(*TIME_COLUMNS))

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noonward.sources.by_name import cell, read_by_name
+
 RESULTS_SCHEMA = (
     "plant_id string, experiment_name string, model string, complexity string, scenario string, "
     "lookback_hours int, use_time_encoding boolean, mae double, rmse double, r2 double, nrmse double, "
@@ -25,8 +27,14 @@ def read_results(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_results_csv(spark: SparkSession, *paths: str) -> DataFrame:
-    """Results kept as text with a header; the status may be missing."""
-    return as_results(spark.read.option("header", True).csv(list(paths)))
+    """Results kept as text with a header, each file read by its own; the status, or any column, may be missing.
+
+    What cannot be read as its column's type is empty; whole numbers may have a fraction of zero.
+    """
+    rows = read_by_name(spark, list(paths))
+    types = dict(f.split() for f in RESULTS_SCHEMA.split(", "))
+    whole = lambda c: cell(c).try_cast("double") if types[c] in ("int", "long") else cell(c)
+    return rows.select(*[whole(c).try_cast(types[c]).alias(c) for c in RESULTS_COLUMNS])
 
 
 def union_results(*tables: DataFrame) -> DataFrame:

@@ -51,6 +51,27 @@ def test_layouts_are_joined_by_name(spark, tmp_path):
     assert got["2"]["Hour"] == 5 and got["2"]["snow_depth"] == 9.0 and got["1"]["snow_depth"] is None
 
 
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    write(tmp_path / "1.csv", HEADER + "2022,1,1,0,1.5,10,11\n")
+    write(tmp_path / "2.csv", "global_tilted_irradiance,Year,Month,Day,Hour,extra,Capacity Factor\n10,2022.0,1,1,0,x,1.5\n")
+    write(tmp_path / "3.csv", "Hour,Year,Month,Day,snow_depth,Capacity Factor\n5,2022,1,1,9,4\n\n")
+    got = {r["plant_id"]: r for r in H.read_hourly(spark, str(tmp_path)).collect()}
+    assert len(got) == 3
+    for plant in ("1", "2"):
+        assert (got[plant]["global_tilted_irradiance"], got[plant][K.TARGET], got[plant]["Year"]) == (10.0, 1.5, 2022)
+    assert got["3"]["global_tilted_irradiance"] is None and got["3"]["snow_depth"] == 9.0
+
+
+def test_bad_cells_do_not_end_the_reading(spark, tmp_path):
+    write(tmp_path / "1.csv", HEADER + "2022,1,1,0,1,2,3\n")
+    write(tmp_path / "2.csv", HEADER + "2022,2,30,0,1,2,3\n2022,2,1,0,oops,2,3\n")
+    write(tmp_path / "3.csv", "Year,Month,Day,Capacity Factor\n2022,1,1,3\n")
+    rows = H.read_hourly(spark, str(tmp_path), strict=False).filter("plant_id = '2'").orderBy(F.col("dt").asc_nulls_first())
+    assert [(r["dt"], r[K.TARGET]) for r in rows.collect()] == [(None, 1.0), (datetime(2022, 2, 1), None)]
+    bad = dict(map(tuple, H.unreadable_plants(spark, str(tmp_path)).collect()))
+    assert bad == {"2": "no such time", "3": "missing columns: Hour"} or bad == {"2": "not a number", "3": "missing columns: Hour"}
+
+
 def test_plant_ids(spark):
     names = ["Project7.csv", "plant8.CSV", "9.csv", "abc.csv", "dir/PLANT10_x.csv", "12abc.csv", "x.CSV"]
     rows = spark.createDataFrame([(n,) for n in names], "n string")
@@ -137,6 +158,14 @@ def test_results_append_and_read(spark, tmp_path):
     assert R.union_results(got, R.read_results_csv(spark, str(tmp_path / "old.csv"))).count() == 3
 
 
+def test_result_files_of_different_layouts(spark, tmp_path):
+    write(tmp_path / "r" / "a.csv", "plant_id,model,status,mae,best_epoch\n1,RF,SUCCESS,2.5,3.0\n")
+    write(tmp_path / "r" / "b.csv", "mae,plant_id,model\n4.5,2,GBT\n")
+    got = {r["plant_id"]: r for r in R.read_results_csv(spark, str(tmp_path / "r")).collect()}
+    assert (got["1"]["model"], got["1"]["status"], got["1"]["mae"], got["1"]["best_epoch"]) == ("RF", "SUCCESS", 2.5, 3)
+    assert (got["2"]["model"], got["2"]["status"], got["2"]["mae"]) == ("GBT", None, 4.5)
+
+
 def ablation(spark, rows):
     schema = "model string, use_pv boolean, use_hist_weather boolean, use_forecast boolean, weather_category string, use_time_encoding boolean, past_days int, model_complexity string, mae double"
     return spark.createDataFrame([(m, True, False, True, "all_weather", False, d, c, x) for m, d, c, x in rows], schema)
@@ -147,6 +176,8 @@ def test_append_new_keeps_existing_rows(spark):
     new = ablation(spark, [("RF", 1, "low", 9.0), ("Linear", 0, None, 9.0), ("RF", 3, "low", 3.0), ("RF", 3, "low", 4.0)])
     got = S.append_new(old, new, ABLATION_KEY)
     assert sorted(r["mae"] for r in got.collect()) == [1.0, 2.0, 3.0]
+    first = S.append_new(old.limit(0), new.orderBy(F.desc("mae")).coalesce(1), ABLATION_KEY)
+    assert sorted(r["mae"] for r in first.collect()) == [4.0, 9.0, 9.0]
     assert S.append_new(got, new, ABLATION_KEY).count() == 3
     assert S.append_new(old.limit(0), new, ABLATION_KEY).count() == 3
 
