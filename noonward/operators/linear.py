@@ -33,7 +33,7 @@ def _fit_group(rows: pd.DataFrame) -> pd.DataFrame:
         x_mean, y_mean = x.mean(axis=0), y.mean(axis=0)
         weights = np.linalg.lstsq(x - x_mean, y - y_mean, rcond=None)[0]
         guess = (_matrix(test["features"]) - x_mean) @ weights + y_mean
-    except Exception as problem:  # becomes a failed result
+    except (ValueError, np.linalg.LinAlgError) as problem:  # becomes a failed result
         blank = dict.fromkeys(_CARRIED) | {k: rows.iloc[0][k] for k in KEY}
         return pd.DataFrame([blank]).assign(y_pred=None, param_count=0, train_time_sec=0.0, error=str(problem))[_OUTPUT]
     spent = time.perf_counter() - started
@@ -53,7 +53,8 @@ def fit_daily(samples: DataFrame) -> DataFrame:
 
 _SUMS_SCHEMA = "plant_id string, experiment_name string, slot int, width int, sums array<double>"
 _WEIGHTS_SCHEMA = "plant_id string, experiment_name string, weights array<double>, param_count int, train_time_sec double"
-_SLOTS = 16
+#: Samples whose products are added up in one group, and then per plant: both steps stay small as histories grow.
+_SLOT_SAMPLES = 65_536
 
 
 def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,7 +64,7 @@ def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, rows in batch.groupby(KEY, sort=False):
             x, y = _matrix(rows["features"]), _matrix(rows["y"])
             z = np.hstack([np.ones((len(x), 1)), x, y])
-            slot = int(rows["sample_idx"].iloc[0]) // 64 % _SLOTS
+            slot = int(rows["sample_idx"].iloc[0]) // _SLOT_SAMPLES
             out.append([*key, slot, x.shape[1], (z.T @ z).ravel()])
         if out:
             yield pd.DataFrame(out, columns=[*KEY, "slot", "width", "sums"])

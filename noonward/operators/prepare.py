@@ -55,14 +55,43 @@ def plan_features(
     return FeaturePlan(hist, fcst, no_hist_power)
 
 
-def keep_dated(hours: DataFrame, start: str | None = K.DEFAULT_START, end: str | None = K.DEFAULT_END) -> DataFrame:
-    """Rows with a target from the start day on, up to midnight at the beginning of the end day."""
+def plant_settings(settings: DataFrame, *names: str) -> DataFrame:
+    """plant_id and the named settings, each as `_<name>`; those that the table lacks are empty."""
+    given = set(settings.columns)
+    own = [(F.col(n) if n in given else F.lit(None)).alias(f"_{n}") for n in names]
+    return settings.select("plant_id", *own)
+
+
+def keep_dated(
+    hours: DataFrame,
+    start: str | None = K.DEFAULT_START,
+    end: str | None = K.DEFAULT_END,
+    settings: DataFrame | None = None,
+) -> DataFrame:
+    """Rows with a target from the start day on, up to midnight at the beginning of the end day.
+
+    With `settings` (one row per plant) a plant's own start_date and end_date go before `start` and `end`.
+    """
     kept = hours.filter(F.col(K.TARGET).isNotNull())
-    if start:
-        kept = kept.filter(F.col("dt") >= F.lit(start).cast("timestamp_ntz"))
-    if end:
-        kept = kept.filter(F.col("dt") <= F.lit(end).cast("timestamp_ntz"))
-    return kept
+    low, high = (F.lit(day).cast("string") for day in (start, end))
+    if settings is not None:
+        kept = kept.join(plant_settings(settings, "start_date", "end_date"), "plant_id", "left")
+        low, high = F.coalesce("_start_date", low), F.coalesce("_end_date", high)
+    if start or settings is not None:
+        kept = kept.filter(F.coalesce(F.col("dt") >= low.cast("timestamp_ntz"), F.lit(True)))
+    if end or settings is not None:
+        kept = kept.filter(F.coalesce(F.col("dt") <= high.cast("timestamp_ntz"), F.lit(True)))
+    return kept.select(*hours.columns)
+
+
+def own_weather(hours: DataFrame, settings: DataFrame, category: str = "all_weather") -> DataFrame:
+    """Hourly rows in which weather outside the plant's own weather_category is empty."""
+    joined = hours.join(plant_settings(settings, "weather_category"), "plant_id", "left")
+    own = F.coalesce("_weather_category", F.lit(category))
+    present = [w for w in K.WEATHER if w in hours.columns]
+    holding = {w: [c for c, names in K.WEATHER_CATEGORIES.items() if w in names] for w in present}
+    masked = {w: F.when(own.isin(holding[w]), F.col(w)) for w in present}
+    return joined.withColumns(masked).select(*hours.columns)
 
 
 def encode_time(hours: DataFrame) -> DataFrame:
@@ -103,13 +132,14 @@ def prepare(
     plan: FeaturePlan,
     start: str | None = K.DEFAULT_START,
     end: str | None = K.DEFAULT_END,
+    settings: DataFrame | None = None,
 ) -> Prepared:
-    """Filter, encode, lag and clean hourly rows.
+    """Filter, encode, lag and clean hourly rows; `settings` as for keep_dated.
 
     The spine is summed up from the rows as they are read, 24 to 1 before any shuffle. Only the
     extremes of the lagged target need rows in order; that pass carries four short columns.
     """
-    rows = keep_dated(hours, start, end)
+    rows = keep_dated(hours, start, end, settings)
     features = plan.all_columns
     if any(c in features for c in K.TIME_FEATURES):
         rows = encode_time(rows)

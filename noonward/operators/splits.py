@@ -4,14 +4,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noonward import constants as K
+from noonward.operators.prepare import plant_settings
 from noonward.operators.timeline import rank_by_bucket
 
 
-def part_of(rank, total, train: float = K.TRAIN_RATIO, val: float = K.VAL_RATIO) -> Column:
-    """The first share trains, the next validates, all the rest tests."""
+def _share(ratio: float | Column) -> Column:
+    return ratio if isinstance(ratio, Column) else F.lit(float(ratio))
+
+
+def part_of(rank, total, train: float | Column = K.TRAIN_RATIO, val: float | Column = K.VAL_RATIO) -> Column:
+    """The first share trains, the next validates, all the rest tests; shares may be columns."""
     rank, total = F.col(rank), F.col(total)
-    n_train = F.floor(total * F.lit(float(train)))
-    n_val = F.floor(total * F.lit(float(val)))
+    n_train = F.floor(total * _share(train))
+    n_val = F.floor(total * _share(val))
     return F.when(rank < n_train, "train").when(rank < n_train + n_val, "val").otherwise("test")
 
 
@@ -23,18 +28,36 @@ def part_by_boundary(rank, total, train: float = K.TRAIN_RATIO, val: float = K.V
     return F.when(rank < n_train, "train").when(rank < n_both, "val").otherwise("test")
 
 
-def shuffle_key(seed: int, sample_idx: str = "sample_idx") -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(sample_idx).cast("string")))
+def shuffle_key(seed: int | Column, sample_idx: str = "sample_idx") -> Column:
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    return F.md5(F.concat(seed.cast("string"), F.lit(":"), F.col(sample_idx).cast("string")))
+
+
+#: Settings of a plant that a split follows.
+SPLIT_SETTINGS = ["train_ratio", "val_ratio", "shuffle_split", "random_seed"]
+
 
+def _followed(rows: DataFrame, settings: DataFrame | None, *given) -> tuple[DataFrame, list]:
+    """Rows with their plant's settings, and train, val, shuffle and seed: the plant's own or else those given."""
+    if settings is None:
+        return rows, list(given)
+    joined = rows.join(plant_settings(settings, *SPLIT_SETTINGS), "plant_id", "left")
+    return joined, [F.coalesce(f"_{n}", F.lit(v)) for n, v in zip(SPLIT_SETTINGS, given)]
 
-def shuffled_rank(samples: DataFrame, seed: int = K.RANDOM_SEED, out: str = "rank") -> DataFrame:
+
+#: Samples of a plant in a bucket of the shuffled order, about.
+BUCKET = 4096
+
+
+def shuffled_rank(samples: DataFrame, seed: int | Column = K.RANDOM_SEED, out: str = "rank") -> DataFrame:
     """Rank in a repeatable random order.
 
-    The order is that of a hash of seed and sample number, ranked bucket by bucket of its first
-    digits, so a plant with many samples is spread over many tasks.
+    The order is that of a hash of seed and sample number, ranked bucket by bucket of its first digits. A plant has
+    as many buckets as its n_samples asks for, so that none grows with its history.
     """
     keyed = samples.withColumn("_key", shuffle_key(seed))
-    return rank_by_bucket(keyed, F.substring("_key", 1, 2), "_key", out=out).drop("_key")
+    spread = F.conv(F.substring("_key", 1, 7), 16, 10).cast("long") * F.ceil(F.col("n_samples") / BUCKET)
+    return rank_by_bucket(keyed, F.floor(spread / 16**7), "_key", out=out).drop("_key")
 
 
 def daily_part(
@@ -43,16 +66,22 @@ def daily_part(
     val: float = K.VAL_RATIO,
     seed: int = K.RANDOM_SEED,
     out: str = "part",
+    settings: DataFrame | None = None,
 ):
-    """A step that adds the part to a numbered day spine (one short row per plant and day)."""
+    """A step that adds the part to a numbered day spine (one short row per plant and day).
+
+    With `settings` a plant's own ratios, shuffling and seed go before those given.
+    """
 
     def add(numbered: DataFrame) -> DataFrame:
-        rank = "sample_idx"
-        if shuffle:
-            order = Window.partitionBy("plant_id").orderBy(F.col("sample_idx").isNull(), shuffle_key(seed))
-            numbered, rank = numbered.withColumn("_rank", F.row_number().over(order) - 1), "_rank"
-        part = F.when(F.col("sample_idx").isNotNull(), part_of(rank, "n_samples", train, val))
-        return numbered.withColumn(out, part).drop("_rank")
+        spine, (own_train, own_val, own_shuffle, own_seed) = _followed(numbered, settings, train, val, shuffle, seed)
+        rank = F.col("sample_idx")
+        if shuffle or settings is not None:
+            key = F.when(F.lit(own_shuffle) if settings is None else own_shuffle, shuffle_key(own_seed))
+            order = Window.partitionBy("plant_id").orderBy(F.col("sample_idx").isNull(), key, "sample_idx")
+            rank = F.row_number().over(order) - 1
+        part = F.when(F.col("sample_idx").isNotNull(), part_of("_rank", "n_samples", own_train, own_val))
+        return spine.withColumn("_rank", rank).withColumn(out, part).select(*numbered.columns, out)
 
     return add
 
@@ -63,18 +92,22 @@ def hourly_part(
     val: float = K.VAL_RATIO,
     seed: int = K.RANDOM_SEED,
     out: str = "part",
+    settings: DataFrame | None = None,
 ):
-    """A step that adds the part to hourly rows, each the start of a sliding sample.
+    """A step that adds the part to hourly rows, each the start of a sliding sample; `settings` as for daily_part.
 
     It runs before the samples are put together, so only single rows are moved.
     """
 
     def add(rows: DataFrame) -> DataFrame:
-        if not shuffle:
+        if not shuffle and settings is None:
             return rows.withColumn(out, part_of("sample_idx", "n_samples", train, val))
         numbers = rows.filter("sample_idx is not null").select("plant_id", "pos", "sample_idx", "n_samples")
-        ranked = shuffled_rank(numbers, seed, "_rank")
-        parts = ranked.select("plant_id", "pos", part_of("_rank", "n_samples", train, val).alias(out))
+        numbers, (own_train, own_val, own_shuffle, own_seed) = _followed(numbers, settings, train, val, shuffle, seed)
+        ranked = shuffled_rank(numbers, own_seed, "_rank")
+        if settings is not None:
+            ranked = ranked.withColumn("_rank", F.when(own_shuffle, F.col("_rank")).otherwise(F.col("sample_idx")))
+        parts = ranked.select("plant_id", "pos", part_of("_rank", "n_samples", own_train, own_val).alias(out))
         return rows.join(parts, ["plant_id", "pos"], "left")
 
     return add

@@ -19,6 +19,7 @@ from noonward.operators.prepare import (
     clean_features,
     encode_time,
     keep_dated,
+    own_weather,
     plan_features,
     prepare,
     scaled_hours,
@@ -26,7 +27,7 @@ from noonward.operators.prepare import (
     unscale,
 )
 from noonward.plans import sql as Q
-from noonward.plans.fixtures import dense_hours, gappy_hours, stored_hours, table
+from noonward.plans.fixtures import dense_hours, gappy_hours, plants, stored_hours, table
 from noonward.plans.registry import query
 from noonward.sources.hourly import date_ranges, with_stamp
 
@@ -119,6 +120,44 @@ def prep_filter(spark, folder):
     return keep_dated(dense_hours(spark, folder), "2022-02-20", "2024-07-17").select("plant_id", "dt", K.TARGET)
 
 
+#: Settings of the plants; some end later than the default.
+_OWN_SQL = f"""{Q.PLANTS}, own as (select * replace (case when cast(plant_id as int) % 4 = 3 then '2031-01-01' else end_date end as end_date) from plants)"""
+
+
+def _own_settings(spark, folder):
+    late = F.col("plant_id").cast("int") % 4 == 3
+    return plants(spark, folder).withColumn("end_date", F.when(late, "2031-01-01").otherwise(F.col("end_date")))
+
+
+@query(
+    "prep_filter_per_plant",
+    Q.chain(Q.DENSE, _OWN_SQL)
+    + f"""select plant_id, dt, capacity_factor from dense left join own using (plant_id) where capacity_factor is not null
+  and dt >= cast(coalesce(start_date, '{K.DEFAULT_START}') as timestamp) and dt <= cast(coalesce(end_date, '{K.DEFAULT_END}') as timestamp)""",
+    text="dt",
+)
+def prep_filter_per_plant(spark, folder):
+    rows = keep_dated(dense_hours(spark, folder), settings=_own_settings(spark, folder))
+    return rows.select("plant_id", "dt", K.TARGET)
+
+
+@query(
+    "tier_per_plant",
+    Q.chain(Q.DENSE, _OWN_SQL)
+    + "select plant_id, dt, cast(case coalesce(weather_category, 'all_weather') "
+    + " ".join(f"when '{c}' then {len(names)}" for c, names in K.WEATHER_CATEGORIES.items())
+    + " end as bigint) as n_features, case coalesce(weather_category, 'all_weather') "
+    + " ".join(f"when '{c}' then {' + '.join(names) or '0'}" for c, names in K.WEATHER_CATEGORIES.items())
+    + " end as total from dense left join own using (plant_id)",
+    text="dt",
+)
+def tier_per_plant(spark, folder):
+    rows = own_weather(dense_hours(spark, folder), _own_settings(spark, folder))
+    given = F.filter(F.array(*K.WEATHER), lambda x: x.isNotNull())
+    total = F.aggregate(given, F.lit(0.0), lambda a, x: a + x)
+    return rows.select("plant_id", "dt", F.size(given).cast("long").alias("n_features"), total.alias("total"))
+
+
 @query(
     "time_encoding",
     Q.chain(Q.DENSE)
@@ -520,6 +559,21 @@ def split_shuffled(spark, folder):
     return numbered.filter("sample_idx is not null").select("plant_id", "date", "sample_idx", "part")
 
 
+@query(
+    "split_per_plant",
+    _SAMPLES_SQL.rstrip()
+    + f""", {_OWN_SQL}, ranked as (select s.*, coalesce(train_ratio, 0.8) as train, row_number() over (partition by plant_id
+    order by case when coalesce(shuffle_split, true) then md5('42:' || sample_idx) end, sample_idx) - 1 as rnk
+  from samples s left join own using (plant_id))
+select plant_id, date, sample_idx, case when rnk < floor(n_samples * train) then 'train'
+  when rnk < floor(n_samples * train) + floor(n_samples * cast(0.1 as double)) then 'val' else 'test' end as part from ranked""",
+    text="date",
+)
+def split_per_plant(spark, folder):
+    numbered = S.daily_part(shuffle=True, settings=_own_settings(spark, folder))(_numbered(spark, folder))
+    return numbered.filter("sample_idx is not null").select("plant_id", "date", "sample_idx", "part")
+
+
 @query(
     "split_shuffled_hours",
     Q.chain(Q.DENSE, Q.kept())

@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +45,22 @@ class Experiment:
     end: str | None = K.DEFAULT_END
     name: str = ""
     tags: dict[str, str] = field(default_factory=dict)
+    #: Fields that go before a plant's own settings, as for a study that varies them.
+    insists: tuple[str, ...] = ()
+
+    def settings_for(self, settings: DataFrame | None) -> DataFrame | None:
+        """A plant's settings without those that the experiment insists on."""
+        if settings is None:
+            return None
+        names = {"start": "start_date", "end": "end_date", "shuffle": "shuffle_split", "seed": "random_seed"}
+        return settings.drop(*[names.get(n, n) for n in self.insists])
 
     @property
     def sample_key(self) -> tuple:
         """Experiments with the same key have the same samples."""
         features = self.scenario, self.weather_category, self.time_encoding, self.start, self.end
         split = self.shuffle, self.seed, self.train_ratio, self.val_ratio
-        return *features, self.lookback_hours, self.sliding, *split
+        return *features, self.lookback_hours, self.sliding, *split, self.insists
 
     @property
     def experiment_name(self) -> str:
@@ -87,7 +97,9 @@ def base_experiment(model: str, **changes) -> Experiment:
     return replace(base, **changes)
 
 
-def prepare_for(hours: DataFrame, experiments: list[Experiment]) -> dict[tuple, Prepared]:
+def prepare_for(
+    hours: DataFrame, experiments: list[Experiment], settings: DataFrame | None = None
+) -> dict[tuple, Prepared]:
     """Prepared hours per sample key.
 
     Which rows are kept depends only on the dates and the forecast columns that must be filled, so
@@ -95,22 +107,27 @@ def prepare_for(hours: DataFrame, experiments: list[Experiment]) -> dict[tuple,
     the whole grid). It is stored where several sample sets are cut from it.
     """
     groups: dict[tuple, dict[tuple, FeaturePlan]] = {}
+    owns: dict[tuple, DataFrame | None] = {}
     for e in experiments:
         plan = plan_features(e.scenario, e.weather_category, e.time_encoding, hours.columns)
-        rows = frozenset(plan.fcst) - set(K.TIME_FEATURES), e.start, e.end
+        rows = frozenset(plan.fcst) - set(K.TIME_FEATURES), e.start, e.end, e.insists
+        owns[rows] = e.settings_for(settings)
         groups.setdefault(rows, {})[e.sample_key] = plan
     made = {}
-    for (_, start, end), plans in groups.items():
+    for rows, plans in groups.items():
+        _, start, end, _ = rows
         hist = dict.fromkeys(c for plan in plans.values() for c in plan.hist)
         fcst = dict.fromkeys(c for plan in plans.values() for c in plan.fcst)
-        prepared = prepare(hours, FeaturePlan(list(hist), list(fcst), False), start, end)
+        prepared = prepare(hours, FeaturePlan(list(hist), list(fcst), False), start, end, owns[rows])
         if len(plans) > 1:
             prepared = replace(prepared, hours=store(prepared.hours), spine=store(prepared.spine))
         made |= {key: replace(prepared, plan=plan) for key, plan in plans.items()}
     return made
 
 
-def samples_of(prepared: Prepared, e: Experiment, skip: DataFrame | None = None) -> DataFrame:
+def samples_of(
+    prepared: Prepared, e: Experiment, skip: DataFrame | None = None, settings: DataFrame | None = None
+) -> DataFrame:
     """Samples of all plants with flat features, scaled targets and the part each belongs to.
 
     Plants in `skip` are taken out of the day spine, so their rows go no further than the first join.
@@ -118,10 +135,10 @@ def samples_of(prepared: Prepared, e: Experiment, skip: DataFrame | None = None)
     if skip is not None:
         prepared = replace(prepared, spine=prepared.spine.join(skip, "plant_id", "left_anti"))
     if e.sliding:
-        split = hourly_part(e.shuffle, e.train_ratio, e.val_ratio, e.seed)
+        split = hourly_part(e.shuffle, e.train_ratio, e.val_ratio, e.seed, settings=e.settings_for(settings))
         samples = W.sliding_samples(prepared, e.lookback_hours, split=split)
     else:
-        split = daily_part(e.shuffle, e.train_ratio, e.val_ratio, e.seed)
+        split = daily_part(e.shuffle, e.train_ratio, e.val_ratio, e.seed, settings=e.settings_for(settings))
         samples = W.daily_samples(prepared, e.lookback_hours, split=split)
     return samples.select(
         "plant_id",
@@ -153,7 +170,7 @@ def _fit_trees(samples: DataFrame, e: Experiment) -> DataFrame:
     started = time.perf_counter()
     try:
         fit, _ = fit_trees(samples, e.model, tree_params(e.complexity or "high"))
-    except Exception as problem:  # becomes a failed result
+    except (ValueError, IllegalArgumentException) as problem:  # becomes a failed result
         blank = samples.select("plant_id").distinct()
         error = F.lit(str(problem))
         values = {c: F.lit(None) for c in ("sample_idx", "date", "end_dt", "y_true", "y_pred", "lo", "hi")}
@@ -166,7 +183,9 @@ def _fit_trees(samples: DataFrame, e: Experiment) -> DataFrame:
     return _named(blank, e).select(*KEY, *[values[c].cast(t).alias(c) for c, t in _FIT_TYPES if c not in KEY])
 
 
-def _fit(hours: DataFrame, experiments: list[Experiment], done: DataFrame | None = None) -> Iterable[DataFrame]:
+def _fit(
+    hours: DataFrame, experiments: list[Experiment], done: DataFrame | None = None, settings: DataFrame | None = None
+) -> Iterable[DataFrame]:
     """Fits of all experiments; samples used by several tree fits are built once and checkpointed.
 
     Linear fits leave out the plants that are done. Tree models learn from all plants, so they are
@@ -176,25 +195,27 @@ def _fit(hours: DataFrame, experiments: list[Experiment], done: DataFrame | None
     linear: dict[bool, list[DataFrame]] = {False: [], True: []}
     for e in experiments:
         by_key.setdefault(e.sample_key, []).append(e)
-    prepared = prepare_for(hours, experiments)
+    prepared = prepare_for(hours, experiments, settings)
     for same in by_key.values():
         own = prepared[same[0].sample_key]
         trees = [e for e in same if e.model in K.TREE_MODELS]
         if trees:
-            samples = cut_lineage(samples_of(own, trees[0]))
+            samples = cut_lineage(samples_of(own, trees[0], settings=settings))
             yield from (_in_percent(_fit_trees(samples, e)) for e in trees)
         for e in same:
             if e.model == K.LINEAR_MODEL:
                 skip = None
                 if done is not None:
                     skip = done.filter(F.col("experiment_name") == e.experiment_name).select("plant_id")
-                linear[e.sliding].append(_named(samples_of(own, e, skip), e))
+                linear[e.sliding].append(_named(samples_of(own, e, skip, settings), e))
     for sliding, fit in ((False, fit_daily), (True, fit_hourly)):
         if linear[sliding]:
             yield _in_percent(fit(reduce(DataFrame.unionByName, linear[sliding])))
 
 
-def run_fits(hours: DataFrame, experiments: list[Experiment], done: DataFrame | None = None) -> DataFrame:
+def run_fits(
+    hours: DataFrame, experiments: list[Experiment], done: DataFrame | None = None, settings: DataFrame | None = None
+) -> DataFrame:
     """Forecasts of the test part, one row per sample, written to the checkpoint folder.
 
     A group that cannot be fitted gives one row with its error instead; models without a trainer give none.
@@ -203,7 +224,7 @@ def run_fits(hours: DataFrame, experiments: list[Experiment], done: DataFrame |
     if not own:
         kept = [c for c in FIT_SCHEMA.split(", ") if c.split()[0] not in ("lo", "hi")]
         return hours.sparkSession.createDataFrame([], ", ".join(kept))
-    return cut_lineage(reduce(DataFrame.unionByName, _fit(hours, own, done)))
+    return cut_lineage(reduce(DataFrame.unionByName, _fit(hours, own, done, settings)))
 
 
 def _settings(work: DataFrame, experiments: list[Experiment]) -> DataFrame:
@@ -254,10 +275,30 @@ def results_of(plants: DataFrame, fits: DataFrame, experiments: list[Experiment]
     ).drop("seconds", "problem")
 
 
-def run_experiments(hours: DataFrame, experiments: list[Experiment], plants: DataFrame | None = None) -> DataFrame:
-    """Result rows of all plants and experiments."""
+def run_experiments(
+    hours: DataFrame,
+    experiments: list[Experiment],
+    plants: DataFrame | None = None,
+    settings: DataFrame | None = None,
+) -> DataFrame:
+    """Result rows of all plants and experiments.
+
+    `settings` has one row per plant: its dates, ratios, shuffling, seed and weather_category go before those of an
+    experiment, unless this insists on its own. Plants are run by weather category, of which there are a few.
+    """
     plants = hours.select("plant_id").distinct() if plants is None else plants.select("plant_id")
-    return as_results(results_of(plants, run_fits(hours, experiments), experiments))
+    if settings is None:
+        return as_results(results_of(plants, run_fits(hours, experiments), experiments))
+    own = plants.join(settings, "plant_id", "left")
+    categories = [r[0] for r in own.select("weather_category").distinct().collect()]
+    parts = []
+    for category in sorted(categories, key=str):
+        chosen = own.filter(F.col("weather_category").eqNullSafe(F.lit(category)))
+        rows = hours.join(chosen.select("plant_id"), "plant_id", "left_semi")
+        free = [e if category is None or "weather_category" in e.insists else replace(e, weather_category=category) for e in experiments]
+        fits = run_fits(rows, free, settings=chosen)
+        parts.append(as_results(results_of(chosen.select("plant_id"), fits, free)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def run_pending(

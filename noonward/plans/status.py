@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from noonward import constants as K
 from noonward.functions.columns import half_even
+from noonward.session import store
 
 
 def plant_status(plants: DataFrame, results: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
@@ -74,16 +75,18 @@ def not_started_head(status: DataFrame, shown: int = 20) -> DataFrame:
 def batches(status: DataFrame, size: int = K.PLANTS_PER_BATCH) -> DataFrame:
     """Plants not started in batches of `size`, in order of plant_id.
 
-    A plant's number is its rank among plants with the same first characters plus the number of
-    plants in earlier groups, so only the short table of groups is ordered as a whole.
+    Plants are dealt out by ranges of their ids. A plant's number is its rank in its range plus the number of plants
+    in earlier ranges, so only the short table of ranges is ordered as a whole. The ranges are stored, since a
+    second look could cut them in other places.
     """
-    waiting = status.filter("status = 'NOT_STARTED'").select("plant_id", F.substring("plant_id", 1, 3).alias("prefix"))
-    counts = waiting.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("prefix", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("prefix").orderBy("plant_id")) - 1
+    waiting = status.filter("status = 'NOT_STARTED'").select("plant_id").repartitionByRange("plant_id")
+    waiting = store(waiting.withColumn("range", F.spark_partition_id()))
+    counts = waiting.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("plant_id")) - 1
     place = (F.col("offset") + rank).cast("long")
-    return waiting.join(offsets, "prefix").select(
+    return waiting.join(offsets, "range").select(
         "plant_id",
         place.alias("place"),
         F.floor(place / size).alias("batch"),

@@ -131,6 +131,23 @@ def test_shared_preparation_gives_the_same_samples(hourly):
         assert alone == shared and alone
 
 
+def test_runs_follow_each_plants_settings(spark, hourly):
+    hours = hourly(driven("a", 1, n=60) + driven("b", 2, n=60) + driven("c", 3, n=60))
+    settings = spark.createDataFrame(
+        [("a", "2022-01-11", None, None, None), ("b", None, "2022-02-10", 0.6, None), ("c", None, None, None, "solar_irradiance_only")],
+        "plant_id string, start_date string, end_date string, train_ratio double, weather_category string",
+    )
+    linear = E.base_experiment("Linear", weather_category="solar_irradiance_only", shuffle=False)
+    rows = {r["plant_id"]: r for r in E.run_experiments(hours, [linear], settings=settings).collect()}
+    plain = {r["plant_id"]: r for r in E.run_experiments(hours, [linear]).collect()}
+    assert {r["status"] for r in rows.values()} == {"SUCCESS"}
+    assert rows["a"]["test_samples"] < plain["a"]["test_samples"] < rows["b"]["test_samples"]
+    assert rows["c"]["test_samples"] == plain["c"]["test_samples"]
+    insisting = E.base_experiment("Linear", weather_category="solar_irradiance_only", shuffle=False, insists=("train_ratio", "end"))
+    again = {r["plant_id"]: r for r in E.run_experiments(hours, [insisting], settings=settings).collect()}
+    assert again["b"]["test_samples"] == plain["b"]["test_samples"]
+
+
 def test_grid_experiments():
     assert len(E.linear_grid()) == 4 and sum(len(E.tree_grid(m)) for m in K.TREE_MODELS) == 120
     assert {e.experiment_name for e in E.linear_grid()} == {"Linear_NWP_TE", "Linear_NWP_noTE", "Linear_NWP+_TE", "Linear_NWP+_noTE"}
