@@ -1,5 +1,7 @@
 """Forecast tables, scores, aggregates, pivots, studies and models."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from noonward import constants as K
@@ -241,10 +243,17 @@ def pivot_formatted(spark, folder):
     return R.pivot_formatted(_agg_hour(spark, folder), "hour", "rmse", [*_MODELS, "Linear"])
 
 
-@query("hourly_summary", f"select hour, max(mae_mean) filter (model = 'persist') as persist from ({_AGG_HOUR}) where model in ('persist') group by hour")
+_CHOSEN = ["persist", "mean3", "Linear"]
+
+
+@query(
+    "hourly_summary",
+    f"""select hour, {", ".join(f"max(mae_mean) filter (model = '{m}') as {m}" for m in _MODELS)}, cast(null as double) as "Linear"
+  from ({_AGG_HOUR}) where model in ('persist', 'mean3', 'Linear') group by hour""",
+)
 def hourly_summary(spark, folder):
-    chosen = _agg_hour(spark, folder).filter(F.col("model").isin(["persist"]))
-    return R.pivot_models(chosen, "hour", "mae_mean", ["persist"])
+    chosen = _agg_hour(spark, folder).filter(F.col("model").isin(_CHOSEN))
+    return R.pivot_models(chosen, "hour", "mae_mean", _CHOSEN)
 
 
 @query(
@@ -501,6 +510,53 @@ def run_experiment(spark, folder):
     return E.run_experiments(X.stored_hours(spark, folder), E.linear_grid())
 
 
+def _linear_rows_sql():
+    """What each linear experiment of the grid must report, from the numbers of its samples."""
+    parts, ctes = [], []
+    for e in E.linear_grid():
+        plan = plan_features(e.scenario, e.weather_category, e.time_encoding)
+        weather = [c for c in plan.fcst if c not in K.TIME_FEATURES]
+        name = f"n_{len(parts)}"
+        body = f"{Q.clean([], weather)}, {Q.numbered(0)}"
+        for word in ("lagged", "clean", "present", "hits", "samples"):
+            body = re.sub(rf"\b{word}\b", f"{word}_{len(parts)}", body)
+        ctes.append(f"{body}, {name} as (select plant_id, count(*) as n from samples_{len(parts)} group by plant_id)")
+        parts.append(
+            f"select plant_id, '{e.experiment_name}' as experiment_name, '{e.scenario}' as scenario, {24 * len(plan.fcst)} as width,"
+            f" coalesce(n, 0) as n from (select distinct plant_id from dense) left join {name} using (plant_id)"
+        )
+    ctes.append(f"runs as ({' union all '.join(parts)})")
+    ctes.append(
+        "sized as (select *, cast(floor(n * cast(0.8 as double)) as bigint) as n_train,"
+        " n - cast(floor(n * cast(0.8 as double)) as bigint) - cast(floor(n * cast(0.1 as double)) as bigint) as n_test from runs)"
+    )
+    ok = "n_train > 0 and n_test > 0"
+    return Q.chain(Q.DENSE, Q.kept(), *ctes) + (
+        f"select plant_id, experiment_name, case when {ok} then scenario else 'FAILED' end as scenario,"
+        f" case when {ok} then 'SUCCESS' else 'FAILED' end as status, cast(case when {ok} then 24 * n_test else 0 end as bigint) as test_samples,"
+        f" cast(case when {ok} then width else 0 end as bigint) as param_count, {ok} as in_range from sized"
+    )
+
+
+@query("run_experiment_rows", _linear_rows_sql())
+def run_experiment_rows(spark, folder):
+    """Names, states and sizes of the linear runs, and whether all their forecasts lie within 0 and 100."""
+    experiments, hours = E.linear_grid(), X.stored_hours(spark, folder)
+    fits = E.run_fits(hours, experiments)
+    rows = E.results_of(hours.select("plant_id").distinct(), fits, experiments)
+    within = F.min(F.col("y_pred").between(0.0, 100.0)).alias("in_range")
+    told = E.forecasts_of(fits, experiments).groupBy("plant_id", "experiment_name").agg(within)
+    return rows.join(told, ["plant_id", "experiment_name"], "left").select(
+        "plant_id",
+        "experiment_name",
+        "scenario",
+        "status",
+        F.col("test_samples").cast("long").alias("test_samples"),
+        F.col("param_count").cast("long").alias("param_count"),
+        F.coalesce("in_range", F.lit(False)).alias("in_range"),
+    )
+
+
 def _trees(spark, folder, *models):
     experiments = [
         E.base_experiment(m, complexity="low", weather_category="solar_irradiance_only") for m in models
