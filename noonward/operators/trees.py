@@ -1,7 +1,8 @@
 """Forests and boosted trees: one MLlib model per hour ahead.
 
 Features and targets are scaled per plant, so one model serves all plants: MLlib grows each tree over
-the whole training table, and the number of fits (24 per experiment) does not depend on the data.
+the training parts of all plants, and the number of fits (24 per experiment) does not depend on the data.
+Each sample also carries how its plant behaves in training, so that the trees can tell plants apart.
 """
 
 from concurrent.futures import ThreadPoolExecutor
@@ -37,6 +38,17 @@ def tree_model(model: str, params: dict[str, float]):
     return GBTRegressor(maxIter=trees, stepSize=float(p.get("learning_rate", 0.1)), **shared)
 
 
+def with_plant_behaviour(samples: DataFrame) -> DataFrame:
+    """Samples with `_x`: their features, then the plant's mean and spread of the target in training, and how the
+    target goes with the features (a correlation of daily means, 0 where there is none)."""
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + finite(x)) / F.size(c)
+    days = samples.filter("part = 'train'").select("plant_id", mean("features").alias("x"), mean("y").alias("y"))
+    plants = days.groupBy("plant_id").agg(F.avg("y").alias("_mean"), F.stddev_pop("y").alias("_spread"), F.corr("x", "y").alias("_goes"))
+    told = [finite(c) for c in ("_mean", "_spread", "_goes")]
+    joined = samples.join(plants, "plant_id", "left")
+    return joined.withColumn("_x", F.concat(F.transform("features", finite), F.array(*told))).drop("_mean", "_spread", "_goes")
+
+
 def fit_trees(
     samples: DataFrame,
     model: str,
@@ -48,7 +60,7 @@ def fit_trees(
 
     `samples` is read once per fit, so give it checkpointed. Fits run side by side to fill the cluster.
     """
-    vectors = samples.withColumn("_x", array_to_vector(F.transform("features", finite)))
+    vectors = with_plant_behaviour(samples).withColumn("_x", array_to_vector("_x"))
     train = vectors.filter("part = 'train'").select("_x", F.transform("y", finite).alias("_y"))
 
     def fit(h: int):

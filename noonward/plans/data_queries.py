@@ -29,7 +29,8 @@ from noonward.operators.prepare import (
 from noonward.plans import sql as Q
 from noonward.plans.fixtures import dense_hours, gappy_hours, plants, stored_hours, table
 from noonward.plans.registry import query
-from noonward.sources.hourly import date_ranges, with_stamp
+from noonward.session import shared_folder
+from noonward.sources.hourly import FILE_TARGET, TIME_COLUMNS, date_ranges, read_hourly, with_stamp
 
 FILE_NAMES = {
     "sql": """case s_suppkey % 5 when 0 then 'data/Project' || s_suppkey || '.csv'
@@ -69,6 +70,26 @@ def src_hourly(spark, folder):
     )
 
 
+@query(
+    "src_csv_layouts",
+    Q.chain(Q.DENSE) + "select plant_id, dt, capacity_factor, temperature_2m, global_tilted_irradiance from dense",
+    text="dt",
+)
+def src_csv_layouts(spark, folder):
+    """The hourly rows written as text in two layouts, a folder per plant, and read back by name."""
+    cells = dense_hours(spark, folder).withColumn("plant", F.col("plant_id")).withColumnRenamed(K.TARGET, FILE_TARGET)
+    weather = ["temperature_2m", "global_tilted_irradiance"]
+    even = F.col("plant_id").cast("int") % 2 == 0
+    base = shared_folder(spark)
+    first = cells.filter(even).select("plant", *TIME_COLUMNS, FILE_TARGET, *weather)
+    other = cells.filter(~even).withColumn("Year", F.col("Year").cast("double"))
+    other = other.select("plant", *reversed(weather), "Hour", "Day", "Month", "Year", F.lit("x").alias("note"), FILE_TARGET)
+    for name, rows in (("first", first), ("other", other)):
+        rows.repartition("plant").write.partitionBy("plant").option("header", True).csv(f"{base}/{name}")
+    read = read_hourly(spark, base, plant_id=F.regexp_extract("file_path", "plant=([^/]*)/", 1))
+    return read.select("plant_id", "dt", K.TARGET, *weather)
+
+
 @query(
     "src_all_plants",
     Q.chain(Q.DENSE)

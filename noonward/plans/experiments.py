@@ -18,8 +18,9 @@ from noonward.operators.prepare import FeaturePlan, Prepared, plan_features, pre
 from noonward.operators.splits import daily_part, hourly_part
 from noonward.operators.trees import fit_trees
 from noonward.plans.grid import pending, tree_params
-from noonward.session import cut_lineage, store
-from noonward.sources.results import as_results
+from noonward.session import cut_lineage, store, written
+from noonward.sinks.tables import append_results
+from noonward.sources.results import as_results, read_results
 
 
 TRAINED_MODELS = [*K.TREE_MODELS, K.LINEAR_MODEL]
@@ -316,6 +317,26 @@ def run_pending(
     return as_results(made.join(todo, KEY, "left_semi"))
 
 
+def run_saving(
+    hours: DataFrame, experiments: list[Experiment], path: str, plants: DataFrame | None = None
+) -> None:
+    """Run experiments and append their rows to the results at `path` as they come.
+
+    Experiments that share their samples are a group; its rows are saved before the next group starts. What has a
+    success at `path` already is left out, so that a run that was broken off goes on where it ended.
+    """
+    groups: dict[tuple, list[Experiment]] = {}
+    for e in experiments:
+        groups.setdefault((e.model in K.TREE_MODELS, e.sample_key), []).append(e)
+    for same in groups.values():
+        if written(hours.sparkSession, path):
+            rows = run_pending(hours, same, read_results(hours.sparkSession, path), plants)
+        else:
+            rows = run_experiments(hours, same, plants)
+        if rows is not None:
+            append_results(rows, path)
+
+
 def modified(models: list[str], modify: Callable[[Experiment], Experiment] | None = None, **base) -> list[Experiment]:
     """The base experiment of each model after a user's change."""
     made = [base_experiment(m, **base) for m in models]

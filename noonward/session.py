@@ -58,3 +58,9 @@ def discard(*tables: DataFrame) -> None:
         spark, path = df.sparkSession, df.stored_at
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path, in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

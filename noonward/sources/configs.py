@@ -32,7 +32,7 @@ SETTINGS_SCHEMA = (
     "future_hours int, past_hours int, train_ratio double, val_ratio double, test_ratio double, "
     "shuffle_split boolean, random_seed int, weather_category string, has_ideal_nwp boolean, "
     "results_base_dir string, save_options map<string,boolean>, "
-    "ml_params map<string,map<string,double>>, error string"
+    "ml_params map<string,map<string,double>>, dl_params map<string,map<string,double>>, error string"
 )
 
 

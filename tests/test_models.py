@@ -106,6 +106,27 @@ def test_resumed_run_does_only_what_is_left(spark, hourly):
     assert E.run_pending(hours, experiments, known.withColumn("status", F.lit("SUCCESS"))) is None
 
 
+def test_a_broken_run_goes_on_where_it_ended(spark, hourly, tmp_path, monkeypatch):
+    hours, path = hourly(driven("a", 1) + driven("b", 2)), str(tmp_path / "results")
+    grid = [E.base_experiment("Linear", weather_category="solar_irradiance_only", time_encoding=te, name=f"te{te}") for te in (True, False)]
+    real, ran = E.run_fits, []
+
+    def breaking(hours, experiments, *args, **kwargs):
+        ran.append([e.name for e in experiments])
+        if len(ran) == 2:
+            raise RuntimeError("lost")
+        return real(hours, experiments, *args, **kwargs)
+
+    monkeypatch.setattr(E, "run_fits", breaking)
+    with pytest.raises(RuntimeError):
+        E.run_saving(hours, grid, path)
+    assert {r["experiment_name"] for r in spark.read.parquet(path).collect()} == {"teTrue"}
+    E.run_saving(hours, grid, path)
+    assert ran == [["teTrue"], ["teFalse"], ["teFalse"]]
+    rows = spark.read.parquet(path).collect()
+    assert len(rows) == 4 and {r["status"] for r in rows} == {"SUCCESS"}
+
+
 def test_sliding_linear_experiment(spark, hourly):
     hours = hourly(driven("a", 3, n=20))
     experiments = [E.base_experiment("Linear", sliding=True, shuffle=s, name=str(s)) for s in (True, False)]
@@ -193,6 +214,19 @@ def test_trees_beat_the_training_mean(spark, tmp_path, model):
     assert (tmp_path / "m" / "hour_00" / "metadata").exists()
 
 
+def test_plants_of_opposite_behaviour_both_beat_their_mean(spark):
+    table, _ = samples_table(spark, n=80, d=1)
+    up = F.transform("y", lambda v: v * 0 + F.col("features")[0])
+    down = F.transform("y", lambda v: v * 0 + 1 - F.col("features")[0])
+    samples = cut_lineage(table.withColumn("y", F.when(F.col("plant_id") == "a", up).otherwise(down)))
+    forecast, _ = fit_trees(samples, "RF", {"n_estimators": 5.0, "max_depth": 4.0}, range(1))
+    rows = forecast.select("plant_id", F.abs(F.col("y_pred")[0] - F.col("y")[0]).alias("off"), F.col("y")[0].alias("y")).collect()
+    mean = {r[0]: r[1] for r in samples.filter("part = 'train'").groupBy("plant_id").agg(F.avg(F.col("y")[0])).collect()}
+    for plant in "ab":
+        own = [r for r in rows if r["plant_id"] == plant]
+        assert np.mean([r["off"] for r in own]) < 0.5 * np.mean([abs(r["y"] - mean[plant]) for r in own])
+
+
 def test_study_lists():
     models = K.TREE_MODELS + ["Linear"]
     sizes = {s: len(U.study_experiments(s, models)) for s in K.STUDIES.values()}
