@@ -264,7 +264,7 @@ def scenario_features(spark, folder):
     text="dt",
 )
 def lag_target(spark, folder):
-    rows = T.previous_value(keep_dated(stored_hours(spark, folder)), K.TARGET, "previous")
+    rows = T.previous_value(keep_dated(stored_hours(spark, folder, weather=False)), K.TARGET, "previous")
     return rows.select("plant_id", "dt", "previous")
 
 
@@ -278,7 +278,7 @@ _PREP_PLAN = plan_features("PV+NWP", "high_weather", time_encoding=False)
     text="dt",
 )
 def prep_clean(spark, folder):
-    rows = T.previous_value(keep_dated(stored_hours(spark, folder)), K.TARGET, K.LAG_FEATURE)
+    rows = T.previous_value(keep_dated(stored_hours(spark, folder, weather=False)), K.TARGET, K.LAG_FEATURE)
     return clean_features(rows, _PREP_PLAN).select("plant_id", "dt", K.TARGET, *_PREP_PLAN.all_columns)
 
 
@@ -367,7 +367,7 @@ def minmax_scale(spark, folder):
     text="dt",
 )
 def inverse_scale(spark, folder):
-    prepared = prepare(stored_hours(spark, folder), FeaturePlan([], [], True))
+    prepared = prepare(stored_hours(spark, folder, weather=False), FeaturePlan([], [], True))
     bounds = prepared.spine.select(*T.DAY, "lo_capacity_factor", "hi_capacity_factor")
     rows = scaled_hours(prepared).join(bounds, T.DAY)
     restored = unscale(F.col(K.TARGET), F.col("lo_capacity_factor"), F.col("hi_capacity_factor"))
@@ -537,7 +537,7 @@ def feature_matrix(spark, folder):
     text="date",
 )
 def array_flatten(spark, folder):
-    prepared = prepare(stored_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
+    prepared = prepare(stored_hours(spark, folder, weather=False), FeaturePlan([K.TARGET], [], False))
     days = W.day_rows(prepared.hours, prepared.spine.filter("complete"), prepared.plan, scaled=False)
     values = F.flatten("x_day")
     total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
@@ -553,7 +553,7 @@ _SAMPLES_SQL = Q.chain(Q.DENSE, Q.kept(), Q.clean([], []), Q.numbered(1))
 
 
 def _numbered(spark, folder):
-    prepared = prepare(stored_hours(spark, folder), FeaturePlan([], [], True))
+    prepared = prepare(stored_hours(spark, folder, weather=False), FeaturePlan([], [], True))
     return T.number_samples(prepared.spine, 1, need_history=False)
 
 
@@ -604,7 +604,7 @@ def split_per_plant(spark, folder):
     text="dt",
 )
 def split_shuffled_hours(spark, folder):
-    prepared = prepare(stored_hours(spark, folder), FeaturePlan([], [], True))
+    prepared = prepare(stored_hours(spark, folder, weather=False), FeaturePlan([], [], True))
     placed = T.add_position(prepared.hours, prepared.spine).select(
         "plant_id", "dt", F.col("pos").alias("sample_idx"), F.col("plant_rows").alias("n_samples")
     )
@@ -695,7 +695,7 @@ def scalar_strings(spark, folder):
 def dilated_lags(spark, folder):
     from noonward.operators.sequences import dilated_offsets
 
-    rows = keep_dated(stored_hours(spark, folder)).select(*T.DAY, "dt", K.TARGET)
+    rows = keep_dated(stored_hours(spark, folder, weather=False)).select(*T.DAY, "dt", K.TARGET)
     lagged = T.values_before(rows, T.day_spine(rows), K.TARGET, dilated_offsets(kernel=3, levels=2))
     return lagged.select("plant_id", "dt", *[f"{K.TARGET}_lag{n}" for n in (1, 2, 4)])
 
@@ -712,7 +712,7 @@ def dilated_lags(spark, folder):
 def position_encoding(spark, folder):
     from noonward.operators.sequences import position_waves
 
-    rows = keep_dated(stored_hours(spark, folder)).select(*T.DAY, "dt", K.TARGET)
+    rows = keep_dated(stored_hours(spark, folder, weather=False)).select(*T.DAY, "dt", K.TARGET)
     placed = T.add_position(rows, T.day_spine(rows))
     return placed.select("plant_id", "dt", "pos", F.posexplode(position_waves("pos", 8)).alias("dim", "value")).select(
         "plant_id", "dt", "pos", F.col("dim").cast("long").alias("dim"), half_even("value", 5).alias("value")

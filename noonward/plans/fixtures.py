@@ -82,9 +82,13 @@ def dense_hours(spark: SparkSession, folder: str) -> DataFrame:
     return _stamped(dated).drop("dd")
 
 
-def stored_hours(spark: SparkSession, folder: str) -> DataFrame:
-    """The dense rows, worked out from the sales table once for queries that pass over them repeatedly."""
-    return store(dense_hours(spark, folder))
+def stored_hours(spark: SparkSession, folder: str, weather: bool = True) -> DataFrame:
+    """The dense rows, worked out from the sales table once for queries that pass over them repeatedly.
+
+    Without `weather` only time and target are worked out and kept.
+    """
+    rows = dense_hours(spark, folder)
+    return store(rows if weather else rows.select("plant_id", "Month", "Hour", "date", "dt", K.TARGET))
 
 
 def gappy_hours(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,7 +171,7 @@ def forecasts(spark: SparkSession, folder: str) -> DataFrame:
     from noonward.operators.prepare import FeaturePlan, prepare
     from noonward.operators.windows import daily_samples
 
-    prepared = prepare(stored_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
+    prepared = prepare(stored_hours(spark, folder, weather=False), FeaturePlan([K.TARGET], [], False))
     made = None
     for name, days in (("persist", 1), ("mean3", 3)):
         samples = daily_samples(prepared, 24 * days, scaled=False)
@@ -217,7 +221,7 @@ def target_days(spark: SparkSession, folder: str, past_days: int = 1) -> DataFra
     from noonward.operators.prepare import FeaturePlan, prepare
     from noonward.operators.windows import daily_samples
 
-    prepared = prepare(stored_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
+    prepared = prepare(stored_hours(spark, folder, weather=False), FeaturePlan([K.TARGET], [], False))
     samples = daily_samples(prepared, 24 * past_days, scaled=False)
     return long_forecasts(samples, "y_true", "n_samples").drop("y_pred")
 

@@ -302,7 +302,7 @@ _LOOKBACK = ",\n".join(
 
 @query("study_lookback", _daily_study_sql("lookback_hours", _LOOKBACK, "lookbacks"))
 def study_lookback(spark, folder):
-    prepared = prepare(X.stored_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
+    prepared = prepare(X.stored_hours(spark, folder, weather=False), FeaturePlan([K.TARGET], [], False))
     made = None
     for hours in K.STUDY_LOOKBACKS:
         samples = W.daily_samples(prepared, hours, scaled=False).withColumns(
@@ -350,7 +350,7 @@ _COMPLEX = ",\n".join(
 @query("study_complexity", _daily_study_sql("complexity", _COMPLEX, "levels"))
 def study_complexity(spark, folder):
     """Stand-in model: an hourly mean approached in n steps of the learning rate."""
-    prepared = prepare(X.stored_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
+    prepared = prepare(X.stored_hours(spark, folder, weather=False), FeaturePlan([K.TARGET], [], False))
     samples = W.daily_samples(prepared, 24, scaled=False, split=S.daily_part(shuffle=True))
     means = X.hourly_means(V.long_forecasts(samples, "y_true", "part").drop("y_pred"))
     levels = [
@@ -434,7 +434,7 @@ slides as (select s.plant_id, 'persist' as model, s.pos - 24 as sample_idx, s.n
 
 
 def _sliding_test(spark, folder):
-    prepared = prepare(X.stored_hours(spark, folder), FeaturePlan([K.TARGET], [], False))
+    prepared = prepare(X.stored_hours(spark, folder, weather=False), FeaturePlan([K.TARGET], [], False))
     samples = W.sliding_samples(prepared, 24, 24, scaled=False, split=S.hourly_part(shuffle=False)).filter("part = 'test'")
     yesterday = F.transform("x_hist", lambda x: x[0])
     return V.long_forecasts(samples.withColumn("model", F.lit("persist")), yesterday, "model")
