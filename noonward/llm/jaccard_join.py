@@ -258,7 +258,8 @@ def _blocks(clustered: DataFrame, s: Settings) -> DataFrame:
 
 def _links(docs: DataFrame, blocks: DataFrame, s: Settings) -> DataFrame:
     """Links (a, b) between the documents of each cluster, from their full sets."""
-    own = docs.select("doc_id", "text").join(blocks, "doc_id")
+    # a list of documents grows with the corpus, so it is not broadcast, however short it looks on a small one
+    own = docs.select("doc_id", "text").join(blocks.hint("merge"), "doc_id")
 
     def run(batches):
         for batch, texts in slices(batches, "text"):

@@ -176,15 +176,16 @@ def posterior(model: Model, votes: str = "votes") -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
+def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5, stored: bool = True) -> DataFrame:
     """Measured documents with votes, base_failed, p_good and kept.
 
     Kept are those that pass the base and whose p_good is `least` or more. All documents count in the estimates.
-    The measured rows are written to the shared folder once, since they are read twice; drop what is not needed
-    (texts above all) before.
+    The measured rows are read twice. They are written to the shared folder for that, so drop what is not needed
+    (texts above all) before; unless `stored` is off, then they are worked out twice.
     """
     voted = without(measured, "votes", "base_failed", "p_good", "kept")
-    voted = store(voted.withColumns({"votes": F.array(*[vote(r) for r in rules]), "base_failed": base_failed()}))
+    voted = voted.withColumns({"votes": F.array(*[vote(r) for r in rules]), "base_failed": base_failed()})
+    voted = store(voted) if stored else voted
     counted = voted.groupBy("votes").count().collect()  # at most 3 ** len(rules) rows
     model = fit([(tuple(r["votes"]), r["count"]) for r in counted])
     scored = voted.withColumn("p_good", posterior(model))
