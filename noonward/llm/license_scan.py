@@ -8,6 +8,9 @@ coverage.
 Where a text may hold a template follows from the coverage asked for: a stretch of it must have so many of the
 template's words, in any order. Only such stretches are aligned, each by itself, so that a notice that stands in
 a text twice is found twice.
+
+Coverage alone would let short templates lack no word. Those may lack one, but none of the words that name the
+license; where such a find overlaps a better one of the same license, only the better one counts.
 """
 
 import re
@@ -44,8 +47,27 @@ NOTICES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MIT-released": "Released under the MIT License.",
+    "Apache-2.0-released": "Released under the Apache License 2.0.",
+    "GPL-3.0-released": "Released under the GNU General Public License, version 3.",
+    "GPL-3.0-v3": "Released under the GNU General Public License v3.0.",
+    "GPL-3.0-short": "Released under the GNU GPL v3.",
+    "BSD-2-Clause-released": "Released under the BSD 2-Clause License.",
+    "BSD-3-Clause-released": "Released under the BSD 3-Clause License.",
+    "CC-BY-4.0-long": "Licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-long": "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0-long": "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "MPL-2.0-released": "Released under the Mozilla Public License 2.0.",
 }
 
+#: Words that name a license, besides those with a digit.
+NAMING = frozenset(
+    "mit apache bsd isc gnu gpl lgpl agpl lesser affero mozilla mpl eclipse cc by by-sa by-nc by-nd by-nc-sa by-nc-nd creative commons "
+    "attribution attribution-sharealike attribution-noncommercial attribution-noderivatives".split()
+)
+#: Templates of fewer words must be there whole.
+SHORTEST = 5
+
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
     return [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(text)]
@@ -96,14 +118,26 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class Template:
+    """`least` words must match; `needed` are the places of those that must be among them; `full` words are the coverage asked for."""
+
     name: str
     words: tuple[str, ...]
     least: int
+    full: int
+    needed: tuple[int, ...] = ()
 
     @classmethod
     def of(cls, name: str, text: str, coverage: float) -> "Template":
         words = tuple(w for w, _, _ in words_of(text))
-        return cls(name, words, max(1, -int(-len(words) * coverage // 1)))
+        full = max(1, -int(-len(words) * coverage // 1))
+        naming = tuple(i for i, w in enumerate(words) if w in NAMING or re.search("[0-9]", w))
+        if coverage < 1 and full == len(words) >= SHORTEST and 0 < len(naming) < len(words) - 1:
+            return cls(name, words, full - 1, full, naming)
+        return cls(name, words, full, full)
+
+    @property
+    def naming(self) -> set[str]:
+        return {self.words[i] for i in self.needed}
 
     def regions(self, words: list[str]) -> list[tuple[int, int]]:
         """Stretches in which each window of twice the template's length that may hold it lies whole."""
@@ -133,12 +167,28 @@ class Template:
         while todo:
             low, high = todo.pop()
             part = words[low:high]
+            if self.needed:
+                out += [(low + a, low + b, n) for a, b, n in self._named(part)]
+                continue
             for a, b in self._cuts(part):
                 pairs = align(part[a:b], list(self.words))
                 if len(pairs) >= self.least:
                     out.append((low + a + pairs[0][0], low + a + pairs[-1][0], len(pairs)))
         return sorted(out)
 
+    def _named(self, part: list[str]) -> list[tuple[int, int, int]]:
+        """The finds in a region, one at most around each place of the rarest naming word."""
+        seen = Counter(part)
+        word = min(self.naming, key=lambda w: (seen[w], self.words.index(w)))
+        places = [i for i, w in enumerate(part) if w == word]
+        out, size = [], 2 * len(self.words)
+        for before, at, after in zip([-1, *places], places, [*places[1:], len(part)]):
+            low = max(before + 1, at - size, out[-1][1] + 1 if out else 0)
+            pairs = align(part[low : min(after, at + size)], list(self.words))
+            if len(pairs) >= self.least and {j for _, j in pairs}.issuperset(self.needed):
+                out.append((low + pairs[0][0], low + pairs[-1][0], len(pairs)))
+        return out
+
     def _cuts(self, part: list[str]) -> list[tuple[int, int]]:
         """A region cut where the template's most telling word (the rarest in the region) stands again."""
         seen = Counter(w for w in part if w in set(self.words))
@@ -167,20 +217,30 @@ MATCH = T.StructType(
 def scan_text(text: str, templates: list[Template]) -> list[dict]:
     """The finds of all templates in a whole text, by place, then name."""
     present = set(WORD.findall(text.lower()))
-    possible = [t for t in templates if sum(w in present for w in t.words) >= t.least]
+    possible = [t for t in templates if present.issuperset(t.naming) and sum(w in present for w in t.words) >= t.least]
     placed = words_of(text) if possible else []
     words = [w for w, _, _ in placed]
     out = []
-    for t in possible:
-        for first, last, matched in t.finds(words):
-            share = matched / len(t.words)
-            out.append(dict(license=t.name, start=placed[first][1], end=placed[last][2], matched=matched, coverage=share))
+    found = [(t, *f) for t in possible for f in t.finds(words)]
+    for t, first, last, matched in found:
+        if matched < t.full and any(_better(o, (t, first, last, matched)) for o in found):
+            continue
+        share = matched / len(t.words)
+        out.append(dict(license=t.name, start=placed[first][1], end=placed[last][2], matched=matched, coverage=share))
     return sorted(out, key=lambda m: (m["start"], m["license"]))
 
 
+def _better(a: tuple[Template, int, int, int], b: tuple[Template, int, int, int]) -> bool:
+    """Whether find `a` overlaps find `b`, is of the same license by its naming words, and holds more of its template."""
+    same = a[1] <= b[2] and b[1] <= a[2] and b[0].naming.issubset(a[0].words)
+    rank = lambda f: (f[3] >= f[0].full, f[3], f[3] / len(f[0].words), f[0].name)
+    return same and rank(a) > rank(b)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.9, text: str = "text") -> DataFrame:
     """`docs` with licenses: for each place where `coverage` of a template's words or more are found in order, its
-    name, start and end (code points), the words matched, and their share.
+    name, start and end (code points), the words matched, and their share. With a coverage below 1, a template of
+    five words or more that name a license may lack one word that is not of the name, even if that is less than `coverage`.
 
     A missing or empty text has none, as has a template without words. Rows stay as they are, repeated ones too; a
     column called licenses is replaced. Templates go to all tasks: they are a list that the caller holds.

@@ -79,3 +79,34 @@ def test_odd_rows_empty_table_and_clashing_names(odd, documents, clashing):
     df = ls.scan(clashing([(1, f"x {MIT}"), (1, f"x {MIT}")], "LICENSES", "start"))
     assert [[(m.license, m.start, m.coverage) for m in r.licenses] for r in df.collect()] == [[("MIT-notice", 2, 1.0)]] * 2
     assert ls.scan(documents([(1, MIT)]), {"empty": "", "dots": "..."}).first().licenses == []
+
+
+def test_usual_wordings_of_short_notices():
+    said = {
+        "Released under the MIT License.": "MIT-released",
+        "Distributed under the terms of the MIT license.": "MIT-released",
+        "This project is available under the MIT License.": "MIT-notice",
+        "Released under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+        "Licensed under the Apache License 2.0.": "Apache-2.0",
+        "Distributed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Available under the GNU General Public License, version 3.": "GPL-3.0-released",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0-long",
+    }
+    for line, name in said.items():
+        assert [f[0] for f in finds(f"The text before. {line} The text under it.")] == [name], line
+    text = " And so on. ".join(said)
+    assert [f[0] for f in finds(text)] == list(said.values())
+
+
+def test_short_notices_keep_the_name_of_the_license():
+    for line in ("Released under the BSD License.", "Licensed under the Apache License, Version 1.1.", "Licensed under CC BY-ND 4.0.", "the MIT license"):
+        assert finds(line) == [], line
+    assert [f[0] for f in finds("Licensed under the MIT License or the Apache License, Version 2.0.")] == ["Apache-2.0", "MIT-released"]
+    assert finds("Distributed under the MIT License.", coverage=1.0) == []
+
+
+def test_license_lines_of_the_test_tables(spark, data_folder):
+    docs = spark.read.parquet(f"{data_folder}/documents.parquet").select("doc_id", "text")
+    said = docs.filter(r"text rlike '(Released|[Ll]icensed) under [^.\\n]{0,40}(License|CC BY)'")
+    found = ls.scan(said).filter("size(licenses) = 0")
+    assert said.count() > 30 and found.count() == 0
