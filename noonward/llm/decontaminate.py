@@ -24,12 +24,21 @@ from noonward.llm.common import slices, without
 BLOCK_CHARS = 4_000_000
 WORD = re.compile(r"[^\W_]+")
 GAP = re.compile(r"[\W_]+")
+#: Letters of scripts that set no blanks between words: Thai to Burmese, Khmer, kana, Chinese characters.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: An item of too few words is searched if it has so many characters for each word asked for.
+WORD_CHARS = 4
 
 
 def normalised(text: str) -> str:
     return GAP.sub(" ", text).strip().lower()
 
 
+def n_words(item: str) -> int:
+    """Words of a normalised text; each letter of a script without blanks is one."""
+    return len(UNSPACED.findall(item)) + len(UNSPACED.sub(" ", item).split())
+
+
 def normalised_places(text: str) -> tuple[str, list[int], list[int]]:
     """The normalised text, and for each of its characters the start and end of its origin in `text`."""
     words, starts, ends = [], [], []
@@ -152,19 +161,26 @@ class Matcher:
 LEAK = T.StructType([T.StructField(c, T.LongType()) for c in ("item_id", "distance", "start", "end", "matches")])
 
 
-def _searched(docs: DataFrame, rows: list, rate: float, text: str) -> DataFrame:
+def _searched(docs: DataFrame, rows: list, rate: float, min_words: int, text: str) -> DataFrame:
     """`docs` with the finds of a block of items added to its column leaks."""
-    items = [(r.item_id, r.item) for r in rows]
+    items = [(r.item_id, r.item) for r in rows if n_words(r.item) >= min_words]
+    n = len(items)
+    items += [(r.item_id, r.item) for r in rows if n_words(r.item) < min_words]
     kind = pa.list_(pa.struct([(f.name, pa.int64()) for f in LEAK]))
 
     def run(batches):
-        matcher = Matcher([Item.of(i, t, rate) for i, t in items])
+        matcher = Matcher([Item.of(i, t, rate) for i, t in items[:n]]) if n else None
+        # few words: as they are, with the blanks around them, so that they are no parts of words
+        exact = Matcher([Item.of(i, f" {t} ", 0) for i, t in items[n:]]) if n < len(items) else None
         for batch, texts in slices(batches, text):
             leaks = []
             for whole, known in zip(texts, batch.column("leaks").to_pylist()):
                 by_item: dict[int, list] = {}
-                for i, *match in matcher.search(normalised(whole)):
+                plain = normalised(whole)
+                for i, *match in matcher.search(plain) if matcher else ():
                     by_item.setdefault(i, []).append(match)
+                for i, d, low, high in exact.search(f" {plain} ") if exact else ():
+                    by_item.setdefault(n + i, []).append([d, low, high - 2])
                 out = list(known or ())
                 if by_item:
                     _, starts, ends = normalised_places(whole)
@@ -186,8 +202,9 @@ def with_leaks(
 
     distance, start and end (code points of the text) are those of the best match, the first of equals; matches
     counts the stretches where the item was found. `benchmark` needs (item_id, text); its other columns are not
-    used. Missing and empty texts contain nothing. Items of fewer than `min_words` words, or without any, are no
-    evidence and match nothing. Rows of `docs` stay as they are, repeated ones too; repeated items count once. A
+    used. Missing and empty texts contain nothing. Each letter of a script without blanks counts as a word. Items of
+    fewer than `min_words` words are found as whole words without an error if they have WORD_CHARS characters for each
+    of `min_words`; shorter ones, such as single names, are no evidence and match nothing. Rows of `docs` stay as they are, repeated ones too; repeated items count once. A
     column called leaks is replaced. Items go to the tasks in blocks of about BLOCK_CHARS characters, each a pass
     over all texts.
     """
@@ -195,16 +212,18 @@ def with_leaks(
 
     def clean(batches):
         for batch, texts in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([normalised(t) for t in texts], pa.string())], names=["item_id", "item"])
+            made = [normalised(t) for t in texts]
+            made = [t if n_words(t) >= min_words or len(t) >= WORD_CHARS * min_words else "" for t in made]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(made, pa.string())], names=["item_id", "item"])
 
     items = items.mapInArrow(clean, "item_id long, item string").distinct()
-    items = items.filter((F.col("item") != "") & (F.size(F.split("item", " ")) >= min_words))
+    items = items.filter("item != ''")
     chars = items.agg(F.sum(F.length("item"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS)
     out = without(docs, "leaks").withColumn("leaks", F.array().cast(T.ArrayType(LEAK)))
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item_id", "item")
-        out = _searched(out, block.collect(), rate, text)
+        out = _searched(out, block.collect(), rate, min_words, text)
     return out
 
 

@@ -98,3 +98,13 @@ def test_items_in_several_blocks(documents, spark, monkeypatch):
 def test_places_fit_the_normalised_text(text):
     whole, starts, ends = dc.normalised_places(text)
     assert whole == dc.normalised(text) and len(whole) == len(starts) == len(ends)
+
+
+def test_items_of_few_words_and_without_blanks(documents, spark):
+    items = [(1, "Who discovered penicillin?"), (2, "中国的首都是哪里?"), (3, "Paris"), (4, ITEM)]
+    texts = ["Q: who discovered Penicillin! A", "whoever and who discovered penicillins", "他问中国的首都是哪里吗", "in Paris today", "who discovered penicillin"]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = dc.find_leaks(documents(list(enumerate(texts))), benchmark).collect()
+    assert {(r.doc_id, r.item_id, texts[r.doc_id][r.start : r.end]) for r in found} == {
+        (0, 1, "who discovered Penicillin"), (2, 2, "中国的首都是哪里"), (4, 1, "who discovered penicillin")
+    }
