@@ -4,7 +4,19 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from noonward.llm import bpe, chat, decontaminate, jaccard_join, license_scan, line_dedup, pii, quality_rules, token_counts, url_filter
+from noonward.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    embedding_dedup,
+    jaccard_join,
+    license_scan,
+    line_dedup,
+    pii,
+    quality_rules,
+    token_counts,
+    url_filter,
+)
 from noonward.llm.common import table
 from noonward.llm.registry import ORACLE, QUERIES, query
 from noonward.session import shared_folder
@@ -191,4 +203,26 @@ def op4_license_scan(spark, folder):
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(told, ",").alias("licenses"))
 
 
+OP11_SQL = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.93
+), reach as (
+  select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on r.b = l.a
+), comp as (select a, min(b) as component_id from reach group by a),
+counts as (select a, count(*) as n from links group by a)
+select e.vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e left join counts c on c.a = e.vec_id left join comp p on p.a = e.vec_id
+"""
+
+
+@query("op11_embedding_dedup", OP11_SQL)
+def op11_embedding_dedup(spark, folder):
+    return embedding_dedup.near_vectors(table(spark, folder, "embeddings"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
