@@ -10,10 +10,12 @@ from noonward.llm import (
     decontaminate,
     embedding_dedup,
     jaccard_join,
+    lexical_search,
     license_scan,
     line_dedup,
     pii,
     quality_rules,
+    source_divergence,
     token_counts,
     url_filter,
 )
@@ -207,7 +209,7 @@ OP11_SQL = """
 with recursive v as (
   select vec_id, label, cast(embedding as double[]) as e from embeddings
   where vec_id is not null and label is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links as (
   select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
   where list_cosine_similarity(a.e, b.e) >= 0.93
@@ -225,4 +227,80 @@ def op11_embedding_dedup(spark, folder):
     return embedding_dedup.near_vectors(table(spark, folder, "embeddings"))
 
 
+RANKED = 50
+OP12_SQL = f"""
+with t as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from documents
+), tf as (select doc_id, term, count(*) as tf from t group by all),
+len as (select doc_id, sum(tf) as n from tf group by all),
+total as (select count(*) as big_n, cast(sum(n) as bigint) as big_l from len),
+df as (select term, count(*) as df from tf group by all),
+w as (select term, cast(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) as bigint) as w from df, total),
+m as (select doc_id, cast(50 + (50 * n * big_n) // big_l as bigint) as m from len, total),
+q as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark
+), scored as (
+  select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score
+  from q join w using (term) join tf using (term) join m using (doc_id) group by all
+), ranked as (
+  select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank from scored where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= {RANKED}
+"""
+
+
+@query("op12_lexical_search", OP12_SQL)
+def op12_lexical_search(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lexical_search.ranked_search(docs, table(spark, folder, "benchmark"), RANKED)
+
+
+KEPT_FROM, TOP_TERMS = 3, 200
+OP13_SQL = f"""
+with d as (
+  select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text, row_number() over () as row
+  from documents
+), t as (
+  select row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d
+), kept as (
+  select lang, term, count(*) as n from t group by all having count(distinct row) >= {KEPT_FROM}
+), langs as (
+  select lang, coalesce(v, 0) as v, coalesce(total, 0) as total from (select distinct lang from d)
+  left join (select lang, count(*) as v, cast(sum(n) as bigint) as total from kept group by lang) using (lang)
+), counts as (
+  select lang, source, term, count(*) as n from t join (select lang, term from kept) using (lang, term) group by all
+), groups as (
+  select lang, source, coalesce(total, 0) as total, v from (select distinct lang, source from d)
+  left join (select lang, source, cast(sum(n) as bigint) as total from counts group by all) using (lang, source)
+  join (select lang, v from langs) using (lang)
+), p as (
+  select g.lang, g.source, k.term, c.n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (total + v) as p,
+    1 + (1000000000 * (k.n + 1)) // (lang_total + v) as q
+  from groups g join (select lang, total as lang_total from langs) using (lang) join kept k on k.lang = g.lang
+  left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), sums as (
+  select a.lang, a.source, b.source as item, cast(sum((a.p - b.p) * (a.p - b.p) // b.p) as bigint) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+), terms as (
+  select lang, source, 'term' as part, term as item, (p - q) * (p - q) // q as value from p where n > 0 and p > q
+), ranked as (
+  select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank
+  from (select * from pairs union all select * from terms)
+)
+select * from ranked where part = 'pair' or rank <= {TOP_TERMS}
+"""
+
+
+@query("op13_source_divergence", OP13_SQL)
+def op13_source_divergence(spark, folder):
+    return source_divergence.audit(table(spark, folder, "documents"), KEPT_FROM, TOP_TERMS)
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
