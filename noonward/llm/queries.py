@@ -151,7 +151,7 @@ def op8_pii(spark, folder):
     return found.select("doc_id", *counts, base.alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
-REPEATED_WORDS = 5
+REPEATED_WORDS = 20
 OP3_SQL = f"""
 with t as (
   select doc_id, text, unnest(regexp_extract_all(text, '\\n|[^\\n.!?]*[.!?]+|[^\\n.!?]+')) as part,
@@ -165,26 +165,28 @@ with t as (
 ), own as (
   select *, length(unit) - length(replace(unit, ' ', '')) + 1 as words,
     low + length(part) - length(ltrim(part, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as a,
-    low + length(rtrim(part, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as b
+    low + length(rtrim(part, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as b,
+    row_number() over (partition by unit order by doc_id nulls last, pos) > 1 as gone
   from u where unit <> ''
-), ranked as (
-  select *, row_number() over (partition by unit order by doc_id nulls last, pos) as k
-  from own where words >= {REPEATED_WORDS}
-), marked as (
-  select o.doc_id, o.pos, o.a, o.b, coalesce(r.k > 1, false) as gone, r.k is not null as counted
-  from own o left join ranked r on o.doc_id is not distinct from r.doc_id and o.pos = r.pos
 ), runs as (
   select *, sum(case when gone and lag_gone then 0 else 1 end) over (partition by doc_id order by pos) as run
-  from (select *, coalesce(lag(gone) over (partition by doc_id order by pos), false) as lag_gone from marked)
+  from (select *, coalesce(lag(gone) over (partition by doc_id order by pos), false) as lag_gone from own)
 ), spans as (
-  select doc_id, min(a) as a, max(b) as b from runs where gone group by doc_id, run
+  select doc_id, cast(min(a) as bigint) as a, cast(max(b) as bigint) as b from runs where gone
+  group by doc_id, run having sum(words) >= {REPEATED_WORDS}
 ), cut as (
   select doc_id, string_agg(a || ':' || b, ',' order by a) as removed, cast(sum(b - a) as bigint) as removed_chars
   from spans group by doc_id
-), counts as (select doc_id, cast(count(*) filter (counted) as bigint) as n_units from marked group by doc_id)
-select d.doc_id, coalesce(n_units, 0) as n_units, coalesce(removed, '') as removed,
-  cast(length(coalesce(d.text, '')) - coalesce(removed_chars, 0) as bigint) as kept_chars
-from documents d left join cut c on d.doc_id = c.doc_id left join counts n on d.doc_id = n.doc_id
+), starts as (
+  select doc_id, 0 as low from documents union all select doc_id, b from spans
+), rest as (
+  select s.doc_id, s.low, coalesce((select min(a) from spans e where e.doc_id = s.doc_id and e.a >= s.low), 1000000000) as ends from starts s
+), kept as (
+  select r.doc_id, string_agg(substring(d.text, cast(low + 1 as int), cast(ends - low as int)), '' order by low) as kept
+  from rest r join documents d on d.doc_id = r.doc_id group by r.doc_id
+)
+select d.doc_id, coalesce(removed_chars, 0) as removed_chars, coalesce(removed, '') as removed, sha256(coalesce(kept, '')) as kept_sha256
+from documents d left join cut c on d.doc_id = c.doc_id left join kept k on d.doc_id = k.doc_id
 """
 
 
@@ -192,9 +194,10 @@ from documents d left join cut c on d.doc_id = c.doc_id left join counts n on d.
 def op3_line_dedup(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     made = line_dedup.remove_repeats(docs, REPEATED_WORDS)
-    spans = F.transform("removed", lambda s: F.concat_ws(":", s.start, s.end))
-    kept = F.length(F.coalesce("kept_text", F.lit(""))).cast("long")
-    return made.select("doc_id", "n_units", F.array_join(spans, ",").alias("removed"), kept.alias("kept_chars"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s.start, s.end)), ",")
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + (s.end - s.start))
+    kept = F.sha2(F.coalesce("kept_text", F.lit("")), 256)
+    return made.select("doc_id", gone.alias("removed_chars"), spans.alias("removed"), kept.alias("kept_sha256"))
 
 
 @query("op4_license_scan")
