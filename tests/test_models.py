@@ -3,7 +3,7 @@ from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
-from conftest import full_days
+from hours import full_days
 from pyspark.sql import functions as F
 
 from noonward import constants as K

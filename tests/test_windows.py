@@ -2,7 +2,7 @@ import random
 from datetime import date, timedelta
 
 import pytest
-from conftest import full_days
+from hours import full_days
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
