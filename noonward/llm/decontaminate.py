@@ -26,8 +26,6 @@ WORD = re.compile(r"[^\W_]+")
 GAP = re.compile(r"[\W_]+")
 #: Letters of scripts that set no blanks between words: Thai to Burmese, Khmer, kana, Chinese characters.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
-#: An item of too few words is searched if it has so many characters for each word asked for.
-WORD_CHARS = 4
 
 
 def normalised(text: str) -> str:
@@ -166,12 +164,13 @@ def _searched(docs: DataFrame, rows: list, rate: float, min_words: int, text: st
     items = [(r.item_id, r.item) for r in rows if n_words(r.item) >= min_words]
     n = len(items)
     items += [(r.item_id, r.item) for r in rows if n_words(r.item) < min_words]
+    # few words: as they are, with the blanks around them, so that they are no parts of words
+    around = [("" if UNSPACED.match(t[0]) else " ", "" if UNSPACED.match(t[-1]) else " ") for _, t in items[n:]]
     kind = pa.list_(pa.struct([(f.name, pa.int64()) for f in LEAK]))
 
     def run(batches):
         matcher = Matcher([Item.of(i, t, rate) for i, t in items[:n]]) if n else None
-        # few words: as they are, with the blanks around them, so that they are no parts of words
-        exact = Matcher([Item.of(i, f" {t} ", 0) for i, t in items[n:]]) if n < len(items) else None
+        exact = Matcher([Item.of(i, a + t + b, 0) for (i, t), (a, b) in zip(items[n:], around)]) if around else None
         for batch, texts in slices(batches, text):
             leaks = []
             for whole, known in zip(texts, batch.column("leaks").to_pylist()):
@@ -180,7 +179,8 @@ def _searched(docs: DataFrame, rows: list, rate: float, min_words: int, text: st
                 for i, *match in matcher.search(plain) if matcher else ():
                     by_item.setdefault(i, []).append(match)
                 for i, d, low, high in exact.search(f" {plain} ") if exact else ():
-                    by_item.setdefault(n + i, []).append([d, low, high - 2])
+                    before, after = map(len, around[i])
+                    by_item.setdefault(n + i, []).append([d, low + before - 1, high - after - 1])
                 out = list(known or ())
                 if by_item:
                     _, starts, ends = normalised_places(whole)
@@ -203,8 +203,8 @@ def with_leaks(
     distance, start and end (code points of the text) are those of the best match, the first of equals; matches
     counts the stretches where the item was found. `benchmark` needs (item_id, text); its other columns are not
     used. Missing and empty texts contain nothing. Each letter of a script without blanks counts as a word. Items of
-    fewer than `min_words` words are found as whole words without an error if they have WORD_CHARS characters for each
-    of `min_words`; shorter ones, such as single names, are no evidence and match nothing. Rows of `docs` stay as they are, repeated ones too; repeated items count once. A
+    fewer than `min_words` words are found as whole words without an error, single words too; items without a letter
+    or digit match nothing. Rows of `docs` stay as they are, repeated ones too; repeated items count once. A
     column called leaks is replaced. Items go to the tasks in blocks of about BLOCK_CHARS characters, each a pass
     over all texts.
     """
@@ -213,7 +213,6 @@ def with_leaks(
     def clean(batches):
         for batch, texts in slices(batches, "text"):
             made = [normalised(t) for t in texts]
-            made = [t if n_words(t) >= min_words or len(t) >= WORD_CHARS * min_words else "" for t in made]
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(made, pa.string())], names=["item_id", "item"])
 
     items = items.mapInArrow(clean, "item_id long, item string").distinct()

@@ -101,10 +101,12 @@ def test_places_fit_the_normalised_text(text):
 
 
 def test_items_of_few_words_and_without_blanks(documents, spark):
-    items = [(1, "Who discovered penicillin?"), (2, "中国的首都是哪里?"), (3, "Paris"), (4, ITEM)]
+    items = [(1, "Who discovered penicillin?"), (2, "中国的首都是哪里?"), (3, "Paris"), (4, ITEM), (5, "What is 2+2?"), (6, "北京")]
     texts = ["Q: who discovered Penicillin! A", "whoever and who discovered penicillins", "他问中国的首都是哪里吗", "in Paris today", "who discovered penicillin"]
+    texts += ["So: what is 2 + 2?", "what is 2+22", "comparisons", "在北京吗", "北京"]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     found = dc.find_leaks(documents(list(enumerate(texts))), benchmark).collect()
     assert {(r.doc_id, r.item_id, texts[r.doc_id][r.start : r.end]) for r in found} == {
-        (0, 1, "who discovered Penicillin"), (2, 2, "中国的首都是哪里"), (4, 1, "who discovered penicillin")
+        (0, 1, "who discovered Penicillin"), (2, 2, "中国的首都是哪里"), (4, 1, "who discovered penicillin"), (3, 3, "Paris"),
+        (5, 5, "what is 2 + 2"), (8, 6, "北京"), (9, 6, "北京"),
     }
