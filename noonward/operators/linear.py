@@ -70,27 +70,45 @@ def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=[*KEY, "slot", "width", "sums"])
 
 
-def _add_up(rows: pd.DataFrame) -> pd.DataFrame:
+def add_up(rows: pd.DataFrame) -> pd.DataFrame:
     total = rows.iloc[:1].copy()
     total["sums"] = [np.sum(np.vstack(rows["sums"].to_numpy()), axis=0)]
     return total
 
 
-def _solve(rows: pd.DataFrame) -> pd.DataFrame:
-    """Weights and intercepts of all outputs from the summed products."""
-    started = time.perf_counter()
+def least_norm(square: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The solution of least norm of the normal equations; by Cholesky's method where they are well conditioned."""
+    used = np.flatnonzero(square.diagonal() > 0)
+    size = np.sqrt(square.diagonal()[used])
+    out = np.zeros(right.shape)
+    try:
+        lower = np.linalg.cholesky(square[np.ix_(used, used)] / np.outer(size, size))
+    except np.linalg.LinAlgError:
+        lower = np.zeros((1, 1))
+    if lower.size and lower.diagonal().min() > 1e-3:
+        out[used] = np.linalg.solve(lower.T, np.linalg.solve(lower, right[used] / size[:, None])) / size[:, None]
+        return out
+    return np.linalg.pinv(square, rcond=1e-12, hermitian=True) @ right
+
+
+def solve_sums(rows: pd.DataFrame) -> np.ndarray:
+    """Intercepts (first row) and weights of all outputs from the products of (1, features, targets) in `sums`."""
     width = int(rows["width"].iloc[0])
     flat = np.sum(np.vstack(rows["sums"].to_numpy()), axis=0)
     side = int(round(np.sqrt(len(flat))))
     z = flat.reshape(side, side)
     n, sums = z[0, 0], z[0, 1:]
     centred = z[1:, 1:] - np.outer(sums, sums) / n
-    weights = np.linalg.pinv(centred[:width, :width], rcond=1e-12, hermitian=True) @ centred[:width, width:]
+    weights = least_norm(centred[:width, :width], centred[:width, width:])
     intercept = (sums[width:] - sums[:width] @ weights) / n
-    first = rows.iloc[0]
-    both = np.vstack([intercept, weights]).ravel()
+    return np.vstack([intercept, weights])
+
+
+def _solve(rows: pd.DataFrame) -> pd.DataFrame:
+    started = time.perf_counter()
+    both, first = solve_sums(rows).ravel(), rows.iloc[0]
     return pd.DataFrame(
-        [[first["plant_id"], first["experiment_name"], both, width, time.perf_counter() - started]],
+        [[first["plant_id"], first["experiment_name"], both, int(first["width"]), time.perf_counter() - started]],
         columns=["plant_id", "experiment_name", "weights", "param_count", "train_time_sec"],
     )
 
@@ -117,7 +135,7 @@ def fit_hourly(samples: DataFrame) -> DataFrame:
     partial = used.filter("part = 'train'").select(*KEY, "sample_idx", "features", "y").mapInPandas(
         _products, schema=_SUMS_SCHEMA
     )
-    slots = partial.groupBy(*KEY, "slot").applyInPandas(_add_up, schema=_SUMS_SCHEMA)
+    slots = partial.groupBy(*KEY, "slot").applyInPandas(add_up, schema=_SUMS_SCHEMA)
     weights = slots.groupBy(*KEY).applyInPandas(_solve, schema=_WEIGHTS_SCHEMA)
     test = used.filter("part = 'test'").drop("part", "y").withColumn("_year", F.year("date"))
     years = test.select(*KEY, F.col("_year").alias("_fitted_year")).distinct()

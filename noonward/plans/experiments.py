@@ -13,12 +13,13 @@ from noonward import constants as K
 from noonward.functions.columns import clip_percent, half_even
 from noonward.operators import windows as W
 from noonward.operators.evaluate import experiment_metrics, long_forecasts
-from noonward.operators.linear import FIT_SCHEMA, KEY, fit_daily, fit_hourly
+from noonward.operators.lagged import fit_sliding, sliding_hours
+from noonward.operators.linear import FIT_SCHEMA, KEY, fit_daily
 from noonward.operators.prepare import FeaturePlan, Prepared, plan_features, prepare, unscale
 from noonward.operators.splits import daily_part, hourly_part
 from noonward.operators.trees import fit_trees
 from noonward.plans.grid import pending, tree_params
-from noonward.session import cut_lineage, store, written
+from noonward.session import store, written
 from noonward.sinks.tables import append_results
 from noonward.sources.results import as_results, read_results
 
@@ -155,6 +156,17 @@ def samples_of(
     )
 
 
+def sliding_fit(
+    prepared: Prepared, e: Experiment, skip: DataFrame | None = None, settings: DataFrame | None = None
+) -> DataFrame:
+    """Forecasts of a linear experiment on sliding samples; plants in `skip` are left out as in samples_of."""
+    if skip is not None:
+        prepared = replace(prepared, spine=prepared.spine.join(skip, "plant_id", "left_anti"))
+    split = hourly_part(e.shuffle, e.train_ratio, e.val_ratio, e.seed, settings=e.settings_for(settings))
+    rows, shape = sliding_hours(prepared, e.lookback_hours, K.HOURS_PER_DAY, split)
+    return fit_sliding(store(rows), shape, e.experiment_name)[1]
+
+
 def _in_percent(fit: DataFrame) -> DataFrame:
     """Bring forecasts back by the plant's extremes and keep them within 0 and 100."""
     lo, hi = F.col("lo"), F.col("hi")
@@ -187,13 +199,13 @@ def _fit_trees(samples: DataFrame, e: Experiment) -> DataFrame:
 def _fit(
     hours: DataFrame, experiments: list[Experiment], done: DataFrame | None = None, settings: DataFrame | None = None
 ) -> Iterable[DataFrame]:
-    """Fits of all experiments; samples used by several tree fits are built once and checkpointed.
+    """Fits of all experiments; samples used by several tree fits are built once and stored.
 
     Linear fits leave out the plants that are done. Tree models learn from all plants, so they are
     fitted on all as long as one is left.
     """
     by_key: dict[tuple, list[Experiment]] = {}
-    linear: dict[bool, list[DataFrame]] = {False: [], True: []}
+    linear: list[DataFrame] = []
     for e in experiments:
         by_key.setdefault(e.sample_key, []).append(e)
     prepared = prepare_for(hours, experiments, settings)
@@ -201,23 +213,25 @@ def _fit(
         own = prepared[same[0].sample_key]
         trees = [e for e in same if e.model in K.TREE_MODELS]
         if trees:
-            samples = cut_lineage(samples_of(own, trees[0], settings=settings))
+            samples = store(samples_of(own, trees[0], settings=settings))
             yield from (_in_percent(_fit_trees(samples, e)) for e in trees)
         for e in same:
             if e.model == K.LINEAR_MODEL:
                 skip = None
                 if done is not None:
                     skip = done.filter(F.col("experiment_name") == e.experiment_name).select("plant_id")
-                linear[e.sliding].append(_named(samples_of(own, e, skip, settings), e))
-    for sliding, fit in ((False, fit_daily), (True, fit_hourly)):
-        if linear[sliding]:
-            yield _in_percent(fit(reduce(DataFrame.unionByName, linear[sliding])))
+                if e.sliding:
+                    yield _in_percent(sliding_fit(own, e, skip, settings))
+                else:
+                    linear.append(_named(samples_of(own, e, skip, settings), e))
+    if linear:
+        yield _in_percent(fit_daily(reduce(DataFrame.unionByName, linear)))
 
 
 def run_fits(
     hours: DataFrame, experiments: list[Experiment], done: DataFrame | None = None, settings: DataFrame | None = None
 ) -> DataFrame:
-    """Forecasts of the test part, one row per sample, written to the checkpoint folder.
+    """Forecasts of the test part, one row per sample, stored in the shared folder.
 
     A group that cannot be fitted gives one row with its error instead; models without a trainer give none.
     """
@@ -225,7 +239,7 @@ def run_fits(
     if not own:
         kept = [c for c in FIT_SCHEMA.split(", ") if c.split()[0] not in ("lo", "hi")]
         return hours.sparkSession.createDataFrame([], ", ".join(kept))
-    return cut_lineage(reduce(DataFrame.unionByName, _fit(hours, own, done, settings)))
+    return store(reduce(DataFrame.unionByName, _fit(hours, own, done, settings)))
 
 
 def _settings(work: DataFrame, experiments: list[Experiment]) -> DataFrame:

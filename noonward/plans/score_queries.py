@@ -10,6 +10,7 @@ from noonward.functions.columns import half_even
 from noonward.operators import evaluate as V
 from noonward.operators import splits as S
 from noonward.operators import windows as W
+from noonward.operators.lagged import fit_sliding, sliding_hours
 from noonward.operators.linear import fit_one_feature
 from noonward.operators.prepare import FeaturePlan, plan_features, prepare, scaled_hours
 from noonward.plans import experiments as E
@@ -18,6 +19,7 @@ from noonward.plans import reports as R
 from noonward.plans import sql as Q
 from noonward.plans import studies as U
 from noonward.plans.registry import query
+from noonward.session import store
 
 _KEYS = ["plant_id", "model"]
 
@@ -435,7 +437,7 @@ slides as (select s.plant_id, 'persist' as model, s.pos - 24 as sample_idx, s.n
 
 def _sliding_test(spark, folder):
     prepared = prepare(X.stored_hours(spark, folder, weather=False), FeaturePlan([K.TARGET], [], False))
-    samples = W.sliding_samples(prepared, 24, 24, scaled=False, split=S.hourly_part(shuffle=False)).filter("part = 'test'")
+    samples = W.sliding_samples(prepared, 24, 24, scaled=False, split=S.S.hourly_part(shuffle=False)).filter("part = 'test'")
     yesterday = F.transform("x_hist", lambda x: x[0])
     return V.long_forecasts(samples.withColumn("model", F.lit("persist")), yesterday, "model")
 
@@ -501,10 +503,35 @@ def ols_multi(spark, folder):
 @query("ols_sliding")
 def ols_sliding(spark, folder):
     """Forecasts of the linear model on hourly sliding samples."""
-    experiments = [E.base_experiment(K.LINEAR_MODEL, sliding=True, weather_category="high_weather")]
+    experiments = [E.base_experiment(K.LINEAR_MODEL, sliding=True)]
     return E.forecasts_of(E.run_fits(X.stored_hours(spark, folder), experiments), experiments)
 
 
+_TWO_PLAN = plan_features("PV+NWP", "solar_irradiance_only", time_encoding=False)
+_TWO = [K.LAG_FEATURE, *_TWO_PLAN.fcst]
+_TWO_SQL = Q.chain(Q.DENSE, Q.kept(), Q.clean(_TWO_PLAN.hist, _TWO_PLAN.fcst), Q.scaled(_TWO), f"""placed as (
+  select plant_id, row_number() over w - 1 as sample_idx, count(*) over (partition by plant_id) - 1 as n_samples,
+    lag({_TWO[0]}) over w as a, {_TWO[1]} as b, capacity_factor as y from scaled window w as (partition by plant_id order by dt)
+), train as (
+  select * from placed where a is not null and sample_idx - 1 < cast(floor(n_samples * cast(0.8 as double)) as bigint)
+), m as (
+  select plant_id, count(*) as n, var_pop(a) as aa, var_pop(b) as bb, covar_pop(a, b) as ab, covar_pop(a, y) as ay, covar_pop(b, y) as by_,
+    avg(a) as ma, avg(b) as mb, avg(y) as my from train group by plant_id
+), w as (select *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) as wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) as wb from m)""") + """
+select plant_id, n, round_even(wa, 6) as w_past, round_even(wb, 6) as w_ahead, round_even(my - wa * ma - wb * mb, 6) as intercept from w"""
+
+
+@query("ols_sliding_two", _TWO_SQL)
+def ols_sliding_two(spark, folder):
+    """Weights of the hour before and of the forecast, from sliding samples of one hour."""
+    prepared = prepare(X.stored_hours(spark, folder), _TWO_PLAN)
+    rows, shape = sliding_hours(prepared, 1, 1, S.hourly_part(shuffle=False))
+    weights, _ = fit_sliding(store(rows), shape, "two")
+    trained = rows.filter("part = 'train' and in_own_block").groupBy("plant_id").agg(F.count(F.lit(1)).alias("n"))
+    names = [F.col("weights")[i].alias(c) for i, c in enumerate(("intercept", "w_past", "w_ahead"))]
+    return _rounded(weights.join(trained, "plant_id").select("plant_id", "n", *names), 6, "intercept", "w_past", "w_ahead")
+
+
 @query("run_experiment")
 def run_experiment(spark, folder):
     return E.run_experiments(X.stored_hours(spark, folder), E.linear_grid())

@@ -7,6 +7,7 @@ from hours import full_days
 from pyspark.sql import functions as F
 
 from noonward import constants as K
+from noonward.operators import lagged as G
 from noonward.operators import linear as L
 from noonward.operators.trees import fit_trees, save_models, tree_model
 from noonward.plans import experiments as E
@@ -127,6 +128,44 @@ def test_a_broken_run_goes_on_where_it_ended(spark, hourly, tmp_path, monkeypatc
     assert len(rows) == 4 and {r["status"] for r in rows} == {"SUCCESS"}
 
 
+def test_sums_over_neighbours_are_those_of_the_samples():
+    rng = np.random.default_rng(4)
+    for shape in (G.Shape(2, 3, 5, 4), G.Shape(0, 2, 0, 6), G.Shape(1, 0, 3, 2), G.Shape(0, 1, 0, 1)):
+        hours = rng.random((200, shape.hist + shape.fcst + 1))
+        starts = np.arange(shape.past, 200 - shape.future + 1)
+        want = G.sums_of_samples(hours, starts, shape)
+        assert np.allclose(G.sums_of_range(hours, starts[0], starts[-1] + 1, shape), want, atol=1e-10)
+        x = G.stretched(hours, starts, shape)
+        assert x.shape[1] == shape.width + shape.future and np.allclose(want[1:, 1:], x.T @ x)
+        for trains in (starts < 150, rng.random(len(starts)) < 0.8, rng.random(len(starts)) < 0.2, (starts < 60) | (starts > 90)):
+            got = G.training_sums(hours, starts, trains, shape)
+            assert np.allclose(got, G.sums_of_samples(hours, starts[trains], shape), atol=1e-9)
+
+
+@pytest.mark.parametrize("shuffle, scenario, past", [(True, "PV+NWP", 30), (False, "PV+NWP", 30), (True, "NWP", 0), (False, "PV", 24)])
+def test_sliding_fit_without_windows_equals_that_of_windows(hourly, monkeypatch, shuffle, scenario, past):
+    monkeypatch.setattr(G, "BLOCK_HOURS", 200)
+    hours = hourly(driven("a", 3, n=40) + driven("b", 4, n=36) + full_days("short", "2022-01-01", 1))
+    e = E.Experiment("Linear", scenario, lookback_hours=past, sliding=True, shuffle=shuffle)
+    prepared = E.prepare_for(hours, [e])[e.sample_key]
+    keys = ["plant_id", "sample_idx"]
+    got = E.sliding_fit(prepared, e).orderBy(*keys).toPandas()
+    want = L.fit_hourly(E._named(E.samples_of(prepared, e), e)).orderBy(*keys).toPandas()
+    same = [*keys, "experiment_name", "date", "end_dt", "lo", "hi", "param_count", "error"]
+    assert got[same].equals(want[same]) and len(got) > 100
+    assert np.abs(np.vstack(got["y_pred"]) - np.vstack(want["y_pred"])).max() < 1e-8
+    assert (np.vstack(got["y_true"]) == np.vstack(want["y_true"])).all()
+
+
+def test_least_norm_of_singular_equations():
+    rng = np.random.default_rng(2)
+    x = rng.random((40, 6))
+    y = rng.random((40, 2))
+    for columns in ([0, 1, 2, 3], [0, 1, 1, 2], [0, 1, 2]):
+        own = np.hstack([x[:, columns], np.zeros((40, 1))])
+        assert np.allclose(L.least_norm(own.T @ own, own.T @ y), np.linalg.pinv(own) @ y, atol=1e-8)
+
+
 def test_sliding_linear_experiment(spark, hourly):
     hours = hourly(driven("a", 3, n=20))
     experiments = [E.base_experiment("Linear", sliding=True, shuffle=s, name=str(s)) for s in (True, False)]
