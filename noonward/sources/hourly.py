@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from noonward import constants as K
 from noonward.functions.columns import absent_if_nan, forward_slashes, hour_stamp, plant_id_from_file
-from noonward.sources.by_name import all_names, cell, read_by_name
+from noonward.sources.by_name import Layout, layouts, read_layouts
 
 # Column names of the files.
 TIME_COLUMNS = ["Year", "Month", "Day", "Hour"]
@@ -13,22 +13,22 @@ FILE_TARGET = "Capacity Factor"
 FILE_PATTERN = "*.{csv,CSV}"
 
 
-def _lines(spark: SparkSession, *paths: str) -> DataFrame:
-    return read_by_name(spark, list(paths), pathGlobFilter=FILE_PATTERN, recursiveFileLookup=True)
+def _layouts(spark: SparkSession, *paths: str) -> list[Layout]:
+    return layouts(spark, list(paths), pathGlobFilter=FILE_PATTERN, recursiveFileLookup=True)
 
 
-def _whole(name: str) -> Column:
+def _whole(text: Column) -> Column:
     """A whole number, also where a tool has written it with a fraction of zero."""
-    number = cell(name).try_cast("double")
+    number = text.try_cast("double")
     return F.when(number == F.floor(number), number.try_cast("int"))
 
 
-def _number(name: str) -> Column:
-    return absent_if_nan(cell(name).try_cast("double"))
+def _number(text: Column) -> Column:
+    return absent_if_nan(text.try_cast("double"))
 
 
-def _lacking() -> Column:
-    return F.array_except(F.array(*[F.lit(c) for c in [*TIME_COLUMNS, FILE_TARGET]]), "names")
+def _lacking(layout: Layout) -> list[str]:
+    return [c for c in [*TIME_COLUMNS, FILE_TARGET] if c not in layout.names]
 
 
 def read_hourly(
@@ -41,20 +41,23 @@ def read_hourly(
     empty, and date_ranges falls back on the default range. A cell that is no number, or a date that does not
     exist, is empty too: `unreadable_plants` lists the plants that have such rows.
     """
-    rows = _lines(spark, *paths)
-    if strict and (bad := rows.select(F.explode(_lacking()).alias("name")).distinct().collect()):
-        raise ValueError(f"missing columns: {sorted(r[0] for r in bad)}")
-    given = all_names(rows)
+    found = _layouts(spark, *paths)
+    if strict and (bad := {c for layout in found for c in _lacking(layout)}):
+        raise ValueError(f"missing columns: {sorted(bad)}")
+    given = {n for layout in found for n in layout.names}
     weather = [w for w in [*K.WEATHER, *(w + K.FORECAST_SUFFIX for w in K.WEATHER)] if w in given]
     plant = plant_id_from_file(F.col("file_name")) if plant_id is None else plant_id
-    return with_stamp(
-        rows.select(
-            plant.alias("plant_id"),
-            *[_whole(c).alias(c) for c in TIME_COLUMNS],
-            _number(FILE_TARGET).alias(K.TARGET),
-            *[_number(w).alias(w) for w in weather],
-        )
-    )
+
+    def columns(layout: Layout, cell) -> dict[str, Column]:
+        return {
+            "plant_id": plant,
+            **{c: _whole(cell(c)) for c in TIME_COLUMNS},
+            K.TARGET: _number(cell(FILE_TARGET)),
+            **{w: _number(cell(w)) for w in weather},
+        }
+
+    schema = f"plant_id string, {', '.join(f'{c} int' for c in TIME_COLUMNS)}, {K.TARGET} double"
+    return with_stamp(read_layouts(spark, found, columns, schema))
 
 
 def unreadable_plants(spark: SparkSession, *paths: str) -> DataFrame:
@@ -62,17 +65,19 @@ def unreadable_plants(spark: SparkSession, *paths: str) -> DataFrame:
 
     Such a plant does not end the reading of the others; the table goes to plant_status.
     """
-    rows = _lines(spark, *paths).withColumn("lacking", _lacking())
-    numbers = [FILE_TARGET, *K.WEATHER, *(w + K.FORECAST_SUFFIX for w in K.WEATHER)]
-    no_number = [cell(c).isNotNull() & cell(c).try_cast("double").isNull() for c in numbers]
-    time = [_whole(c) for c in TIME_COLUMNS]
-    problem = (
-        F.when(F.size("lacking") > 0, F.concat(F.lit("missing columns: "), F.array_join("lacking", ", ")))
-        .when(hour_stamp(*time).isNull(), F.lit("no such time"))
-        .when(F.array_contains(F.array(*no_number), True), F.lit("not a number"))
-    )
-    told = rows.select(plant_id_from_file(F.col("file_name")).alias("plant_id"), problem.alias("error"))
-    return told.filter("error is not null").groupBy("plant_id").agg(F.min("error").alias("error"))
+
+    def columns(layout: Layout, cell) -> dict[str, Column]:
+        numbers = [FILE_TARGET, *K.WEATHER, *(w + K.FORECAST_SUFFIX for w in K.WEATHER)]
+        cells = [cell(c) for c in numbers if c in layout.names]
+        no_number = [c.isNotNull() & c.try_cast("double").isNull() for c in cells]
+        lacking = _lacking(layout)
+        told = F.lit("missing columns: " + ", ".join(lacking)) if lacking else None
+        no_time = hour_stamp(*[_whole(cell(c)) for c in TIME_COLUMNS]).isNull()
+        problem = F.when(no_time, F.lit("no such time")).when(F.array_contains(F.array(*no_number), True), F.lit("not a number"))
+        return {"plant_id": plant_id_from_file(F.col("file_name")), "error": problem if told is None else told}
+
+    found = read_layouts(spark, _layouts(spark, *paths), columns, "plant_id string, error string")
+    return found.filter("error is not null").groupBy("plant_id").agg(F.min("error").alias("error"))
 
 
 def with_stamp(rows: DataFrame) -> DataFrame:

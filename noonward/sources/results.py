@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noonward.sources.by_name import cell, read_by_name
+from noonward.sources.by_name import layouts, read_layouts
 
 RESULTS_SCHEMA = (
     "plant_id string, experiment_name string, model string, complexity string, scenario string, "
@@ -31,10 +31,13 @@ def read_results_csv(spark: SparkSession, *paths: str) -> DataFrame:
 
     What cannot be read as its column's type is empty; whole numbers may have a fraction of zero.
     """
-    rows = read_by_name(spark, list(paths))
     types = dict(f.split() for f in RESULTS_SCHEMA.split(", "))
-    whole = lambda c: cell(c).try_cast("double") if types[c] in ("int", "long") else cell(c)
-    return rows.select(*[whole(c).try_cast(types[c]).alias(c) for c in RESULTS_COLUMNS])
+
+    def columns(layout, cell):
+        text = {c: cell(c).try_cast("double") if t in ("int", "long") else cell(c) for c, t in types.items()}
+        return {c: t.try_cast(types[c]) for c, t in text.items()}
+
+    return read_layouts(spark, layouts(spark, list(paths)), columns, RESULTS_SCHEMA)
 
 
 def union_results(*tables: DataFrame) -> DataFrame:

@@ -62,6 +62,25 @@ def test_each_file_is_read_by_its_own_header(spark, tmp_path):
     assert got["3"]["global_tilted_irradiance"] is None and got["3"]["snow_depth"] == 9.0
 
 
+def test_one_pruned_scan_per_layout(spark, tmp_path):
+    for plant in (1, 2, 3):
+        write(tmp_path / f"a {plant}" / f"Project{plant}.csv", HEADER + f"2022,1,1,0,{plant},2,3\n" + HEADER + "2022,1,1,1,7,8,9\n")
+    write(tmp_path / "b" / "[4].csv", "\n" + '"Hour",Year,Month,Day,note,"Capacity Factor"\n5,2022,1,1,"x, y",4\n  \n5,2022\n')
+    write(tmp_path / "b" / "empty5.csv", "")
+    rows = H.read_hourly(spark, str(tmp_path))
+    got = sorted((r["plant_id"], str(r["dt"]), r[K.TARGET]) for r in rows.collect())
+    first = [(str(p), f"2022-01-01 0{h}:00:00", float(t)) for p in (1, 2, 3) for h, t in ((0, p), (1, 7))]
+    assert got == sorted([*first, ("[4]", "2022-01-01 05:00:00", 4.0), ("[4]", "None", None)])
+    plan = rows.select("plant_id", K.TARGET)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 2 and "Join" not in plan and "Exchange" not in plan
+    assert "c6:string" not in plan  # not asked for
+
+
+def test_no_files(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert H.read_hourly(spark, str(tmp_path / "none")).columns[:2] == ["plant_id", "Year"]
+
+
 def test_bad_cells_do_not_end_the_reading(spark, tmp_path):
     write(tmp_path / "1.csv", HEADER + "2022,1,1,0,1,2,3\n")
     write(tmp_path / "2.csv", HEADER + "2022,2,30,0,1,2,3\n2022,2,1,0,oops,2,3\n")
