@@ -1,5 +1,9 @@
 """Train, validation and test parts."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +64,40 @@ def shuffled_rank(samples: DataFrame, seed: int | Column = K.RANDOM_SEED, out: s
     return rank_by_bucket(keyed, F.floor(spread / 16**7), "_key", out=out).drop("_key")
 
 
+#: Orders of a shuffled split: by a hash of the sample, or by the permutation of NumPy's legacy generator (MT19937).
+ORDERS = ["hash", "mt19937"]
+
+
+def permutations(sizes: DataFrame) -> DataFrame:
+    """(seed, n_samples, sample_idx, rank): where each sample stands in the permutation of `n_samples` under `seed`.
+
+    `sizes` has seed and n_samples. Each pair is drawn once, however many plants have it, in a task of its own; the
+    table is never longer than the samples it is for.
+    """
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for seed, n in zip(batch["seed"], batch["n_samples"]):
+                order = np.random.RandomState(seed).permutation(n)
+                for k in range(0, n, 100_000):
+                    part = order[k : k + 100_000]
+                    at = np.arange(k, k + len(part))
+                    yield pd.DataFrame({"seed": seed, "n_samples": n, "sample_idx": part, "rank": at})
+
+    pairs = sizes.select(F.col("seed").cast("long").alias("seed"), F.col("n_samples").cast("long").alias("n_samples"))
+    pairs = pairs.filter("n_samples > 0").distinct().repartition("seed", "n_samples")
+    return pairs.mapInPandas(draw, "seed long, n_samples long, sample_idx long, rank long")
+
+
+def permuted_rank(samples: DataFrame, seed: int | Column = K.RANDOM_SEED, out: str = "rank") -> DataFrame:
+    """Rank of each sample in the permutation of its plant's samples; empty for rows that are no sample."""
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    rows = samples.withColumn("_seed", seed.cast("long"))
+    drawn = permutations(rows.filter("sample_idx is not null").select(F.col("_seed").alias("seed"), "n_samples"))
+    drawn = drawn.select(F.col("seed").alias("_seed"), "n_samples", "sample_idx", F.col("rank").alias(out))
+    return rows.join(drawn, ["_seed", "n_samples", "sample_idx"], "left").select(*samples.columns, out)
+
+
 def daily_part(
     shuffle: bool,
     train: float = K.TRAIN_RATIO,
@@ -67,19 +105,26 @@ def daily_part(
     seed: int = K.RANDOM_SEED,
     out: str = "part",
     settings: DataFrame | None = None,
+    order: str = "hash",
 ):
     """A step that adds the part to a numbered day spine (one short row per plant and day).
 
-    With `settings` a plant's own ratios, shuffling and seed go before those given.
+    With `settings` a plant's own ratios, shuffling and seed go before those given. `order` is one of ORDERS.
     """
+    if order not in ORDERS:
+        raise ValueError(f"unknown order: {order}")
 
     def add(numbered: DataFrame) -> DataFrame:
         spine, (own_train, own_val, own_shuffle, own_seed) = _followed(numbered, settings, train, val, shuffle, seed)
         rank = F.col("sample_idx")
-        if shuffle or settings is not None:
-            key = F.when(F.lit(own_shuffle) if settings is None else own_shuffle, shuffle_key(own_seed))
-            order = Window.partitionBy("plant_id").orderBy(F.col("sample_idx").isNull(), key, "sample_idx")
-            rank = F.row_number().over(order) - 1
+        shuffled = F.lit(own_shuffle) if settings is None else own_shuffle
+        if order == "mt19937" and (shuffle or settings is not None):
+            spine = permuted_rank(spine, own_seed, "_drawn")
+            rank = F.when(shuffled, F.col("_drawn")).otherwise(rank)
+        elif shuffle or settings is not None:
+            key = F.when(shuffled, shuffle_key(own_seed))
+            by_key = Window.partitionBy("plant_id").orderBy(F.col("sample_idx").isNull(), key, "sample_idx")
+            rank = F.row_number().over(by_key) - 1
         part = F.when(F.col("sample_idx").isNotNull(), part_of("_rank", "n_samples", own_train, own_val))
         return spine.withColumn("_rank", rank).withColumn(out, part).select(*numbered.columns, out)
 
@@ -93,18 +138,21 @@ def hourly_part(
     seed: int = K.RANDOM_SEED,
     out: str = "part",
     settings: DataFrame | None = None,
+    order: str = "hash",
 ):
-    """A step that adds the part to hourly rows, each the start of a sliding sample; `settings` as for daily_part.
+    """A step that adds the part to hourly rows, each the start of a sliding sample; `settings`, `order` as for daily_part.
 
     It runs before the samples are put together, so only single rows are moved.
     """
+    if order not in ORDERS:
+        raise ValueError(f"unknown order: {order}")
 
     def add(rows: DataFrame) -> DataFrame:
         if not shuffle and settings is None:
             return rows.withColumn(out, part_of("sample_idx", "n_samples", train, val))
         numbers = rows.filter("sample_idx is not null").select("plant_id", "pos", "sample_idx", "n_samples")
         numbers, (own_train, own_val, own_shuffle, own_seed) = _followed(numbers, settings, train, val, shuffle, seed)
-        ranked = shuffled_rank(numbers, own_seed, "_rank")
+        ranked = (permuted_rank if order == "mt19937" else shuffled_rank)(numbers, own_seed, "_rank")
         if settings is not None:
             ranked = ranked.withColumn("_rank", F.when(own_shuffle, F.col("_rank")).otherwise(F.col("sample_idx")))
         parts = ranked.select("plant_id", "pos", part_of("_rank", "n_samples", own_train, own_val).alias(out))

@@ -580,6 +580,13 @@ def split_shuffled(spark, folder):
     return numbered.filter("sample_idx is not null").select("plant_id", "date", "sample_idx", "part")
 
 
+@query("split_permuted")
+def split_permuted(spark, folder):
+    """Parts by the permutation that NumPy's legacy generator draws under the seed; it has no counterpart in SQL."""
+    numbered = S.daily_part(shuffle=True, order="mt19937")(_numbered(spark, folder))
+    return numbered.filter("sample_idx is not null").select("plant_id", "date", "sample_idx", "part")
+
+
 @query(
     "split_per_plant",
     _SAMPLES_SQL.rstrip()

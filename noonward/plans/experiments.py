@@ -1,12 +1,13 @@
 """Running experiments: samples, fits, forecasts and result rows of all plants at once."""
 
+import json
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.errors import IllegalArgumentException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noonward import constants as K
@@ -15,12 +16,12 @@ from noonward.operators import windows as W
 from noonward.operators.evaluate import experiment_metrics, long_forecasts
 from noonward.operators.lagged import fit_sliding, sliding_hours
 from noonward.operators.linear import FIT_SCHEMA, KEY, fit_daily
-from noonward.operators.prepare import FeaturePlan, Prepared, plan_features, prepare, unscale
+from noonward.operators.prepare import FeaturePlan, Prepared, plan_features, plant_settings, prepare, unscale
 from noonward.operators.splits import daily_part, hourly_part
 from noonward.operators.trees import fit_trees
-from noonward.plans.grid import pending, tree_params
+from noonward.plans.grid import pending, settings_key, tree_params
 from noonward.session import store, written
-from noonward.sinks.tables import append_results
+from noonward.sinks.tables import append_results, batch_of
 from noonward.sources.results import as_results, read_results
 
 
@@ -43,12 +44,16 @@ class Experiment:
     train_ratio: float = K.TRAIN_RATIO
     val_ratio: float = K.VAL_RATIO
     sliding: bool = False
+    #: Order of a shuffled split, see splits.ORDERS.
+    order: str = "hash"
     start: str | None = K.DEFAULT_START
     end: str | None = K.DEFAULT_END
     name: str = ""
     tags: dict[str, str] = field(default_factory=dict)
     #: Fields that go before a plant's own settings, as for a study that varies them.
     insists: tuple[str, ...] = ()
+    #: Parameters of a tree model that go before those of its complexity.
+    params: dict[str, float] = field(default_factory=dict)
 
     def settings_for(self, settings: DataFrame | None) -> DataFrame | None:
         """A plant's settings without those that the experiment insists on."""
@@ -61,7 +66,7 @@ class Experiment:
     def sample_key(self) -> tuple:
         """Experiments with the same key have the same samples."""
         features = self.scenario, self.weather_category, self.time_encoding, self.start, self.end
-        split = self.shuffle, self.seed, self.train_ratio, self.val_ratio
+        split = self.shuffle, self.seed, self.train_ratio, self.val_ratio, self.order
         return *features, self.lookback_hours, self.sliding, *split, self.insists
 
     @property
@@ -137,10 +142,10 @@ def samples_of(
     if skip is not None:
         prepared = replace(prepared, spine=prepared.spine.join(skip, "plant_id", "left_anti"))
     if e.sliding:
-        split = hourly_part(e.shuffle, e.train_ratio, e.val_ratio, e.seed, settings=e.settings_for(settings))
+        split = hourly_part(e.shuffle, e.train_ratio, e.val_ratio, e.seed, settings=e.settings_for(settings), order=e.order)
         samples = W.sliding_samples(prepared, e.lookback_hours, split=split)
     else:
-        split = daily_part(e.shuffle, e.train_ratio, e.val_ratio, e.seed, settings=e.settings_for(settings))
+        split = daily_part(e.shuffle, e.train_ratio, e.val_ratio, e.seed, settings=e.settings_for(settings), order=e.order)
         samples = W.daily_samples(prepared, e.lookback_hours, split=split)
     return samples.select(
         "plant_id",
@@ -162,7 +167,7 @@ def sliding_fit(
     """Forecasts of a linear experiment on sliding samples; plants in `skip` are left out as in samples_of."""
     if skip is not None:
         prepared = replace(prepared, spine=prepared.spine.join(skip, "plant_id", "left_anti"))
-    split = hourly_part(e.shuffle, e.train_ratio, e.val_ratio, e.seed, settings=e.settings_for(settings))
+    split = hourly_part(e.shuffle, e.train_ratio, e.val_ratio, e.seed, settings=e.settings_for(settings), order=e.order)
     rows, shape = sliding_hours(prepared, e.lookback_hours, K.HOURS_PER_DAY, split)
     return fit_sliding(store(rows), shape, e.experiment_name)[1]
 
@@ -182,7 +187,7 @@ def _fit_trees(samples: DataFrame, e: Experiment) -> DataFrame:
     """Forecasts of a tree experiment; if it cannot be fitted, one row per plant with the reason."""
     started = time.perf_counter()
     try:
-        fit, _ = fit_trees(samples, e.model, tree_params(e.complexity or "high"))
+        fit, _ = fit_trees(samples, e.model, tree_params(e.complexity or "high") | e.params)
     except (ValueError, IllegalArgumentException) as problem:  # becomes a failed result
         blank = samples.select("plant_id").distinct()
         error = F.lit(str(problem))
@@ -242,9 +247,38 @@ def run_fits(
     return store(reduce(DataFrame.unionByName, _fit(hours, own, done, settings)))
 
 
-def _settings(work: DataFrame, experiments: list[Experiment]) -> DataFrame:
-    """Each plant with each experiment."""
+#: Settings of a plant, and the fields of an experiment that stand in for those it lacks.
+_OWN = {
+    "start_date": "start",
+    "end_date": "end",
+    "train_ratio": "train_ratio",
+    "val_ratio": "val_ratio",
+    "shuffle_split": "shuffle",
+    "random_seed": "seed",
+    "weather_category": "weather_category",
+}
+
+
+def _settings(work: DataFrame, experiments: list[Experiment], settings: DataFrame | None = None) -> DataFrame:
+    """Each plant with each experiment, and the fingerprint of all settings that decide its result."""
     tags = list(dict.fromkeys(t for e in experiments for t in e.tags))
+    known = settings is not None
+    own = work.select("plant_id").distinct()
+    if known:
+        given = plant_settings(settings, *_OWN, "ml_params").withColumn("_ml_params", F.to_json("_ml_params") if "ml_params" in settings.columns else F.lit(None))
+        own = own.join(given, "plant_id", "left")
+
+    def fingerprint(e: Experiment) -> Column:
+        used = [
+            F.coalesce(F.col(f"_{name}").cast("string"), F.lit(getattr(e, f)).cast("string")) if known and not {name, f} & set(e.insists) else F.lit(getattr(e, f))
+            for name, f in _OWN.items()
+        ]
+        params = F.lit(str(sorted(e.params.items())))
+        if known and e.model in K.TREE_MODELS:
+            params = F.coalesce("_ml_params", params)
+        fixed = [e.model, e.complexity, e.scenario, e.lookback_hours, e.time_encoding, e.sliding, e.order]
+        return settings_key(*used, *[F.lit(v) for v in fixed], params)
+
     rows = [
         F.struct(
             F.lit(e.experiment_name).alias("experiment_name"),
@@ -253,11 +287,12 @@ def _settings(work: DataFrame, experiments: list[Experiment]) -> DataFrame:
             F.lit(e.scenario).alias("scenario"),
             F.lit(e.lookback_hours).alias("lookback_hours"),
             F.lit(e.time_encoding).alias("use_time_encoding"),
+            fingerprint(e).alias("settings_key"),
             *[F.lit(e.tags.get(t)).cast("string").alias(t) for t in tags],
         )
         for e in experiments
     ]
-    return work.select("plant_id", F.explode(F.array(*rows)).alias("e")).select("plant_id", "e.*")
+    return own.select("plant_id", F.explode(F.array(*rows)).alias("e")).select("plant_id", "e.*")
 
 
 def forecasts_of(fits: DataFrame, experiments: list[Experiment]) -> DataFrame:
@@ -267,13 +302,15 @@ def forecasts_of(fits: DataFrame, experiments: list[Experiment]) -> DataFrame:
     return long_forecasts(good, "y_pred", "experiment_name", "model")
 
 
-def results_of(plants: DataFrame, fits: DataFrame, experiments: list[Experiment]) -> DataFrame:
+def results_of(
+    plants: DataFrame, fits: DataFrame, experiments: list[Experiment], settings: DataFrame | None = None
+) -> DataFrame:
     """One row per plant and experiment; those without a forecast are failures with their reason."""
     meta = fits.groupBy(*KEY).agg(
         F.max("param_count").alias("param_count"), F.max("train_time_sec").alias("seconds"), F.max("error").alias("problem")
     )
     scores = experiment_metrics(forecasts_of(fits, experiments), *KEY)
-    work = _settings(plants, experiments)
+    work = _settings(plants, experiments, settings)
     joined = work.join(meta, KEY, "left").join(scores, KEY, "left")
     ok = F.col("mae").isNotNull()
     no_trainer = F.when(~F.col("model").isin(TRAINED_MODELS), F.concat(F.lit("no trainer for model "), "model"))
@@ -290,65 +327,110 @@ def results_of(plants: DataFrame, fits: DataFrame, experiments: list[Experiment]
     ).drop("seconds", "problem")
 
 
+def by_settings(
+    hours: DataFrame, experiments: list[Experiment], plants: DataFrame, settings: DataFrame
+) -> Iterable[tuple[DataFrame, DataFrame, list[Experiment]]]:
+    """(plants with settings, their hours, their experiments) of each weather category and set of tree parameters.
+
+    There are a few such groups; within one, every plant follows its own dates, ratios, shuffling and seed.
+    """
+    own = plants.join(settings, "plant_id", "left")
+    if "weather_category" not in own.columns:
+        own = own.withColumn("weather_category", F.lit(None).cast("string"))
+    told = F.to_json("ml_params") if "ml_params" in own.columns and any(e.model in K.TREE_MODELS for e in experiments) else F.lit(None).cast("string")
+    own = own.withColumn("_params", told)
+    groups = [tuple(r) for r in own.select("weather_category", "_params").distinct().collect()]
+    for category, params in sorted(groups, key=str):
+        chosen = own.filter(F.col("weather_category").eqNullSafe(F.lit(category)) & F.col("_params").eqNullSafe(F.lit(params))).drop("_params")
+        rows = hours.join(chosen.select("plant_id"), "plant_id", "left_semi")
+        levels = json.loads(params) if params else {}
+        free = [
+            replace(
+                e,
+                name=e.experiment_name,
+                weather_category=e.weather_category if category is None or "weather_category" in e.insists else category,
+                params=e.params | (levels.get(e.complexity or "high") or {}),
+            )
+            for e in experiments
+        ]
+        yield chosen, rows, free
+
+
 def run_experiments(
     hours: DataFrame,
     experiments: list[Experiment],
     plants: DataFrame | None = None,
     settings: DataFrame | None = None,
+    done: DataFrame | None = None,
 ) -> DataFrame:
     """Result rows of all plants and experiments.
 
-    `settings` has one row per plant: its dates, ratios, shuffling, seed and weather_category go before those of an
-    experiment, unless this insists on its own. Plants are run by weather category, of which there are a few.
+    `settings` has one row per plant: its dates, ratios, shuffling, seed, weather_category and ml_params (by complexity)
+    go before those of an experiment, unless this insists on its own. Plants are run by weather category and tree
+    parameters, of which there are a few. Linear fits leave out the plants and experiments in `done`.
     """
     plants = hours.select("plant_id").distinct() if plants is None else plants.select("plant_id")
     if settings is None:
-        return as_results(results_of(plants, run_fits(hours, experiments), experiments))
-    own = plants.join(settings, "plant_id", "left")
-    categories = [r[0] for r in own.select("weather_category").distinct().collect()]
+        return as_results(results_of(plants, run_fits(hours, experiments, done), experiments))
     parts = []
-    for category in sorted(categories, key=str):
-        chosen = own.filter(F.col("weather_category").eqNullSafe(F.lit(category)))
-        rows = hours.join(chosen.select("plant_id"), "plant_id", "left_semi")
-        free = [e if category is None or "weather_category" in e.insists else replace(e, weather_category=category) for e in experiments]
-        fits = run_fits(rows, free, settings=chosen)
-        parts.append(as_results(results_of(chosen.select("plant_id"), fits, free)))
+    for chosen, rows, free in by_settings(hours, experiments, plants, settings):
+        fits = run_fits(rows, free, done, settings=chosen)
+        made = results_of(chosen.select("plant_id"), fits, free).drop("settings_key")
+        keys = _settings(chosen.select("plant_id"), experiments, chosen).select(*KEY, "settings_key")
+        parts.append(as_results(made.join(keys, KEY)))
     return reduce(DataFrame.unionByName, parts)
 
 
-def run_pending(
-    hours: DataFrame, experiments: list[Experiment], results: DataFrame, plants: DataFrame | None = None
-) -> DataFrame | None:
-    """Result rows of what has no success yet; None when all is done."""
+def _left(
+    hours: DataFrame, experiments: list[Experiment], results: DataFrame | None, plants: DataFrame | None, settings: DataFrame | None
+) -> tuple[DataFrame, DataFrame, list[Experiment], DataFrame]:
+    """The plants, what is still to do, the experiments it takes and what is done."""
     plants = hours.select("plant_id").distinct() if plants is None else plants.select("plant_id")
-    todo = pending(_settings(plants, experiments).select(*KEY), results)
+    work = _settings(plants, experiments, settings).select(*KEY, "settings_key")
+    todo = store(work if results is None else pending(work, results))
     names = {r[0] for r in todo.select("experiment_name").distinct().collect()}
-    left = [e for e in experiments if e.experiment_name in names]
+    return plants, todo, [e for e in experiments if e.experiment_name in names], work.join(todo, KEY, "left_anti").select(*KEY)
+
+
+def run_pending(
+    hours: DataFrame,
+    experiments: list[Experiment],
+    results: DataFrame,
+    plants: DataFrame | None = None,
+    settings: DataFrame | None = None,
+) -> DataFrame | None:
+    """Result rows of what has no success yet; None when all is done.
+
+    If the results tell the settings they were made with (settings_key), those made with others do not count.
+    """
+    plants, todo, left, done = _left(hours, experiments, results, plants, settings)
     if not left:
         return None
-    done = results.filter("status = 'SUCCESS'").select(*KEY).distinct()
-    made = results_of(plants, run_fits(hours, left, done), left)
-    return as_results(made.join(todo, KEY, "left_semi"))
+    return run_experiments(hours, left, plants, settings, done).join(todo.select(*KEY), KEY, "left_semi")
 
 
 def run_saving(
-    hours: DataFrame, experiments: list[Experiment], path: str, plants: DataFrame | None = None
+    hours: DataFrame,
+    experiments: list[Experiment],
+    path: str,
+    plants: DataFrame | None = None,
+    settings: DataFrame | None = None,
 ) -> None:
     """Run experiments and append their rows to the results at `path` as they come.
 
     Experiments that share their samples are a group; its rows are saved before the next group starts. What has a
-    success at `path` already is left out, so that a run that was broken off goes on where it ended.
+    success at `path` already, made with the same settings, is left out, so that a run that was broken off goes on
+    where it ended. A batch is known by what it was to do: if its write is repeated, it replaces itself.
     """
     groups: dict[tuple, list[Experiment]] = {}
     for e in experiments:
         groups.setdefault((e.model in K.TREE_MODELS, e.sample_key), []).append(e)
     for same in groups.values():
-        if written(hours.sparkSession, path):
-            rows = run_pending(hours, same, read_results(hours.sparkSession, path), plants)
-        else:
-            rows = run_experiments(hours, same, plants)
-        if rows is not None:
-            append_results(rows, path)
+        known = read_results(hours.sparkSession, path) if written(hours.sparkSession, path) else None
+        all_plants, todo, left, done = _left(hours, same, known, plants, settings)
+        if left:
+            rows = run_experiments(hours, left, all_plants, settings, done).join(todo.select(*KEY), KEY, "left_semi")
+            append_results(rows, path, batch_of(todo))
 
 
 def modified(models: list[str], modify: Callable[[Experiment], Experiment] | None = None, **base) -> list[Experiment]:

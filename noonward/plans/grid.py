@@ -95,19 +95,29 @@ def count_by_family(grid: DataFrame) -> DataFrame:
     )
 
 
-_SUCCEEDED = "coalesce(status, 'SUCCESS') = 'SUCCESS'"
+SUCCEEDED = "coalesce(status, 'SUCCESS') = 'SUCCESS'"
+
+
+def settings_key(*values: Column | str) -> Column:
+    """A fingerprint of settings: the same for the same values in the same order."""
+    each = [F.coalesce((F.col(v) if isinstance(v, str) else v).cast("string"), F.lit("")) for v in values]
+    return F.md5(F.concat_ws("|", *each))
 
 
 def pending(work: DataFrame, results: DataFrame, any_status: bool = False) -> DataFrame:
-    """Work without a successful result; with any_status, without any result."""
-    done = results if any_status else results.filter(_SUCCEEDED)
-    return work.join(done.select(*RESULT_KEY).distinct(), RESULT_KEY, "left_anti")
+    """Work without a successful result; with any_status, without any result.
+
+    Where work and results both have a settings_key, a result counts only if it was made with the same settings.
+    """
+    done = results if any_status else results.filter(SUCCEEDED)
+    keys = [*RESULT_KEY, *(c for c in ("settings_key",) if c in work.columns and c in results.columns)]
+    return work.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
 def pending_plants(plants: DataFrame, results: DataFrame) -> DataFrame:
     """Plants with fewer successes than the grid has experiments; a result without status is one."""
     full = (
-        results.filter(_SUCCEEDED)
+        results.filter(SUCCEEDED)
         .groupBy("plant_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= K.GRID_SIZE)

@@ -180,6 +180,38 @@ def resume_pending_any(spark, folder):
     return G.pending(_work(spark, folder), X.results(spark, folder), any_status=True)
 
 
+_KEYED = ["start_date", "end_date", "train_ratio", "shuffle_split", "weather_category"]
+_DEFAULTS = [K.DEFAULT_START, K.DEFAULT_END, str(K.TRAIN_RATIO), "true", "all_weather"]
+
+
+@query(
+    "resume_changed",
+    Q.chain(Q.RESULTS)
+    + f""", keyed as (
+  select g.plant_id, g.experiment_name, g.model, cast(g.plant_id as bigint) as key,
+    md5(concat_ws('|', {', '.join(f"coalesce(cast({c} as varchar), '{d}')" for c, d in zip(_KEYED, _DEFAULTS))}, g.experiment_name)) as now,
+    md5(concat_ws('|', {', '.join(f"'{d}'" if c == 'end_date' else f"coalesce(cast({c} as varchar), '{d}')" for c, d in zip(_KEYED, _DEFAULTS))}, g.experiment_name)) as before
+  from grid g join plants p using (plant_id)
+), done as (
+  select k.plant_id, k.experiment_name, k.before as settings_key from results r join keyed k using (plant_id, experiment_name)
+  where coalesce(r.status, 'SUCCESS') = 'SUCCESS'
+) select plant_id, experiment_name, model, now as settings_key from keyed k
+  where not exists (select 1 from done d where d.plant_id = k.plant_id and d.experiment_name = k.experiment_name and d.settings_key = k.now)""",
+)
+def resume_changed(spark, folder):
+    """What is to be run again, or for the first time, after some plants have got end dates of their own."""
+    own = X.plants(spark, folder).select("plant_id", *_KEYED)
+
+    def keyed(plants):
+        values = [F.coalesce(F.col(c).cast("string"), F.lit(d)) for c, d in zip(_KEYED, _DEFAULTS)]
+        work = _work(spark, folder).join(plants, "plant_id")
+        return work.select("plant_id", "experiment_name", "model", G.settings_key(*values, "experiment_name").alias("settings_key"))
+
+    before = keyed(own.withColumn("end_date", F.lit(None)))
+    results = X.results(spark, folder).join(before.drop("model"), ["plant_id", "experiment_name"])
+    return G.pending(keyed(own), results).select("plant_id", "experiment_name", "model", "settings_key")
+
+
 @query(
     "resume_plants",
     Q.chain(Q.RESULTS)

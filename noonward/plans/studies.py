@@ -5,7 +5,9 @@ season and hour slice one run; the others vary one setting.
 """
 
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,10 +118,25 @@ def aggregated(study: str, scores: DataFrame) -> DataFrame:
     return aggregate_over_plants(scores, *keys, windows=windows)
 
 
-def run_study(hours: DataFrame, study: str, models: list[str] = FITTED_MODELS) -> tuple[DataFrame, DataFrame]:
-    """Detailed and aggregated scores of one study over all plants."""
-    experiments = study_experiments(study, models)
-    scores = detailed(study, E.run_fits(hours, experiments), experiments)
+# The settings that a study varies, which go before those of a plant.
+INSISTS = {
+    "weather_feature_adoption": ("weather_category",),
+    "training_scale": ("train_ratio",),
+    "no_shuffle": ("shuffle",),
+}
+
+
+def run_study(
+    hours: DataFrame, study: str, models: list[str] = FITTED_MODELS, settings: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Detailed and aggregated scores of one study over all plants; `settings` as for run_experiments."""
+    experiments = [replace(e, insists=INSISTS.get(study, ())) for e in study_experiments(study, models)]
+    if settings is None:
+        fits = E.run_fits(hours, experiments)
+    else:
+        groups = E.by_settings(hours, experiments, hours.select("plant_id").distinct(), settings)
+        fits = reduce(DataFrame.unionByName, [E.run_fits(rows, free, settings=own) for own, rows, free in groups])
+    scores = detailed(study, fits, experiments)
     return scores, aggregated(study, scores)
 
 
@@ -132,8 +149,17 @@ def save_study(study: str, scores: DataFrame, totals: DataFrame, folder: str, co
             save_study_table(pivot_formatted(totals, DIMENSION[study], metric), folder, study, f"pivot_{metric}", copy_to)
 
 
-def run_studies(hours: DataFrame, folder: str, numbers: list[int] | None = None, models: list[str] = FITTED_MODELS):
-    """Run the chosen studies and save their tables; returns a log of (study, status, started, ended, error)."""
+def run_studies(
+    hours: DataFrame,
+    folder: str,
+    numbers: list[int] | None = None,
+    models: list[str] = FITTED_MODELS,
+    settings: DataFrame | None = None,
+) -> DataFrame:
+    """Run the chosen studies and save their tables; returns a log of (study, status, started, ended, error).
+
+    A lost executor or a full disk is no result of a study and ends the run.
+    """
     from datetime import datetime, timezone
 
     log = []
@@ -144,8 +170,8 @@ def run_studies(hours: DataFrame, folder: str, numbers: list[int] | None = None,
         started = datetime.now(timezone.utc)
         error = None
         try:
-            save_study(study, *run_study(hours, study, models), folder)
-        except Exception as problem:  # a failed study is logged, the others go on
+            save_study(study, *run_study(hours, study, models, settings), folder)
+        except (ValueError, IllegalArgumentException) as problem:  # a study that cannot be run is logged, the others go on
             error = str(problem)
         ended = datetime.now(timezone.utc)
         log.append((study, "FAILED" if error else "SUCCESS", started, ended, error))

@@ -14,16 +14,28 @@ RESULTS_COLUMNS = [f.split()[0] for f in RESULTS_SCHEMA.split(", ")]
 
 
 def as_results(rows: DataFrame) -> DataFrame:
-    """Bring rows to the results layout; what they lack becomes empty."""
+    """Bring rows to the results layout; what they lack becomes empty, a settings_key that they have stays."""
     types = dict(f.split() for f in RESULTS_SCHEMA.split(", "))
     given = set(rows.columns)
     return rows.select(
-        *[(F.col(c) if c in given else F.lit(None)).cast(types[c]).alias(c) for c in RESULTS_COLUMNS]
+        *[(F.col(c) if c in given else F.lit(None)).cast(types[c]).alias(c) for c in RESULTS_COLUMNS],
+        *[F.col(c).cast("string") for c in ("settings_key",) if c in given],
     )
 
 
+def read_batches(spark: SparkSession, *paths: str, batches: bool = False) -> DataFrame:
+    """A table that was appended to in batches; also such as were written before there were batches.
+
+    With `batches` each row has its batch's name in `batch`, empty for rows that have none.
+    """
+    rows = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(*paths)
+    if not batches:
+        return rows
+    return rows.withColumn("batch", F.regexp_extract("_metadata.file_path", r"/batch=([^/]*)/[^/]*$", 1))
+
+
 def read_results(spark: SparkSession, *paths: str) -> DataFrame:
-    return as_results(spark.read.option("mergeSchema", True).parquet(*paths))
+    return as_results(read_batches(spark, *paths))
 
 
 def read_results_csv(spark: SparkSession, *paths: str) -> DataFrame:
@@ -43,5 +55,5 @@ def read_results_csv(spark: SparkSession, *paths: str) -> DataFrame:
 def union_results(*tables: DataFrame) -> DataFrame:
     first, *rest = [as_results(t) for t in tables]
     for other in rest:
-        first = first.unionByName(other)
+        first = first.unionByName(other, allowMissingColumns=True)
     return first

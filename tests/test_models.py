@@ -13,6 +13,7 @@ from noonward.operators.trees import fit_trees, save_models, tree_model
 from noonward.plans import experiments as E
 from noonward.plans import studies as U
 from noonward.session import cut_lineage
+from noonward.sources.results import read_results
 
 
 def driven(plant, seed, n=40, noise=0.0):
@@ -208,6 +209,65 @@ def test_runs_follow_each_plants_settings(spark, hourly):
     assert again["b"]["test_samples"] == plain["b"]["test_samples"]
 
 
+SETTINGS = "plant_id string, start_date string, end_date string, train_ratio double, weather_category string"
+
+
+def test_a_resumed_run_gives_the_rows_of_a_whole_one_with_settings(spark, hourly, tmp_path):
+    hours, path = hourly(driven("a", 1, n=30) + driven("b", 2, n=30, noise=3.0)), str(tmp_path / "results")
+    settings = spark.createDataFrame([("a", "2022-01-05", None, 0.7, None), ("b", None, "2022-01-28", None, "solar_irradiance_only")], SETTINGS)
+    grid = [E.base_experiment("Linear", weather_category="solar_irradiance_only", time_encoding=te, name=f"te{te}") for te in (True, False)]
+    shown = ["plant_id", "experiment_name", "mae", "rmse", "test_samples", "status", "settings_key"]
+    rows = lambda df: sorted(map(tuple, df.select(*shown).collect()))
+    whole = rows(E.run_experiments(hours, grid, settings=settings))
+    E.run_saving(hours, grid[:1], path, settings=settings)
+    E.run_saving(hours, grid, path, settings=settings)
+    saved = read_results(spark, path)
+    assert rows(saved) == whole and len(whole) == 4
+    assert E.run_pending(hours, grid, saved, settings=settings) is None
+    changed = settings.withColumn("end_date", F.when(F.col("plant_id") == "a", "2022-01-25").otherwise(F.col("end_date")))
+    left = E.run_pending(hours, grid, saved, settings=changed)
+    assert rows(left) == [r for r in rows(E.run_experiments(hours, grid, settings=changed)) if r[0] == "a"]
+    E.run_saving(hours, grid, path, settings=changed)
+    assert read_results(spark, path).count() == 6
+
+
+def test_fingerprints_follow_what_decides_a_result(spark, hourly):
+    plants = spark.createDataFrame([("a",)], "plant_id string")
+    key = lambda e, s=None: E._settings(plants, [e], s).first()["settings_key"]
+    own = lambda **c: spark.createDataFrame([("a", c.get("start"), None, c.get("train"), None)], SETTINGS)
+    base = E.base_experiment("Linear")
+    assert key(base) == key(base, own()) == key(E.base_experiment("Linear", name="other"), own(train=0.8))
+    assert len({key(base), key(base, own(train=0.6)), key(base, own(start="2022-02-01")), key(E.base_experiment("Linear", order="mt19937"))}) == 4
+    assert key(E.base_experiment("Linear", insists=("train_ratio",)), own(train=0.6)) == key(base)
+
+
+def test_a_plants_own_tree_parameters_are_used(spark, hourly, monkeypatch):
+    hours = hourly(driven("a", 1, n=12) + driven("b", 2, n=12))
+    seen, real = [], E.fit_trees
+
+    def watching(samples, model, params, *args, **kwargs):
+        seen.append((sorted(r[0] for r in samples.select("plant_id").distinct().collect()), params["n_estimators"], params["max_depth"]))
+        return real(samples, model, params, range(1))
+
+    monkeypatch.setattr(E, "fit_trees", watching)
+    settings = spark.createDataFrame([("a", {"low": {"n_estimators": 2.0}}), ("b", None)], "plant_id string, ml_params map<string,map<string,double>>")
+    e = E.base_experiment("RF", weather_category="solar_irradiance_only", complexity="low")
+    fits = [E.run_fits(rows, free, settings=own) for own, rows, free in E.by_settings(hours, [e], hours.select("plant_id").distinct(), settings)]
+    trees, depth, _ = K.TREE_PRESETS["low"]
+    assert sorted(seen) == [(["a"], 2.0, float(depth)), (["b"], float(trees), float(depth))] and len(fits) == 2
+
+
+def test_a_study_follows_each_plants_settings(spark, hourly):
+    hours = hourly(driven("a", 1, n=60) + driven("b", 2, n=60))
+    settings = spark.createDataFrame([("a", "2022-01-21", None, None, "solar_irradiance_only"), ("b", None, None, 0.5, "solar_irradiance_only")], SETTINGS)
+    scores, _ = U.run_study(hours, "training_scale", ["Linear"], settings)
+    plain, _ = U.run_study(hours, "training_scale", ["Linear"])
+    size = lambda df: {(r["plant_id"], r["training_scale"]): r["test_samples"] for r in df.collect()}
+    got, want = size(scores), size(plain)
+    assert all(got["b", level] == n for (plant, level), n in want.items() if plant == "b")  # the study's own shares
+    assert all(got["a", level] < n for (plant, level), n in want.items() if plant == "a")
+
+
 def test_grid_experiments():
     assert len(E.linear_grid()) == 4 and sum(len(E.tree_grid(m)) for m in K.TREE_MODELS) == 120
     assert {e.experiment_name for e in E.linear_grid()} == {"Linear_NWP_TE", "Linear_NWP_noTE", "Linear_NWP+_TE", "Linear_NWP+_noTE"}

@@ -193,12 +193,57 @@ def ablation(spark, rows):
 def test_append_new_keeps_existing_rows(spark):
     old = ablation(spark, [("RF", 1, "low", 1.0), ("Linear", 0, None, 2.0)])
     new = ablation(spark, [("RF", 1, "low", 9.0), ("Linear", 0, None, 9.0), ("RF", 3, "low", 3.0), ("RF", 3, "low", 4.0)])
-    got = S.append_new(old, new, ABLATION_KEY)
+    got = S.append_new(old, new, ABLATION_KEY, "mae")
     assert sorted(r["mae"] for r in got.collect()) == [1.0, 2.0, 3.0]
-    first = S.append_new(old.limit(0), new.orderBy(F.desc("mae")).coalesce(1), ABLATION_KEY)
+    first = S.append_new(old.limit(0), new.withColumn("late", -F.col("mae")), ABLATION_KEY, "late")
     assert sorted(r["mae"] for r in first.collect()) == [4.0, 9.0, 9.0]
-    assert S.append_new(got, new, ABLATION_KEY).count() == 3
-    assert S.append_new(old.limit(0), new, ABLATION_KEY).count() == 3
+    assert S.append_new(got, new, ABLATION_KEY, "mae").count() == 3
+    assert S.append_new(old.limit(0), new, ABLATION_KEY, "mae").count() == 3
+    with pytest.raises(ValueError):
+        S.append_new(old, new, ABLATION_KEY)
+
+
+def test_the_same_append_twice_leaves_no_row_twice(spark, tmp_path):
+    path, schema = str(tmp_path / "r"), "plant_id string, experiment_name string, mae double, status string"
+    one = spark.createDataFrame([("1", "a", 2.0, "SUCCESS"), ("2", "a", None, "FAILED")], schema)
+    two = spark.createDataFrame([("3", "a", 5.0, "SUCCESS")], schema)
+    for rows in (one, two, one.repartition(3), two):
+        S.append_results(rows, path)
+    assert sorted(r["plant_id"] for r in R.read_results(spark, path).collect()) == ["1", "2", "3"]
+    S.append_results(two.withColumn("mae", F.lit(6.0)), path, "named")
+    S.append_results(two.withColumn("mae", F.lit(7.0)), path, "named")
+    assert sorted(r["mae"] for r in R.read_results(spark, path).collect() if r["mae"]) == [2.0, 5.0, 7.0]
+    assert {r["batch"] for r in R.read_batches(spark, path, batches=True).collect()} >= {"named"}
+
+
+def test_an_append_that_breaks_leaves_nothing_and_can_be_repeated(spark, tmp_path):
+    path = str(tmp_path / "r")
+    rows = spark.range(40).select(F.col("id").cast("string").alias("plant_id"), F.lit("e").alias("experiment_name"), F.lit(1.0).alias("mae"))
+    S.append_batch(rows.limit(3), path, "first")
+    broken = rows.repartition(4).withColumn("mae", F.when(F.col("plant_id") == "37", F.raise_error(F.lit("lost"))).otherwise(F.col("mae")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        S.append_batch(broken, path, "second")
+    assert R.read_batches(spark, path).count() == 3
+    for _ in range(2):
+        S.append_batch(rows, path, "second")
+    assert R.read_batches(spark, path).count() == 43
+
+
+def test_rows_from_before_there_were_batches_stay(spark, tmp_path):
+    path = str(tmp_path / "r")
+    rows = spark.createDataFrame([("1", "a")], "plant_id string, experiment_name string")
+    rows.write.parquet(path)
+    S.append_results(rows.withColumn("plant_id", F.lit("2")), path)
+    assert sorted(r["plant_id"] for r in R.read_results(spark, path).collect()) == ["1", "2"]
+
+
+def test_only_new_keys_are_saved_and_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+    make = lambda *rows: spark.createDataFrame(rows, "k string, at int, x double")
+    first, second = make(("a", 1, 1.0), (None, 1, 2.0)), make(("a", 2, 9.0), ("b", 2, 3.0), ("b", 1, 4.0), (None, 3, 9.0))
+    for rows in (first, second, first, second):
+        S.save_new(rows, path, ["k"], "at")
+    assert sorted((str(r["k"]), r["x"]) for r in R.read_batches(spark, path).collect()) == [("None", 2.0), ("a", 1.0), ("b", 4.0)]
 
 
 def test_study_tables_are_ordered_by_model(spark, tmp_path):
@@ -220,6 +265,7 @@ def test_other_tables_are_saved(spark, tmp_path):
     S.save_epoch_log(rows, str(tmp_path / "log"))
     S.save_forecasts(rows, str(tmp_path / "forecasts"))
     S.save_status_report(rows, str(tmp_path / "status"))
+    S.save_epoch_log(rows.withColumn("epoch", F.lit(2)), str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
     assert spark.read.parquet(str(tmp_path / "forecasts")).count() == 1
     assert spark.read.option("header", True).csv(str(tmp_path / "status")).columns == rows.columns

@@ -1,6 +1,7 @@
 import random
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from hours import full_days
 from pyspark.sql import Window
@@ -159,6 +160,36 @@ def test_shuffled_parts_are_whole_and_repeatable(hourly):
     assert {r["sample_idx"]: r["part"] for r in other} != once
 
 
+# What NumPy's generator draws under seed 42.
+DRAWN = {5: [1, 4, 2, 0, 3], 10: [8, 1, 5, 0, 7, 2, 9, 4, 3, 6], 12: [10, 9, 0, 8, 5, 2, 1, 11, 4, 7, 3, 6]}
+
+
+def test_permutations_are_those_of_the_generator(spark):
+    sizes = spark.createDataFrame([(42, n) for n in [*DRAWN, 10, 0]], "seed int, n_samples int")
+    rows = S.permutations(sizes).collect()
+    assert len(rows) == sum(DRAWN)
+    for n, order in DRAWN.items():
+        own = sorted((r["rank"], r["sample_idx"]) for r in rows if r["n_samples"] == n)
+        assert [i for _, i in own] == order
+
+
+def test_parts_by_the_generators_permutation(spark, hourly):
+    rows = [r for plant, n in (("a", 11), ("b", 13), ("c", 6)) for r in full_days(plant, "2022-01-01", n)]
+    prepared = prepare(hourly(rows), PLAN)
+    split = S.daily_part(shuffle=True, order="mt19937")
+    got = {(r["plant_id"], r["sample_idx"]): (r["n_samples"], r["part"]) for r in W.daily_samples(prepared, 0, split=split).collect()}
+    assert {n for n, _ in got.values()} == set(DRAWN)
+    for (_, i), (n, part) in got.items():
+        at = DRAWN[n].index(i)
+        assert part == ("train" if at < int(n * 0.8) else "val" if at < int(n * 0.8) + int(n * 0.1) else "test")
+    hourly_rows = W.sliding_samples(prepared, 0, split=S.hourly_part(shuffle=True, order="mt19937")).filter("plant_id = 'c'").collect()
+    n = 6 * 24 - 23
+    order = np.random.RandomState(42).permutation(n)
+    assert {r["sample_idx"] for r in hourly_rows if r["part"] == "train"} == set(order[: int(n * 0.8)].tolist())
+    with pytest.raises(ValueError):
+        S.daily_part(True, order="other")
+
+
 def test_shuffled_hours_match_one_big_window(hourly):
     prepared = prepare(hourly(full_days("1", "2022-01-01", 6) + full_days("2", "2022-01-01", 4)), PLAN)
     samples = W.sliding_samples(prepared, 24, split=S.hourly_part(shuffle=True))
