@@ -18,7 +18,7 @@ _INPUT = [*_CARRIED, "part", "features", "y"]
 _OUTPUT = [f.split()[0] for f in FIT_SCHEMA.split(", ")]
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
+def clean_matrix(column: pd.Series) -> np.ndarray:
     return np.nan_to_num(np.vstack(column.to_numpy()).astype(float), nan=0.0, posinf=1.0, neginf=-1.0)
 
 
@@ -29,10 +29,10 @@ def _fit_group(rows: pd.DataFrame) -> pd.DataFrame:
     try:
         if train.empty or test.empty:
             raise ValueError("too few samples to train and test")
-        x, y = _matrix(train["features"]), _matrix(train["y"])
+        x, y = clean_matrix(train["features"]), clean_matrix(train["y"])
         x_mean, y_mean = x.mean(axis=0), y.mean(axis=0)
         weights = np.linalg.lstsq(x - x_mean, y - y_mean, rcond=None)[0]
-        guess = (_matrix(test["features"]) - x_mean) @ weights + y_mean
+        guess = (clean_matrix(test["features"]) - x_mean) @ weights + y_mean
     except (ValueError, np.linalg.LinAlgError) as problem:  # becomes a failed result
         blank = dict.fromkeys(_CARRIED) | {k: rows.iloc[0][k] for k in KEY}
         return pd.DataFrame([blank]).assign(y_pred=None, param_count=0, train_time_sec=0.0, error=str(problem))[_OUTPUT]
@@ -62,7 +62,7 @@ def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for key, rows in batch.groupby(KEY, sort=False):
-            x, y = _matrix(rows["features"]), _matrix(rows["y"])
+            x, y = clean_matrix(rows["features"]), clean_matrix(rows["y"])
             z = np.hstack([np.ones((len(x), 1)), x, y])
             slot = int(rows["sample_idx"].iloc[0]) // _SLOT_SAMPLES
             out.append([*key, slot, x.shape[1], (z.T @ z).ravel()])
@@ -116,7 +116,7 @@ def _solve(rows: pd.DataFrame) -> pd.DataFrame:
 def _apply(test: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
     if test.empty or fitted.empty:
         return pd.DataFrame(columns=_OUTPUT)
-    x, model = _matrix(test["features"]), fitted.iloc[0]
+    x, model = clean_matrix(test["features"]), fitted.iloc[0]
     weights = np.asarray(model["weights"]).reshape(x.shape[1] + 1, -1)
     guess = x @ weights[1:] + weights[0]
     return test[_CARRIED].assign(

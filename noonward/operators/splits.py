@@ -116,17 +116,27 @@ def daily_part(
 
     def add(numbered: DataFrame) -> DataFrame:
         spine, (own_train, own_val, own_shuffle, own_seed) = _followed(numbered, settings, train, val, shuffle, seed)
-        rank = F.col("sample_idx")
-        shuffled = F.lit(own_shuffle) if settings is None else own_shuffle
-        if order == "mt19937" and (shuffle or settings is not None):
-            spine = permuted_rank(spine, own_seed, "_drawn")
-            rank = F.when(shuffled, F.col("_drawn")).otherwise(rank)
-        elif shuffle or settings is not None:
-            key = F.when(shuffled, shuffle_key(own_seed))
-            by_key = Window.partitionBy("plant_id").orderBy(F.col("sample_idx").isNull(), key, "sample_idx")
-            rank = F.row_number().over(by_key) - 1
+        if shuffle or settings is not None:
+            shuffled = F.lit(own_shuffle) if settings is None else own_shuffle
+            spine = daily_rank(shuffled, own_seed, order, "_rank")(spine)
+        else:
+            spine = spine.withColumn("_rank", F.col("sample_idx"))
         part = F.when(F.col("sample_idx").isNotNull(), part_of("_rank", "n_samples", own_train, own_val))
-        return spine.withColumn("_rank", rank).withColumn(out, part).select(*numbered.columns, out)
+        return spine.withColumn(out, part).select(*numbered.columns, out)
+
+    return add
+
+
+def daily_rank(shuffle: Column, seed: int | Column = K.RANDOM_SEED, order: str = "hash", out: str = "rank"):
+    """A step that adds to a numbered day spine where each sample day stands, in order of time or shuffled."""
+
+    def add(spine: DataFrame) -> DataFrame:
+        if order == "mt19937":
+            drawn = permuted_rank(spine, seed, "_drawn")
+            return drawn.withColumn(out, F.when(shuffle, F.col("_drawn")).otherwise(F.col("sample_idx"))).drop("_drawn")
+        key = F.when(shuffle, shuffle_key(seed))
+        by_key = Window.partitionBy("plant_id").orderBy(F.col("sample_idx").isNull(), key, "sample_idx")
+        return spine.withColumn(out, F.row_number().over(by_key) - 1)
 
     return add
 

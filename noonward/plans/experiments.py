@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noonward import constants as K
-from noonward.functions.columns import clip_percent, half_even
+from noonward.functions.columns import all_present, clip_percent, half_even
 from noonward.operators import windows as W
 from noonward.operators.evaluate import experiment_metrics, long_forecasts
+from noonward.operators.gram import Level, fit_levels, places
 from noonward.operators.lagged import fit_sliding, sliding_hours
 from noonward.operators.linear import FIT_SCHEMA, KEY, fit_daily
 from noonward.operators.prepare import FeaturePlan, Prepared, plan_features, plant_settings, prepare, unscale
-from noonward.operators.splits import daily_part, hourly_part
+from noonward.operators.splits import daily_part, daily_rank, hourly_part
 from noonward.operators.trees import fit_trees
 from noonward.plans.grid import pending, settings_key, tree_params
 from noonward.session import store, written
@@ -147,12 +148,17 @@ def samples_of(
     else:
         split = daily_part(e.shuffle, e.train_ratio, e.val_ratio, e.seed, settings=e.settings_for(settings), order=e.order)
         samples = W.daily_samples(prepared, e.lookback_hours, split=split)
+    return flat_samples(samples, "part")
+
+
+def flat_samples(samples: DataFrame, *carried: str) -> DataFrame:
+    """Samples with flat features and scaled targets."""
     return samples.select(
         "plant_id",
         "sample_idx",
         "date",
         "end_dt",
-        "part",
+        *carried,
         W.flatten_sample().alias("features"),
         W.scaled_target().alias("y"),
         "y_true",
@@ -161,6 +167,55 @@ def samples_of(
     )
 
 
+def families(experiments: list[Experiment], hours: DataFrame) -> list[list[Experiment]]:
+    """Daily linear experiments that differ only in columns and training share, two or more together.
+
+    In each family one plan has the columns of all, and is that of the first member.
+    """
+    found: dict[tuple, list[Experiment]] = {}
+    for e in experiments:
+        if e.model == K.LINEAR_MODEL and not e.sliding:
+            found.setdefault((e.scenario, e.lookback_hours, e.start, e.end, e.shuffle, e.seed, e.order), []).append(e)
+    out = []
+    for same in found.values():
+        plans = {e.experiment_name: _plan(e, hours) for e in same}
+        same = sorted(same, key=lambda e: -len(plans[e.experiment_name].all_columns))
+        whole = plans[same[0].experiment_name]
+        nested = all(set(p.hist) <= set(whole.hist) and set(p.fcst) <= set(whole.fcst) for p in plans.values())
+        # without a history the samples hold zeros in its place
+        if len(same) > 1 and nested and (not same[0].lookback_hours or (whole.hist and not whole.forecast_only)):
+            out.append(same)
+    return out
+
+
+def _plan(e: Experiment, hours: DataFrame) -> FeaturePlan:
+    return plan_features(e.scenario, e.weather_category, e.time_encoding, hours.columns)
+
+
+def fit_family(hours: DataFrame, same: list[Experiment]) -> tuple[DataFrame, DataFrame | None]:
+    """Fits of a family from one set of samples, and the plants it cannot serve, if there may be any.
+
+    Those are plants with hours that one member keeps and another drops, because a forecast that only the latter
+    uses is missing there: their sample days differ.
+    """
+    plans = [_plan(e, hours) for e in same]
+    first, whole = same[0], plans[0]
+    forecasts = [[c for c in p.fcst if c not in K.TIME_FEATURES] for p in plans]
+    shared = [c for c in forecasts[0] if all(c in f for f in forecasts)]
+    odd, even = None, hours
+    if len(shared) < len(forecasts[0]):
+        differs = F.col(K.TARGET).isNotNull() & all_present(shared) & ~all_present(forecasts[0])
+        odd = store(hours.filter(differs).select("plant_id").distinct())
+        even = hours.join(odd, "plant_id", "left_anti")
+    prepared = prepare(even, whole, first.start, first.end)
+    split = daily_rank(F.lit(first.shuffle), first.seed, first.order)
+    samples = flat_samples(W.daily_samples(prepared, first.lookback_hours, split=split), "rank", "n_samples")
+    levels = [
+        Level(e.experiment_name, places(whole, p, first.lookback_hours), e.train_ratio, e.val_ratio) for e, p in zip(same, plans)
+    ]
+    return fit_levels(samples, levels), odd
+
+
 def sliding_fit(
     prepared: Prepared, e: Experiment, skip: DataFrame | None = None, settings: DataFrame | None = None
 ) -> DataFrame:
@@ -207,10 +262,20 @@ def _fit(
     """Fits of all experiments; samples used by several tree fits are built once and stored.
 
     Linear fits leave out the plants that are done. Tree models learn from all plants, so they are
-    fitted on all as long as one is left.
+    fitted on all as long as one is left. Daily linear experiments that differ only in columns and training share
+    are fitted together.
     """
     by_key: dict[tuple, list[Experiment]] = {}
     linear: list[DataFrame] = []
+    if settings is None:
+        for same in families(experiments, hours):
+            fits, odd = fit_family(hours, same)
+            yield _in_percent(fits if done is None else fits.join(done, KEY, "left_anti").select(*[c for c, _ in _FIT_TYPES]))
+            experiments = [e for e in experiments if e not in same]
+            if odd is not None and not odd.isEmpty():
+                yield from _apart(hours.join(odd, "plant_id", "left_semi"), same, done)
+    if not experiments:
+        return
     for e in experiments:
         by_key.setdefault(e.sample_key, []).append(e)
     prepared = prepare_for(hours, experiments, settings)
@@ -233,6 +298,12 @@ def _fit(
         yield _in_percent(fit_daily(reduce(DataFrame.unionByName, linear)))
 
 
+def _apart(hours: DataFrame, same: list[Experiment], done: DataFrame | None) -> Iterable[DataFrame]:
+    """Fits of the members of a family one by one."""
+    for e in same:
+        yield from _fit(hours, [e], done)
+
+
 def run_fits(
     hours: DataFrame, experiments: list[Experiment], done: DataFrame | None = None, settings: DataFrame | None = None
 ) -> DataFrame:

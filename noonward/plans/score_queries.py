@@ -10,6 +10,7 @@ from noonward.functions.columns import half_even
 from noonward.operators import evaluate as V
 from noonward.operators import splits as S
 from noonward.operators import windows as W
+from noonward.operators.gram import Level, first_ranges, fit_levels, sums_by_rank
 from noonward.operators.lagged import fit_sliding, sliding_hours
 from noonward.operators.linear import fit_one_feature
 from noonward.operators.prepare import FeaturePlan, plan_features, prepare, scaled_hours
@@ -609,3 +610,82 @@ def lgbm_forecast(spark, folder):
 @query("study_tiers_linear")
 def study_tiers_linear(spark, folder):
     return U.run_study(X.stored_hours(spark, folder), "weather_feature_adoption", [K.LINEAR_MODEL])[1]
+
+
+#: The hour whose forecast and target the levels below look at.
+_NOON = 12
+_NOON_SQL = Q.chain(
+    Q.DENSE,
+    Q.kept(),
+    Q.clean([], _OLS_PLAN.fcst),
+    Q.scaled(_OLS_PLAN.fcst),
+    Q.numbered(0),
+    f"""days as (
+  select s.plant_id, s.sample_idx, s.n_samples, r.{_OLS_PLAN.fcst[0]} as x, r.capacity_factor as y
+  from samples s join scaled r on r.plant_id = s.plant_id and r.date = s.date and r."Hour" = {_NOON})""",
+    "levels as ("
+    + " union all ".join(
+        f"select *, '{n}' as training_scale, cast(floor(n_samples * cast({r} as double)) as bigint) as n_train from days"
+        for n, r in K.TRAINING_SCALES.items()
+    )
+    + ")",
+)
+
+
+def _noon_samples(spark, folder):
+    prepared = prepare(X.stored_hours(spark, folder), _OLS_PLAN)
+    return E.flat_samples(W.daily_samples(prepared, 0, split=S.daily_rank(F.lit(False))), "rank", "n_samples")
+
+
+@query(
+    "scale_sums",
+    _NOON_SQL
+    + """select plant_id, training_scale, count(*) as n, round_even(sum(x), 6) as sum_x, round_even(sum(y), 6) as sum_y,
+  round_even(sum(x * x), 6) as sum_xx, round_even(sum(x * y), 6) as sum_xy from levels where sample_idx < n_train group by plant_id, training_scale""",
+)
+def scale_sums(spark, folder):
+    """What each training share has of the table of sums, for one feature and one target."""
+    table = store(sums_by_rank(_noon_samples(spark, folder), list(K.TRAINING_SCALES.values())))
+    side = F.col("width") + K.HOURS_PER_DAY + 1
+    x, y = F.lit(_NOON + 1), F.col("width") + 1 + _NOON
+    cells = {"sum_x": x, "sum_y": y, "sum_xx": x * side + x, "sum_xy": x * side + y}
+    parts = None
+    for name, share in K.TRAINING_SCALES.items():
+        own = first_ranges(table, share).filter("n > 0")
+        made = own.select("plant_id", F.lit(name).alias("training_scale"), "n", *[F.get("sums", at).alias(c) for c, at in cells.items()])
+        parts = made if parts is None else parts.unionByName(made)
+    return _rounded(parts, 6, *cells)
+
+
+@query(
+    "scale_lines",
+    _NOON_SQL.rstrip()
+    + """, fitted as (
+  select plant_id, training_scale, coalesce(regr_slope(y, x), 0) as slope, coalesce(regr_intercept(y, x), avg(y)) as start
+  from levels where sample_idx < n_train group by plant_id, training_scale)
+select plant_id, training_scale, sample_idx, round_even(start + slope * x, 6) as y_pred from levels join fitted using (plant_id, training_scale)
+where sample_idx >= n_train + cast(floor(n_samples * cast(0.1 as double)) as bigint)""",
+)
+def scale_lines(spark, folder):
+    """Forecasts of a line through each training share, all from one pass over the samples."""
+    levels = [Level(n, (_NOON,), r) for n, r in K.TRAINING_SCALES.items()]
+    fits = fit_levels(_noon_samples(spark, folder), levels).filter("error is null")
+    shown = fits.select("plant_id", F.col("experiment_name").alias("training_scale"), "sample_idx", F.col("y_pred")[_NOON].alias("y_pred"))
+    return _rounded(shown, 6, "y_pred")
+
+
+def _trained(study):
+    def run(spark, folder):
+        return U.run_study(X.stored_hours(spark, folder), study, [K.LINEAR_MODEL])[0]
+
+    return run
+
+
+for _name, _study in (
+    ("study_seasonal_linear", "seasonal_effect"),
+    ("study_hourly_linear", "hourly_effect"),
+    ("study_scale_linear", "training_scale"),
+    ("study_no_shuffle_linear", "no_shuffle"),
+    ("study_sliding_linear", "dataset_extension"),
+):
+    query(_name)(_trained(_study))

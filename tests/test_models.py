@@ -7,8 +7,11 @@ from hours import full_days
 from pyspark.sql import functions as F
 
 from noonward import constants as K
+from noonward.operators import gram as M
 from noonward.operators import lagged as G
 from noonward.operators import linear as L
+from noonward.operators import splits as S
+from noonward.operators import windows as W
 from noonward.operators.trees import fit_trees, save_models, tree_model
 from noonward.plans import experiments as E
 from noonward.plans import studies as U
@@ -209,6 +212,43 @@ def test_runs_follow_each_plants_settings(spark, hourly):
     assert again["b"]["test_samples"] == plain["b"]["test_samples"]
 
 
+def test_levels_from_one_pass_equal_fits_one_by_one(spark, hourly, monkeypatch):
+    hours = hourly(driven("a", 1, n=90, noise=4.0) + driven("b", 2, n=20, noise=4.0) + full_days("c", "2022-01-01", 2))
+    other, weather = K.HIGH[1], K.IRRADIANCE[0]
+    named = hours.withColumn(other + K.FORECAST_SUFFIX, F.col(weather + K.FORECAST_SUFFIX) * F.rand(3) + F.col("Hour"))
+    missing = (F.col("plant_id") == "b") & (F.col("date") == "2022-01-07") & (F.col("Hour") == 5)
+    named = named.withColumn(other + K.FORECAST_SUFFIX, F.when(~missing, F.col(other + K.FORECAST_SUFFIX)))
+    tiers = [E.base_experiment("Linear", weather_category=w, time_encoding=t, train_ratio=r, shuffle=s, name=f"{w}-{t}-{r}-{s}")
+             for w, t, r, s in [("solar_irradiance_only", False, 0.8, True), ("high_weather", False, 0.8, True), ("high_weather", True, 0.3, True),
+                                ("solar_irradiance_only", False, 0.6, False), ("solar_irradiance_only", False, 0.2, False)]]
+    assert sorted(map(len, E.families(tiers, named))) == [2, 3]
+    keys = ["plant_id", "experiment_name", "sample_idx"]
+    together = E.run_fits(named, tiers).orderBy(*keys).toPandas()
+    monkeypatch.setattr(E, "families", lambda *a: [])
+    apart = E.run_fits(named, tiers).orderBy(*keys).toPandas()
+    same = [*keys, "date", "end_dt", "param_count", "error"]
+    assert together[same].equals(apart[same])
+    good = together["error"].isna()
+    assert good.sum() > 100 and np.abs(np.vstack(together["y_pred"][good]) - np.vstack(apart["y_pred"][good])).max() < 1e-7
+    counts = together[good].groupby(["plant_id", "experiment_name"]).size()
+    assert counts["b", "solar_irradiance_only-False-0.8-True"] >= counts["b", "high_weather-False-0.8-True"]
+
+
+def test_sums_by_rank_merge_by_addition(spark, hourly):
+    hours = hourly(driven("a", 1, n=30))
+    e = E.base_experiment("Linear", weather_category="solar_irradiance_only")
+    prepared = E.prepare_for(hours, [e])[e.sample_key]
+    samples = E.flat_samples(W.daily_samples(prepared, 0, split=S.daily_rank(F.lit(True))), "rank", "n_samples")
+    table = M.sums_by_rank(samples, [0.2, 0.5, 0.8])
+    rows = sorted(samples.collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in rows] == list(range(len(rows)))
+    z = np.array([[1.0, *r["features"], *r["y"]] for r in rows])
+    for share in (0.2, 0.5, 0.8):
+        n = int(len(rows) * share)
+        got = M.first_ranges(table, share).first()
+        assert got["n"] == n and np.allclose(np.reshape(got["sums"], (49, 49)), z[:n].T @ z[:n])
+
+
 SETTINGS = "plant_id string, start_date string, end_date string, train_ratio double, weather_category string"
 
 
