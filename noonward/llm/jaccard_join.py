@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noonward.llm.common import slices
+from noonward.llm.common import slices, unused
 from noonward.llm.components import components
+from noonward.llm.skew import join_counted
 from noonward.session import discard, store
 
 
@@ -122,7 +123,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(docs: DataFrame, s: Settings, listed: np.ndarray) -> DataFrame:
-    """doc_id, n, digest (hi, lo) and prefix of each row of (doc_id, text)."""
+    """doc_id, tag, n, digest (hi, lo) and prefix of each row of (doc_id, tag, text)."""
 
     def run(batches):
         for batch, texts in slices(batches, "text"):
@@ -130,6 +131,7 @@ def _sets(docs: DataFrame, s: Settings, listed: np.ndarray) -> DataFrame:
             digests = [set_digest(m) for m in sets]
             columns = {
                 "doc_id": batch.column("doc_id"),
+                "tag": batch.column("tag"),
                 "n": pa.array([len(m) for m in sets], pa.int64()),
                 "hi": pa.array([d[0] for d in digests], pa.int64()),
                 "lo": pa.array([d[1] for d in digests], pa.int64()),
@@ -137,7 +139,7 @@ def _sets(docs: DataFrame, s: Settings, listed: np.ndarray) -> DataFrame:
             }
             yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
-    return docs.mapInArrow(run, "doc_id long, n long, hi long, lo long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, tag binary, n long, hi long, lo long, prefix array<long>")
 
 
 def frequent_members(sets: DataFrame, s: Settings) -> np.ndarray:
@@ -257,14 +259,20 @@ def _blocks(clustered: DataFrame, s: Settings) -> DataFrame:
 
 
 def _links(docs: DataFrame, blocks: DataFrame, s: Settings) -> DataFrame:
-    """Links (a, b) between the documents of each cluster, from their full sets."""
+    """Links (a, b) between the sets of each cluster, read from the texts of the documents that they are known by.
+
+    A document's other texts, which are other sets, are told by their digests.
+    """
     # a list of documents grows with the corpus, so it is not broadcast, however short it looks on a small one
-    own = docs.select("doc_id", "text").join(blocks.hint("merge"), "doc_id")
+    own = docs.select(F.col("doc_id").alias("own"), "text").join(blocks.hint("merge"), "own")
 
     def run(batches):
         for batch, texts in slices(batches, "text"):
-            members = pa.array([m.tobytes() for m in shingle_sets(texts, s.words)], pa.binary())
-            kept = [batch.column(c) for c in ("doc_id", "cluster", "blocks", "task")]
+            sets = shingle_sets(texts, s.words)
+            own = zip(batch.column("hi").to_pylist(), batch.column("lo").to_pylist())
+            meant = [i for i, (m, digest) in enumerate(zip(sets, own)) if set_digest(m) == digest]
+            members = pa.array([sets[i].tobytes() for i in meant], pa.binary())
+            kept = [batch.column(c).take(pa.array(meant, pa.int64())) for c in ("doc_id", "cluster", "blocks", "task")]
             yield pa.RecordBatch.from_arrays([*kept, members], names=["doc_id", "cluster", "blocks", "task", "members"])
 
     sets = own.mapInArrow(run, "doc_id long, cluster long, blocks long, task long, members binary")
@@ -279,6 +287,7 @@ def _links(docs: DataFrame, blocks: DataFrame, s: Settings) -> DataFrame:
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, group in rows.groupby("cluster"):
+            group = group.drop_duplicates("doc_id")  # repeated rows
             if len(group) > 1:
                 members = [np.frombuffer(m, np.uint64) for m in group["members"]]
                 out += linked(group["doc_id"].tolist(), members, s.percent)
@@ -288,38 +297,73 @@ def _links(docs: DataFrame, blocks: DataFrame, s: Settings) -> DataFrame:
     return parted.groupBy("task", "key", "low", "high").applyInPandas(compare, "a long, b long")
 
 
-def jaccard_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text; other columns are not used).
+def jaccard_rows(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(doc_id, tag, n_shingles, component_id, component) for every row of `docs` (doc_id, tag, text).
 
-    component_id is the least doc_id among all documents that links lead to, the document's own included. Missing
-    texts and texts without words have no shingles and are linked with nothing. Rows are taken one by one: repeated
-    rows and equal texts are copies of one set. Rows without a doc_id belong to the component of their set's other
-    copies; if those have none either, the component is null, and no link goes through them.
+    As jaccard_groups; `component` is a number of the component, as two of them may have the same least doc_id if a
+    doc_id has several texts. `tag` (binary) is passed on. Sets are nodes with numbers of their own throughout.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "tag", "text")
     none = np.empty(0, np.uint64)
     counted = store(_sets(docs, s, none))
     listed = frequent_members(counted.filter("n > 0"), s)
     first = store(counted.drop("prefix"))
     again = _sets(docs, s, listed) if listed.size else counted
-    one_each = again.filter("n > 0").groupBy("hi", "lo").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
+    per_set = again.filter("n > 0").groupBy("hi", "lo").agg(
+        F.min("doc_id").alias("own"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
     )
-    one_each = store(one_each.filter("doc_id is not null").select("doc_id", "n", "prefix"))
+    per_set = store(per_set.withColumn("node", F.monotonically_increasing_id()))  # settled by being written
     discard(counted)
-    shared = store(_shared_members(one_each, listed))
+    shared = store(_shared_members(per_set.filter("own is not null").select(F.col("node").alias("doc_id"), "n", "prefix"), listed))
     once = _peeled(shared, s)
     hits = _peeled(once, s)
-    discard(one_each, shared, once)
+    discard(shared, once)
     clusters = components(_candidates(hits, s))
     sizes = hits.groupBy("doc_id").agg(F.max("n").alias("n"))
     clustered = sizes.join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
     clustered = store(clustered)
     discard(hits)
-    links = store(_links(docs, _blocks(clustered, s), s))
-    found = components(links).select(F.col("id").alias("own"), "component")
-    sets = first.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("own")).join(found, "own", "left")
-    sets = sets.select("hi", "lo", F.coalesce("component", "own").alias("component"))
-    rows = first.select("doc_id", "n", "hi", "lo").join(sets, ["hi", "lo"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    known = per_set.select(F.col("node").alias("doc_id"), "own", "hi", "lo")
+    links = store(_links(docs, _blocks(clustered, s).join(known, "doc_id"), s))
+    found = components(links).select(F.col("id").alias("node"), "component")
+    named = per_set.select("hi", "lo", "node", "own", "copies").join(found, "node", "left")
+    named = store(named.withColumn("component", F.coalesce("component", "node")))
+    least = named.groupBy("component").agg(F.min("own").alias("component_id"), F.count(F.lit(1)).alias("held"))
+    sets = join_counted(named, least, ["component"], "held", named.count())
+    sets = store(sets.select("hi", "lo", "copies", "component", "component_id"))
+    total = sets.agg(F.sum("copies")).first()[0] or 0
+    discard(per_set, clustered, links, named)
+    with_words = join_counted(first.filter("n > 0"), sets, ["hi", "lo"], "copies", total)
+    others = first.filter("n = 0").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+    shown = ["doc_id", "tag", F.col("n").alias("n_shingles"), "component_id", "component"]
+    return with_words.select(*shown).unionByName(others.select(*shown))
+
+
+def jaccard_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text; other columns are not used).
+
+    component_id is the least doc_id among all documents that links lead to, the document's own included. Missing
+    texts and texts without words have no shingles and are linked with nothing. Rows are taken one by one: repeated
+    rows and equal texts are copies of one set, different texts under one doc_id are sets of their own. Rows without a
+    doc_id belong to the component of their set's other copies; if those have none either, the component is null, and
+    no link goes through them.
+    """
+    tagged = docs.select("doc_id", F.lit(None).cast("binary").alias("tag"), "text")
+    return jaccard_rows(tagged, s).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The rows of `docs` (doc_id, text and others) without near copies: one document of each component stays.
+
+    It is that of the least doc_id, and of several texts there the one of the least digest; of equal rows, and rows
+    that differ in other columns alone, one stays. Rows without words or without a doc_id stay, and so do different
+    texts under one doc_id that are not linked.
+    """
+    tag = unused(docs, "_tag")
+    tagged = docs.withColumn(tag, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    rows = jaccard_rows(tagged.select("doc_id", F.col(tag).alias("tag"), "text"), s).filter("doc_id is not null")
+    first = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "tag")).alias("first"))
+    kept = first.select("first.*").union(rows.filter("component is null").select("doc_id", "tag"))
+    kept = kept.distinct().withColumnRenamed("tag", tag)
+    there = tagged.filter("doc_id is not null").join(kept, ["doc_id", tag], "left_semi")
+    return there.dropDuplicates(["doc_id", tag]).unionByName(tagged.filter("doc_id is null")).select(*docs.columns)

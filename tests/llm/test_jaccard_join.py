@@ -159,3 +159,26 @@ def test_components(spark):
     got = dict(map(tuple, components(df).collect()))
     assert got == {i: 100 for i in range(100, 161)} | {3: 3, 5: 3, 9: 3}
     assert components(df.filter("a < 0")).count() == 0
+
+
+def test_several_texts_under_one_id(documents):
+    """Long and short texts share their ids; no link of the short ones is lost."""
+    s = jj.Settings(words=1, percent=50)
+    rng = random.Random(8)
+    rows = []
+    for i in range(12):
+        base = [f"s{i}w{k}" for k in range(8)]
+        rows += [(i, " ".join(base)), (100 + i, " ".join([*base[:6], "x", "y"]))]
+        long = [f"l{i % 3}w{k}" for k in range(300)]
+        rows += [(i, " ".join(edited(rng, long, 20))), (100 + i, " ".join(edited(rng, long, 30)))]
+    assert found(documents, rows, s) == sorted(brute(rows, s), key=str)
+
+
+def test_one_of_each_keeps_other_texts_of_an_id(documents):
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(5, text), (5, other), (5, other), (3, text + " more"), (9, "quite different words here now"), (9, other + " end"),
+            (None, text), (None, text), (7, ""), (7, None), (8, "")]
+    got = sorted(((r.doc_id, r.text) for r in jj.one_of_each(documents(rows)).collect()), key=str)
+    want = [(5, other), (3, text + " more"), (9, "quite different words here now"), (None, text), (None, text), (7, ""), (8, "")]
+    assert [r if r[1] else (r[0], "") for r in got] == sorted(want, key=str)
