@@ -146,7 +146,7 @@ def op6_decontamination(spark, folder):
 def op8_pii(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = pii.find_spans(pii.detect(docs).drop("text"))
-    counts = [F.size(pii.of_kind("base", k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [F.size(pii.of_kind("base", k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
     base = F.sha2(pii.listed(F.col("base")), 256)
     return found.select("doc_id", *counts, base.alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
