@@ -158,7 +158,7 @@ def run_studies(
 ) -> DataFrame:
     """Run the chosen studies and save their tables; returns a log of (study, status, started, ended, error).
 
-    A lost executor or a full disk is no result of a study and ends the run.
+    Errors of Spark's own, as after a full disk, are no result of a study and end the run.
     """
     from datetime import datetime, timezone
 
@@ -170,8 +170,9 @@ def run_studies(
         started = datetime.now(timezone.utc)
         error = None
         try:
-            save_study(study, *run_study(hours, study, models, settings), folder)
-        except (ValueError, IllegalArgumentException) as problem:  # a study that cannot be run is logged, the others go on
+            own = () if settings is None else (settings,)
+            save_study(study, *run_study(hours, study, models, *own), folder)
+        except (ValueError, RuntimeError, IllegalArgumentException) as problem:  # a study that cannot be run is logged, the others go on
             error = str(problem)
         ended = datetime.now(timezone.utc)
         log.append((study, "FAILED" if error else "SUCCESS", started, ended, error))
