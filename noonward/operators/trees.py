@@ -43,7 +43,8 @@ def with_plant_behaviour(samples: DataFrame) -> DataFrame:
     target goes with the features (a correlation of daily means, 0 where there is none)."""
     mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + finite(x)) / F.size(c)
     days = samples.filter("part = 'train'").select("plant_id", mean("features").alias("x"), mean("y").alias("y"))
-    plants = days.groupBy("plant_id").agg(F.avg("y").alias("_mean"), F.stddev_pop("y").alias("_spread"), F.corr("x", "y").alias("_goes"))
+    goes = F.covar_pop("x", "y") / F.nullif(F.stddev_pop("x") * F.stddev_pop("y"), F.lit(0.0))
+    plants = days.groupBy("plant_id").agg(F.avg("y").alias("_mean"), F.stddev_pop("y").alias("_spread"), goes.alias("_goes"))
     told = [finite(c) for c in ("_mean", "_spread", "_goes")]
     joined = samples.join(plants, "plant_id", "left")
     return joined.withColumn("_x", F.concat(F.transform("features", finite), F.array(*told))).drop("_mean", "_spread", "_goes")

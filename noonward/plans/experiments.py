@@ -14,12 +14,12 @@ from noonward import constants as K
 from noonward.functions.columns import all_present, clip_percent, half_even
 from noonward.operators import windows as W
 from noonward.operators.evaluate import experiment_metrics, long_forecasts
+from noonward.operators.forests import fit_trees
 from noonward.operators.gram import Level, fit_levels, places
 from noonward.operators.lagged import fit_sliding, sliding_hours
 from noonward.operators.linear import FIT_SCHEMA, KEY, fit_daily
 from noonward.operators.prepare import FeaturePlan, Prepared, plan_features, plant_settings, prepare, unscale
 from noonward.operators.splits import daily_part, daily_rank, hourly_part
-from noonward.operators.trees import fit_trees
 from noonward.plans.grid import pending, settings_key, tree_params
 from noonward.session import store, written
 from noonward.sinks.tables import append_results, batch_of
@@ -55,6 +55,8 @@ class Experiment:
     insists: tuple[str, ...] = ()
     #: Parameters of a tree model that go before those of its complexity.
     params: dict[str, float] = field(default_factory=dict)
+    #: Folder of fitted trees, by digest of samples and parameters: what is there is used again, what is not is added.
+    registry: str | None = None
 
     def settings_for(self, settings: DataFrame | None) -> DataFrame | None:
         """A plant's settings without those that the experiment insists on."""
@@ -242,7 +244,7 @@ def _fit_trees(samples: DataFrame, e: Experiment) -> DataFrame:
     """Forecasts of a tree experiment; if it cannot be fitted, one row per plant with the reason."""
     started = time.perf_counter()
     try:
-        fit, _ = fit_trees(samples, e.model, tree_params(e.complexity or "high") | e.params)
+        fit, _ = fit_trees(samples, e.model, tree_params(e.complexity or "high") | e.params, registry=e.registry)
     except (ValueError, IllegalArgumentException) as problem:  # becomes a failed result
         blank = samples.select("plant_id").distinct()
         error = F.lit(str(problem))

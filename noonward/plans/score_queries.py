@@ -586,10 +586,7 @@ def run_experiment_rows(spark, folder):
 
 
 def _trees(spark, folder, *models):
-    experiments = [
-        E.base_experiment(m, complexity="low", weather_category="solar_irradiance_only") for m in models
-    ]
-    return E.run_experiments(X.stored_hours(spark, folder), experiments)
+    return E.run_experiments(X.stored_hours(spark, folder), [E.base_experiment(m) for m in models])
 
 
 @query("rf_forecast")
