@@ -11,7 +11,7 @@ from noonward.plans import reports as R
 from noonward.plans import sql as Q
 from noonward.plans import status as P
 from noonward.plans.registry import query
-from noonward.session import shared_folder
+from noonward.session import discard, shared_folder, store
 from noonward.sinks.tables import append_new, append_results
 from noonward.sources import configs as C
 from noonward.sources.hourly import date_ranges
@@ -427,6 +427,25 @@ def agg_results(spark, folder):
     return R.aggregate_results(X.results(spark, folder).withColumn("mean_true", F.col("mae") + 40), "model")
 
 
+_PARTS = 4
+
+
+@query(
+    "agg_results_stored",
+    Q.chain(Q.RESULTS)
+    + f", r as (select * replace (rmse / (mae + 40) as nrmse) from results where status = 'SUCCESS') select model, {Q.mean_std(_M)} from r group by model",
+)
+def agg_results_stored(spark, folder):
+    """The aggregate per model from moments of batches of plants, one of them added twice."""
+    results = store(X.results(spark, folder).withColumn("mean_true", F.col("mae") + 40))
+    path = shared_folder(spark)
+    for part in [*range(_PARTS), 0]:
+        some = results.filter(F.col("plant_id").cast("long") % _PARTS == part)
+        R.add_to_aggregate(some, path, "model", "complexity", batch=f"plants-{part}")
+    discard(results)
+    return R.stored_aggregate(spark, path, "model")
+
+
 @query(
     "agg_overall",
     Q.chain(Q.RESULTS)
@@ -511,6 +530,37 @@ def complexity_presets(spark, folder):
     return levels.select("plant_id", "model", "complexity", *[take(k) for k in ("n_estimators", "max_depth", "learning_rate", "epochs")])
 
 
+_DEEP_NAMES = ["d_model", "hidden_dim", "num_layers", *[k for k in K.DEEP_SHARED if k != "learning_rate"]]
+_ALL_PRESETS = ", ".join(
+    [
+        f"('tree', '{lv}', {t}, {d}, {r}, {K.RANDOM_SEED}, -1, null, {', '.join('null' for _ in _DEEP_NAMES)}, null)"
+        for lv, (t, d, r) in K.TREE_PRESETS.items()
+    ]
+    + [
+        f"('deep', '{lv}', null, null, {K.DEEP_SHARED['learning_rate']}, null, null, {e}, {w}, {h}, {n}, "
+        + ", ".join(str(K.DEEP_SHARED[k]) for k in _DEEP_NAMES[3:])
+        + f", '{','.join(map(str, c))}')"
+        for lv, (e, w, h, n, c) in K.DEEP_PRESETS.items()
+    ]
+)
+_PRESET_NAMES = ["n_estimators", "max_depth", "learning_rate", "random_state", "verbosity", "epochs", *_DEEP_NAMES]
+
+
+@query(
+    "complexity_presets_all",
+    Q.chain(Q.PLANTS)
+    + f"""select p.plant_id, m.model, v.complexity, {', '.join(f'v.{k}::double as {k}' for k in _PRESET_NAMES)}, v.channels
+ from plants p, (values ('RF', 'tree'), ('XGB', 'tree'), ('LGBM', 'tree'), ('LSTM', 'deep'), ('GRU', 'deep'), ('Transformer', 'deep'), ('TCN', 'deep')) m(model, family)
+ join (values {_ALL_PRESETS}) v(family, complexity, {', '.join(_PRESET_NAMES)}, channels) on v.family = m.family""",
+)
+def complexity_presets_all(spark, folder):
+    """Every parameter of the presets, and the channel widths."""
+    base = G.study_grid(X.plants(spark, folder).select("plant_id"), K.DEEP_MODELS + K.TREE_MODELS)
+    levels = G.add_presets(G.vary(base.drop("complexity"), "complexity", K.COMPLEXITY_LEVELS))
+    channels = F.array_join(F.col("tcn_channels").cast("array<string>"), ",").alias("channels")
+    return levels.select("plant_id", "model", "complexity", *[F.col("params")[k].alias(k) for k in _PRESET_NAMES], channels)
+
+
 @query(
     "param_whitelist",
     Q.chain(Q.GRID)

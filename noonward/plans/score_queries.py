@@ -68,6 +68,48 @@ def predictions_sliding(spark, folder):
     )
 
 
+_RECORDED = """select p.plant_id, m.model, case when p.size % 2 = 0 then 'all_weather' end as weather_category, m.hours as lookback_hours,
+  m.hours div 24 as past_days, 'level' || p.size % 4 as complexity, true as use_pv, p.size % 3 = 0 as use_hist_weather,
+  m.hours > 24 as use_forecast, p.size % 5 = 0 as use_time_encoding, false as use_ideal_nwp, '[' || m.model || ']' as selected_weather_features,
+  p.size % 50 + 1 as epochs, m.hours % 64 as batch_size, p.size / cast(1000 as double) as learning_rate, p.size / cast(7 as double) as train_time_sec,
+  p.size / cast(70 as double) as inference_time_sec, p.size * m.hours as param_count, p.size % 50 as best_epoch, p.size / cast(10000 as double) as final_lr,
+  p.size % 11 as gpu_memory_used from plants p, m where m.model = 'mean3' or p.size % 3 > 0"""
+
+
+@query(
+    "season_hour_record",
+    Q.chain(Q.FORECASTS, Q.PLANTS, "m(model, hours) as (values ('persist', 24), ('mean3', 72))", f"s as ({_RECORDED.replace(' div ', ' // ')})")
+    + f""", f as (select plant_id, model, avg((y_true - y_pred) * (y_true - y_pred)) as mse, {Q.RMSE} as rmse, {Q.MAE} as mae,
+   {Q.R2} as r2, count(distinct sample_idx) as n from forecasts group by plant_id, model)
+ select f.plant_id, f.model, coalesce(weather_category, 'unknown') as weather_level, coalesce(lookback_hours, 24)::bigint as lookback_hours,
+  replace(coalesce(complexity, 'unknown'), 'level', '') as complexity_level, '80%' as dataset_scale, coalesce(use_pv, false) as use_pv,
+  coalesce(use_hist_weather, false) as use_hist_weather, coalesce(use_forecast, false) as use_forecast,
+  coalesce(use_time_encoding, false) as use_time_encoding, coalesce(use_ideal_nwp, false) as use_ideal_nwp, coalesce(past_days, 1)::bigint as past_days,
+  coalesce(selected_weather_features, '[]') as selected_weather_features, coalesce(epochs, 0)::bigint as epochs, coalesce(batch_size, 0)::bigint as batch_size,
+  coalesce(learning_rate, 0) as learning_rate, round_even(coalesce(train_time_sec, 0), 4) as train_time_sec,
+  round_even(coalesce(inference_time_sec, 0), 4) as inference_time_sec, coalesce(param_count, 0)::bigint as param_count, n as samples_count,
+  coalesce(best_epoch, 0)::bigint as best_epoch, coalesce(final_lr, 0) as final_lr, round_even(mse, 4) as mse, round_even(rmse, 4) as rmse,
+  round_even(mae, 4) as mae, round_even(rmse / (mae + 1e-8::double) * 100, 4) as nrmse, round_even(r2, 4) as r_square,
+  round_even(2 * mae / (mae + 1e-8::double) * 100, 4) as smape, coalesce(gpu_memory_used, 0)::bigint as gpu_memory_used,
+  'season_hour_' || lower(f.model) || '.yaml' as config_file from f left join s on s.plant_id = f.plant_id and s.model = f.model""",
+)
+def season_hour_record(spark, folder):
+    """All fields of the season and hour record, from recorded settings and figures that some plants lack."""
+    plants = X.plants(spark, folder)
+    models = F.explode(F.array(F.struct(F.lit("persist").alias("model"), F.lit(24).alias("hours")), F.struct(F.lit("mean3").alias("model"), F.lit(72).alias("hours"))))
+    source = plants.withColumn("m", models)
+    picked = _RECORDED[len("select ") : _RECORDED.index(" from plants")]
+    settings = source.alias("p").filter("m.model = 'mean3' or p.size % 3 > 0").selectExpr(*_expressions(picked))
+    rows = R.season_hour_summary(X.forecasts(spark, folder), settings)
+    whole = [f.name for f in rows.schema if f.dataType.simpleString() == "int"]
+    return rows.withColumns({c: F.col(c).cast("long") for c in whole})
+
+
+def _expressions(text: str) -> list[str]:
+    """The items of a select list without commas inside of them."""
+    return [part.strip() for part in text.split(",")]
+
+
 @query(
     "season_hour_predictions",
     Q.chain(Q.FORECASTS)
@@ -246,6 +288,16 @@ def pivot_formatted(spark, folder):
     return R.pivot_formatted(_agg_hour(spark, folder), "hour", "rmse", [*_MODELS, "Linear"])
 
 
+@query(
+    "hourly_summary_chosen",
+    f"""select hour, max(mae_mean) as mean3, cast(null as double) as "Linear" from ({_AGG_HOUR}) where model in ('mean3', 'Linear') group by hour""",
+)
+def hourly_summary_chosen(spark, folder):
+    """A choice of models that leaves one of the table's out."""
+    chosen = ["mean3", "Linear"]
+    return R.pivot_models(_agg_hour(spark, folder).filter(F.col("model").isin(chosen)), "hour", "mae_mean", chosen)
+
+
 _CHOSEN = ["persist", "mean3", "Linear"]
 
 
