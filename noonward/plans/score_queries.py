@@ -738,3 +738,47 @@ for _name, _study in (
     ("study_sliding_linear", "dataset_extension"),
 ):
     query(_name)(_trained(_study))
+
+
+def _tree_levels_sql(dimension: str, days: dict) -> str:
+    """Test samples per plant and level of a study on trees, from the numbers of its samples; `days` back by level."""
+    fcst, ctes, parts = plan_features("PV+NWP", "all_weather", False).fcst, [], []
+    for i, past in enumerate(sorted(set(days.values()))):
+        body = Q.numbered(past)
+        for word in ("present", "hits", "samples"):
+            body = re.sub(rf"\b{word}\b", f"{word}_{i}", body)
+        ctes.append(body)
+        parts += [
+            f"select plant_id, '{level}' as {dimension}, count(*) as n from samples_{i} group by plant_id" for level, d in days.items() if d == past
+        ]
+    test = "n - cast(floor(n * cast(0.8 as double)) as bigint) - cast(floor(n * cast(0.1 as double)) as bigint)"
+    rows = f"select plant_id, {dimension}, {test} as test_samples from ({' union all '.join(parts)}) where floor(n * cast(0.8 as double)) > 0"
+    whole = Q.chain(Q.DENSE, Q.kept(), Q.clean(["capacity_factor_hist"], fcst), *ctes)
+    return whole + f"select plant_id, 'RF' as model, {dimension}, 24 * test_samples as test_samples, true as in_range from ({rows}) where test_samples > 0"
+
+
+def _tree_levels(study):
+    """What each trained level has forecast, and whether its scores are finite and its errors within the scale."""
+
+    def run(spark, folder):
+        dimension = U.DIMENSION[study]
+        scores = U.run_study(X.stored_hours(spark, folder), study, ["RF"])[0]
+        good = F.col("mae").between(0.0, 100.0) & (F.col("rmse") >= F.col("mae") - 1e-9) & F.col("r2").isNotNull()
+        return scores.select("plant_id", "model", F.col(dimension).cast("string").alias(dimension), F.col("test_samples").cast("long").alias("test_samples"), good.alias("in_range"))
+
+    return run
+
+
+query("study_complexity_levels", _tree_levels_sql("complexity", {c: 1 for c in K.COMPLEXITY_LEVELS}))(_tree_levels("model_complexity"))
+query("study_lookback_levels", _tree_levels_sql("lookback_hours", {h: h // 24 for h in K.STUDY_LOOKBACKS}))(_tree_levels("lookback_window"))
+
+
+def _trained_trees(study):
+    def run(spark, folder):
+        return U.run_study(X.stored_hours(spark, folder), study, ["RF"])[1]
+
+    return run
+
+
+for _name, _study in (("study_complexity_trees", "model_complexity"), ("study_lookback_trees", "lookback_window")):
+    query(_name)(_trained_trees(_study))

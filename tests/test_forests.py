@@ -6,8 +6,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
+from noonward import constants as K
 from noonward.operators import forests as T
 from noonward.operators.trees import with_plant_behaviour
+from noonward.plans import experiments as E
+from noonward.plans import studies as U
 from noonward.session import store
 
 
@@ -155,3 +158,28 @@ def test_odd_values_and_no_training(spark):
         T.fit_trees(store(samples.filter("part = 'test'")), "RF", {}, range(1))
     with pytest.raises(ValueError):
         T.fit_trees(samples, "GBM", {}, range(1))
+
+
+def test_study_of_complexity_on_trained_trees(spark, hourly):
+    rng = np.random.default_rng(5)
+    rows = []
+    for plant in "ab":
+        for k in range(60):
+            for h in range(24):
+                ahead = float(rng.random() * 10)
+                rows.append((plant, date(2022, 1, 1) + timedelta(days=k), h, 20 + 5 * ahead, ahead, ahead))
+    scores, totals = U.run_study(hourly(rows), "model_complexity", ["RF", "Linear"])
+    got = {r["complexity"]: r for r in totals.collect()}
+    assert set(got) == set(K.COMPLEXITY_LEVELS) and {r["model"] for r in got.values()} == {"RF"}
+    assert all(r["n_plants"] == 2 and r["mae_std"] is not None for r in got.values())
+    assert got["high"]["mae_mean"] < got["mid_low"]["mae_mean"] < got["low"]["mae_mean"]
+    assert {r["test_samples"] for r in scores.collect()} == {24 * (58 - int(58 * 0.8) - int(58 * 0.1))}
+
+
+def test_experiments_take_trees_from_their_registry(spark, hourly, tmp_path, monkeypatch):
+    rows = [("a", date(2022, 1, 1) + timedelta(days=k), h, 20 + 5.0 * ((k * 7 + h) % 11), float((k * 7 + h) % 11), float((k * 7 + h) % 11)) for k in range(30) for h in range(24)]
+    e = E.base_experiment("RF", weather_category="solar_irradiance_only", complexity="low", registry=str(tmp_path / "r"))
+    fits, real = [], T.fit_forest
+    monkeypatch.setattr(T, "fit_forest", lambda *a, **k: fits.append(1) or real(*a, **k))
+    first, again = [E.run_experiments(hourly(rows), [e]).drop("train_time_sec").collect() for _ in range(2)]
+    assert len(fits) == 1 and first == again and first[0]["status"] == "SUCCESS"
