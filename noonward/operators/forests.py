@@ -11,6 +11,7 @@ Missing and infinite values are replaced as everywhere; tied splits go to the fi
 
 import hashlib
 import json
+import time
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from noonward import constants as K
 from noonward.functions.columns import finite
+from noonward.operators.linear import share_of_time
 from noonward.operators.trees import with_plant_behaviour
 from noonward.session import discard, store, written
 
@@ -362,19 +364,22 @@ def _boosted(binned: DataFrame, own: dict, kind: Kind, features: int, hours: int
 
 
 def score(samples: DataFrame, forest: Forest) -> DataFrame:
-    """Forecasts of the test part in scaled units, for all hours the forest knows.
+    """Forecasts of the test part in scaled units, for all hours the forest knows, and each sample's share of the time they took.
 
     The plant's behaviour is taken from the training part of the same samples.
     """
     text = forest.to_json()
 
-    @F.pandas_udf("array<double>")
-    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("y_pred array<double>, seconds double")
+    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = Forest.from_json(text)
         for x in batches:
-            yield pd.Series(list(model.predict(np.vstack(x))))
+            started = time.perf_counter()
+            found = list(model.predict(np.vstack(x)))
+            yield pd.DataFrame({"y_pred": found, "seconds": share_of_time(started, len(x))})
 
-    return _ready(samples).filter("part = 'test'").withColumn("y_pred", predicted("_x")).drop("_x")
+    test = _ready(samples).filter("part = 'test'").withColumn("_p", predicted("_x"))
+    return test.withColumns({"y_pred": F.col("_p.y_pred"), "inference_time_sec": F.col("_p.seconds")}).drop("_x", "_p")
 
 
 def save_forest(spark: SparkSession, forest: Forest, path: str) -> None:

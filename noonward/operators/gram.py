@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noonward import constants as K
-from noonward.operators.linear import FIT_SCHEMA, add_up, clean_matrix, least_norm
+from noonward.operators.linear import FIT_SCHEMA, add_up, clean_matrix, least_norm, share_of_time
 from noonward.operators.prepare import FeaturePlan
 
 SUMS_SCHEMA = "plant_id string, low long, high long, total long, width int, n long, sums array<double>"
@@ -117,7 +117,7 @@ def fit_levels(samples: DataFrame, levels: list[Level]) -> DataFrame:
             n, test = level.n_train(total), rows[level.first_test(total) :]
             if not n or test.empty:
                 blank = dict.fromkeys(carried) | {"plant_id": rows["plant_id"].iloc[0]}
-                failed = pd.DataFrame([blank]).assign(y_pred=None, param_count=0, train_time_sec=0.0, error="too few samples to train and test")
+                failed = pd.DataFrame([blank]).assign(y_pred=None, param_count=0, train_time_sec=0.0, inference_time_sec=0.0, error="too few samples to train and test")
                 out.append(failed.assign(experiment_name=level.name)[names])
                 continue
             x = features[:, list(level.columns)]
@@ -128,8 +128,10 @@ def fit_levels(samples: DataFrame, levels: list[Level]) -> DataFrame:
                 x_mean, y_mean = x[:n].mean(axis=0), y[:n].mean(axis=0)
                 slopes = np.linalg.lstsq(x[:n] - x_mean, y[:n] - y_mean, rcond=None)[0]
                 weights, spent = np.vstack([y_mean - x_mean @ slopes, slopes]), time.perf_counter() - started
+            started = time.perf_counter()
             guess = x[len(rows) - len(test) :] @ weights[1:] + weights[0]
-            made = test[carried].assign(y_pred=list(guess), param_count=x.shape[1], train_time_sec=spent, error=None)
+            each = share_of_time(started, len(test))
+            made = test[carried].assign(y_pred=list(guess), param_count=x.shape[1], train_time_sec=spent, inference_time_sec=each, error=None)
             out.append(made.assign(experiment_name=level.name)[names])
         return pd.concat(out, ignore_index=True)
 

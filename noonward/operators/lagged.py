@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from noonward import constants as K
 from noonward.operators import timeline as T
-from noonward.operators.linear import FIT_SCHEMA, add_up, solve_sums
+from noonward.operators.linear import FIT_SCHEMA, add_up, share_of_time, solve_sums
 from noonward.operators.prepare import Prepared, scale
 
 #: Positions of a plant in a block; about a year, so that sums are few beside the hours they stand for.
@@ -180,10 +180,11 @@ def fit_sliding(spread: DataFrame, shape: Shape, name: str) -> tuple[DataFrame,
             return pd.DataFrame(columns=names)
         model = fitted.iloc[0]
         weights = np.asarray(model["weights"]).reshape(shape.width + 1, -1)
-        guess = np.empty((len(starts), shape.future))
+        guess, started = np.empty((len(starts), shape.future)), time.perf_counter()
         for k in range(0, len(starts), SLICE):
             x = stretched(hours, starts[k : k + SLICE], shape)[:, : shape.width]
             guess[k : k + SLICE] = x @ weights[1:] + weights[0]
+        each = share_of_time(started, len(starts))
         truth = rows["t"].to_numpy(float)[starts[:, None] + np.arange(shape.future)]
         own = rows.iloc[starts]
         return pd.DataFrame(
@@ -199,6 +200,7 @@ def fit_sliding(spread: DataFrame, shape: Shape, name: str) -> tuple[DataFrame,
                 "hi": own["hi"].to_numpy(),
                 "param_count": shape.width,
                 "train_time_sec": model["train_time_sec"],
+                "inference_time_sec": each,
                 "error": None,
             }
         )[names]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 KEY = ["plant_id", "experiment_name"]
 FIT_SCHEMA = (
     "plant_id string, experiment_name string, sample_idx long, date date, end_dt timestamp_ntz, y_true array<double>, "
-    "y_pred array<double>, lo double, hi double, param_count int, train_time_sec double, error string"
+    "y_pred array<double>, lo double, hi double, param_count int, train_time_sec double, inference_time_sec double, error string"
 )
 _CARRIED = [*KEY, "sample_idx", "date", "end_dt", "y_true", "lo", "hi"]
 _INPUT = [*_CARRIED, "part", "features", "y"]
@@ -22,6 +22,11 @@ def clean_matrix(column: pd.Series) -> np.ndarray:
     return np.nan_to_num(np.vstack(column.to_numpy()).astype(float), nan=0.0, posinf=1.0, neginf=-1.0)
 
 
+def share_of_time(started: float, samples: int) -> float:
+    """A sample's share of the seconds since `started`; the sum over samples is the time of the forecast."""
+    return (time.perf_counter() - started) / max(samples, 1)
+
+
 def _fit_group(rows: pd.DataFrame) -> pd.DataFrame:
     """Centre, solve by least squares of smallest norm, predict the test rows."""
     train, test = rows[rows["part"] == "train"], rows[rows["part"] == "test"]
@@ -32,12 +37,14 @@ def _fit_group(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = clean_matrix(train["features"]), clean_matrix(train["y"])
         x_mean, y_mean = x.mean(axis=0), y.mean(axis=0)
         weights = np.linalg.lstsq(x - x_mean, y - y_mean, rcond=None)[0]
+        spent, started = time.perf_counter() - started, time.perf_counter()
         guess = (clean_matrix(test["features"]) - x_mean) @ weights + y_mean
     except (ValueError, np.linalg.LinAlgError) as problem:  # becomes a failed result
         blank = dict.fromkeys(_CARRIED) | {k: rows.iloc[0][k] for k in KEY}
-        return pd.DataFrame([blank]).assign(y_pred=None, param_count=0, train_time_sec=0.0, error=str(problem))[_OUTPUT]
-    spent = time.perf_counter() - started
-    return test[_CARRIED].assign(y_pred=list(guess), param_count=x.shape[1], train_time_sec=spent, error=None)[_OUTPUT]
+        return pd.DataFrame([blank]).assign(y_pred=None, param_count=0, train_time_sec=0.0, inference_time_sec=0.0, error=str(problem))[_OUTPUT]
+    each = share_of_time(started, len(test))
+    made = test[_CARRIED].assign(y_pred=list(guess), param_count=x.shape[1], train_time_sec=spent, inference_time_sec=each, error=None)
+    return made[_OUTPUT]
 
 
 def fit_daily(samples: DataFrame) -> DataFrame:
@@ -116,11 +123,16 @@ def _solve(rows: pd.DataFrame) -> pd.DataFrame:
 def _apply(test: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
     if test.empty or fitted.empty:
         return pd.DataFrame(columns=_OUTPUT)
+    started = time.perf_counter()
     x, model = clean_matrix(test["features"]), fitted.iloc[0]
     weights = np.asarray(model["weights"]).reshape(x.shape[1] + 1, -1)
     guess = x @ weights[1:] + weights[0]
     return test[_CARRIED].assign(
-        y_pred=list(guess), param_count=model["param_count"], train_time_sec=model["train_time_sec"], error=None
+        y_pred=list(guess),
+        param_count=model["param_count"],
+        train_time_sec=model["train_time_sec"],
+        inference_time_sec=share_of_time(started, len(test)),
+        error=None,
     )[_OUTPUT]
 
 

@@ -249,12 +249,12 @@ def _fit_trees(samples: DataFrame, e: Experiment) -> DataFrame:
         blank = samples.select("plant_id").distinct()
         error = F.lit(str(problem))
         values = {c: F.lit(None) for c in ("sample_idx", "date", "end_dt", "y_true", "y_pred", "lo", "hi")}
-        spent, width = 0.0, F.lit(0)
+        spent, width, share = 0.0, F.lit(0), F.lit(0.0)
     else:
         blank, error = fit, F.lit(None)
         values = {c: F.col(c) for c in ("sample_idx", "date", "end_dt", "y_true", "y_pred", "lo", "hi")}
-        spent, width = time.perf_counter() - started, F.size("features")
-    values |= {"param_count": width, "train_time_sec": F.lit(spent), "error": error}
+        spent, width, share = time.perf_counter() - started, F.size("features"), F.col("inference_time_sec")
+    values |= {"param_count": width, "train_time_sec": F.lit(spent), "inference_time_sec": share, "error": error}
     return _named(blank, e).select(*KEY, *[values[c].cast(t).alias(c) for c, t in _FIT_TYPES if c not in KEY])
 
 
@@ -380,7 +380,10 @@ def results_of(
 ) -> DataFrame:
     """One row per plant and experiment; those without a forecast are failures with their reason."""
     meta = fits.groupBy(*KEY).agg(
-        F.max("param_count").alias("param_count"), F.max("train_time_sec").alias("seconds"), F.max("error").alias("problem")
+        F.max("param_count").alias("param_count"),
+        F.max("train_time_sec").alias("seconds"),
+        F.sum("inference_time_sec").alias("inference_time_sec"),
+        F.max("error").alias("problem"),
     )
     scores = experiment_metrics(forecasts_of(fits, experiments), *KEY)
     work = _settings(plants, experiments, settings)
@@ -392,6 +395,7 @@ def results_of(
             "status": F.when(ok, "SUCCESS").otherwise("FAILED"),
             "scenario": F.when(ok, F.col("scenario")).otherwise("FAILED"),
             "train_time_sec": half_even(F.coalesce("seconds", F.lit(0.0)), 2),
+            "inference_time_sec": F.coalesce("inference_time_sec", F.lit(0.0)),
             "test_samples": F.coalesce("samples", F.lit(0)),
             "best_epoch": F.lit(0),
             "param_count": F.coalesce("param_count", F.lit(0)),

@@ -112,9 +112,9 @@ def summary_rows(results: DataFrame) -> DataFrame:
         "plant_id",
         "experiment_name",
         "model",
-        F.coalesce("use_hist_weather", F.lit(False)).alias("use_hist_weather"),
-        F.coalesce("use_forecast", F.lit(False)).alias("use_forecast"),
-        F.coalesce("past_days", F.lit(1)).alias("past_days"),
+        _given(results, "use_hist_weather", False, "boolean"),
+        _given(results, "use_forecast", False, "boolean"),
+        _given(results, "past_days", 1, "int"),
         F.coalesce("complexity", F.lit("low")).alias("model_complexity"),
         F.lit("high").alias("correlation_level"),
         F.coalesce("use_time_encoding", F.lit(True)).alias("use_time_encoding"),

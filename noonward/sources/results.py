@@ -14,12 +14,13 @@ RESULTS_COLUMNS = [f.split()[0] for f in RESULTS_SCHEMA.split(", ")]
 
 
 def as_results(rows: DataFrame) -> DataFrame:
-    """Bring rows to the results layout; what they lack becomes empty, a settings_key that they have stays."""
+    """Bring rows to the results layout; what they lack becomes empty, a settings_key and an inference_time_sec that they have stay."""
     types = dict(f.split() for f in RESULTS_SCHEMA.split(", "))
     given = set(rows.columns)
     return rows.select(
         *[(F.col(c) if c in given else F.lit(None)).cast(types[c]).alias(c) for c in RESULTS_COLUMNS],
         *[F.col(c).cast("string") for c in ("settings_key",) if c in given],
+        *[F.col(c).cast("double") for c in ("inference_time_sec",) if c in given],
     )
 
 

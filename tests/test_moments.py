@@ -1,9 +1,13 @@
+from datetime import date, timedelta
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from noonward.operators.moments import deviation, merged, moments
+from noonward.plans import experiments as E
 from noonward.plans import reports as R
+from noonward.session import store
 
 
 def results_table(spark, n=200, seed=3, shift=0.0):
@@ -70,3 +74,16 @@ def test_season_hour_record_takes_what_is_recorded(spark):
     assert {k: got["RF"][k] for k in told} == told and len(got["RF"]) == 30
     blank = dict(weather_level="unknown", lookback_hours=24, past_days=1, complexity_level="unknown", use_pv=False, epochs=0, inference_time_sec=0.0)
     assert {k: got["XGB"][k] for k in blank} == blank and got["XGB"]["selected_weather_features"] == "[]"
+
+
+def test_time_of_forecasts_reaches_the_records(spark, hourly):
+    rows = [("a", date(2022, 1, 1) + timedelta(days=k), h, 20 + 5.0 * ((k * 7 + h) % 11), float((k * 7 + h) % 11), float((k * 5 + h) % 13)) for k in range(40) for h in range(24)]
+    few = {"weather_category": "solar_irradiance_only"}
+    experiments = [E.base_experiment("Linear", **few), E.base_experiment("Linear", sliding=True, name="sliding", **few)]
+    experiments += [E.base_experiment("Linear", name="family", **few), E.base_experiment("XGB", complexity="low", params={"n_estimators": 2.0}, **few)]
+    results = store(E.run_experiments(hourly(rows), [*experiments, E.Experiment("LSTM", "PV")]))
+    got = {r["experiment_name"]: (r["status"], r["inference_time_sec"]) for r in results.collect()}
+    assert len(got) == 5 and sorted(v[0] for v in got.values()) == ["FAILED"] + ["SUCCESS"] * 4
+    assert all((seconds > 0) == (status == "SUCCESS") and seconds < 60 for status, seconds in got.values())
+    kept = {r["experiment_name"]: r["inference_time_sec"] for r in R.summary_rows(results).collect()}
+    assert kept == {k: v[1] for k, v in got.items()}
