@@ -181,5 +181,5 @@ def test_experiments_take_trees_from_their_registry(spark, hourly, tmp_path, mon
     e = E.base_experiment("RF", weather_category="solar_irradiance_only", complexity="low", registry=str(tmp_path / "r"))
     fits, real = [], T.fit_forest
     monkeypatch.setattr(T, "fit_forest", lambda *a, **k: fits.append(1) or real(*a, **k))
-    first, again = [E.run_experiments(hourly(rows), [e]).drop("train_time_sec").collect() for _ in range(2)]
+    first, again = [E.run_experiments(hourly(rows), [e]).drop("train_time_sec", "inference_time_sec").collect() for _ in range(2)]
     assert len(fits) == 1 and first == again and first[0]["status"] == "SUCCESS"
