@@ -1,6 +1,7 @@
 """Experiment grids, work lists and presets.
 
-A grid is spread out next to each plant with explode, so it is a narrow step: no join, no shuffle.
+A grid is spread out next to each plant with explode, without a join. The table of plants is short, so it comes as one
+partition or a few; since its grid is hundreds of times as long, plants are dealt out before.
 """
 
 from collections.abc import Callable
@@ -46,11 +47,20 @@ def _feature_choices() -> Column:
     )
 
 
+def deal_out(plants: DataFrame) -> DataFrame:
+    """Plants over as many partitions as a shuffle has, by plant_id.
+
+    The number is given, since partitions as small as these would be put together again.
+    """
+    return plants.repartition(int(plants.sparkSession.conf.get("spark.sql.shuffle.partitions")), "plant_id")
+
+
 def experiment_grid(plants: DataFrame) -> DataFrame:
     """All 284 experiments of each plant."""
     kept = [c for c in plants.columns]
     spread = (
-        plants.withColumn("m", _model_levels())
+        deal_out(plants)
+        .withColumn("m", _model_levels())
         .withColumn("f", _feature_choices())
         .filter((F.col("m.model") != K.LINEAR_MODEL) | (F.col("f.lookback_hours") == 0))
         .withColumn("use_time_encoding", F.explode(F.array(F.lit(True), F.lit(False))))
@@ -107,11 +117,12 @@ def settings_key(*values: Column | str) -> Column:
 def pending(work: DataFrame, results: DataFrame, any_status: bool = False) -> DataFrame:
     """Work without a successful result; with any_status, without any result.
 
-    Where work and results both have a settings_key, a result counts only if it was made with the same settings.
+    Where work and results both have a settings_key, a result counts only if it was made with the same settings. Both
+    sides are sorted and merged: a grid's size is estimated by that of its plants, so that Spark would broadcast it.
     """
     done = results if any_status else results.filter(SUCCEEDED)
     keys = [*RESULT_KEY, *(c for c in ("settings_key",) if c in work.columns and c in results.columns)]
-    return work.join(done.select(*keys).distinct(), keys, "left_anti")
+    return work.join(done.select(*keys).distinct().hint("merge"), keys, "left_anti")
 
 
 def pending_plants(plants: DataFrame, results: DataFrame) -> DataFrame:

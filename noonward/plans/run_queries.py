@@ -204,11 +204,11 @@ def resume_changed(spark, folder):
 
     def keyed(plants):
         values = [F.coalesce(F.col(c).cast("string"), F.lit(d)) for c, d in zip(_KEYED, _DEFAULTS)]
-        work = _work(spark, folder).join(plants, "plant_id")
+        work = _work(spark, folder).join(plants.hint("merge"), "plant_id")
         return work.select("plant_id", "experiment_name", "model", G.settings_key(*values, "experiment_name").alias("settings_key"))
 
     before = keyed(own.withColumn("end_date", F.lit(None)))
-    results = X.results(spark, folder).join(before.drop("model"), ["plant_id", "experiment_name"])
+    results = X.results(spark, folder).join(before.drop("model").hint("merge"), ["plant_id", "experiment_name"])
     return G.pending(keyed(own), results).select("plant_id", "experiment_name", "model", "settings_key")
 
 

@@ -69,7 +69,9 @@ def _fresh(existing: DataFrame, new: DataFrame, keys: list[str], arrival: tuple[
     rest = [c for c in new.columns if c not in keys]
     once = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*arrival)).alias("_r")).select(*keys, "_r.*")
     same = [F.col(f"n.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
-    return once.alias("n").join(existing.select(*keys).distinct().alias("e"), same, "left_anti").select(*new.columns)
+    # merged, since existing rows may be many more than their estimate, as rows of a grid are
+    known = existing.select(*keys).distinct().hint("merge").alias("e")
+    return once.alias("n").join(known, same, "left_anti").select(*new.columns)
 
 
 def append_new(existing: DataFrame, new: DataFrame, keys: list[str], *arrival: str) -> DataFrame:

@@ -161,3 +161,32 @@ def test_sequence_features(spark):
     waves = spark.range(2).select(E.position_waves("id", 4)).collect()
     assert waves[0][0] == [0.0, 1.0, 0.0, 1.0]
     assert abs(waves[1][0][2] - 0.00999983) < 1e-7
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_grid_is_not_broadcast(spark, tmp_path):
+    plants(spark, "1", "2").write.parquet(str(tmp_path / "plants"))
+    stored = spark.read.parquet(str(tmp_path / "plants"))  # the estimate of a stored table goes by its bytes
+    grid = G.experiment_grid(stored).select("plant_id", "experiment_name", "model")
+    done = grid.filter("model = 'RF'").withColumn("status", F.lit("SUCCESS"))
+    left = G.pending(grid, done)
+    assert "BroadcastHashJoin" not in _plan(left) and left.count() == 2 * (K.GRID_SIZE - 40)
+    assert "BroadcastHashJoin" not in _plan(G.pending(grid, done, any_status=True))
+
+
+def test_known_rows_are_not_broadcast(spark, tmp_path):
+    from noonward.sinks.tables import append_new
+
+    plants(spark, "1", "2").write.parquet(str(tmp_path / "plants"))
+    grid = G.experiment_grid(spark.read.parquet(str(tmp_path / "plants"))).select("plant_id", "experiment_name", "lookback_hours")
+    both = append_new(grid.filter("plant_id = '1'"), grid, ["plant_id", "experiment_name"], "lookback_hours")
+    assert "BroadcastHashJoin" not in _plan(both) and both.count() == 2 * K.GRID_SIZE
+
+
+def test_a_grid_is_made_in_many_tasks(spark):
+    few = plants(spark, *map(str, range(200))).coalesce(1)
+    parts = G.experiment_grid(few).groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("plant_id").alias("n")).collect()
+    assert len(parts) == 4 and sum(r["n"] for r in parts) == 200
