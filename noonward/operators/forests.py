@@ -50,6 +50,10 @@ BINS = 64
 STEPS = 1 << 24
 #: Bytes of sums that a task holds at a time.
 SUMS_BYTES = 96 << 20
+#: Samples that are added up at a time. Their weights count in units of UNIT and their steps in ones, side by side in one
+#: double: exact while the weights are below FITS and the steps below half a unit, as they hardly ever are not.
+CHUNK = 4096
+UNIT, FITS = 2.0**40, 2**12 * 1.9
 #: Features whose sums travel together.
 TOGETHER = 32
 #: Boosted trees after which the targets that are left over are written down.
@@ -166,13 +170,22 @@ def weights(ids: np.ndarray, tree: int, seed: int) -> np.ndarray:
     return np.searchsorted(_POISSON, z / 2.0**64, side="right")
 
 
+def _both(at: np.ndarray, w: np.ndarray, ws: np.ndarray, features: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of weights and of weighted steps by cell, in one count where both fit into the whole numbers of a double."""
+    if w.sum() < FITS and np.abs(ws).sum() < UNIT / 2:
+        both = np.bincount(at, np.repeat(w * UNIT + ws, features), size)
+        of_n = np.rint(both / UNIT)
+        return of_n, both - of_n * UNIT
+    return np.bincount(at, np.repeat(w, features), size), np.bincount(at, np.repeat(ws, features), size)
+
+
 def _sums(batches: Iterator[pd.DataFrame], trees: Trees, nodes: np.ndarray, before: Trees | None, features: int, seed: int | None) -> Iterator[pd.DataFrame]:
     """Weights and targets by node, feature and bin, for rows (unit, node) of `nodes`, sorted."""
     width = features * BINS
     n, s = np.zeros((len(nodes), width)), np.zeros((len(nodes), width))
     cells = np.arange(features) * BINS
     units, starts = np.unique(nodes[:, 0], return_index=True)
-    for rows in batches:
+    for rows in (some.iloc[i : i + CHUNK] for some in batches for i in range(0, len(some), CHUNK)):
         bins, y = _read(rows, features)
         if before is not None:
             y = y - before.total(bins, y.shape[1])
@@ -188,9 +201,9 @@ def _sums(batches: Iterator[pd.DataFrame], trees: Trees, nodes: np.ndarray, befo
             live = (slot >= 0) & (drawn[tree] > 0)
             w = drawn[tree][live].astype(float)
             at = (cell[live] + slot[live, None] * width).ravel()
-            size = (end - start) * width
-            n[start:end] += np.bincount(at, np.repeat(w, features), size).reshape(-1, width)
-            s[start:end] += np.bincount(at, np.repeat(w * steps[live, trees.hour[u]], features), size).reshape(-1, width)
+            of_n, of_s = _both(at, w, w * steps[live, trees.hour[u]], features, (end - start) * width)
+            n[start:end] += of_n.reshape(-1, width)
+            s[start:end] += of_s.reshape(-1, width)
     out = []
     for (u, node), of_n, of_s in zip(nodes, n, s):
         if of_n.any():
@@ -332,13 +345,23 @@ def fit_forest(samples: DataFrame, model: str, params: dict[str, float], horizon
         size = -(-len(numbers) // parallelism)
         blocks = [Trees.blank(part // count, part % count, depth) for part in np.split(numbers, range(size, len(numbers), size))]
         seed = own["seed"] if bootstrap else None
+        few = _few(binned, len(blocks))
         with ThreadPoolExecutor(parallelism) as pool:
-            grown = list(pool.map(lambda t: grow(binned, t, None, depth, kind, features, seed), blocks))
+            grown = list(pool.map(lambda t: grow(few, t, None, depth, kind, features, seed), blocks))
         return Forest(Trees.joined(grown), edges, centre, span, 1.0 / own["trees"])
     finally:
         discard(binned)
 
 
+def _few(binned: DataFrame, jobs: int) -> DataFrame:
+    """Binned samples in as many partitions as it takes to keep the cluster busy with a number of jobs at a time.
+
+    Each task sends out its sums for all nodes, whatever samples it has, so that their bytes grow with the tasks; it reads
+    its samples batch by batch. The number of tasks therefore follows the cores and not the samples.
+    """
+    return binned.coalesce(-(-2 * binned.sparkSession.sparkContext.defaultParallelism // max(2, jobs)))
+
+
 def _boosted(binned: DataFrame, own: dict, kind: Kind, features: int, hours: int) -> tuple[DataFrame, Trees]:
     """One tree per hour and round on what the earlier ones left over, each shrunken by the rate, the first included.
 
@@ -348,13 +371,14 @@ def _boosted(binned: DataFrame, own: dict, kind: Kind, features: int, hours: int
     jobs = -(-binned.sparkSession.sparkContext.defaultParallelism // binned.rdd.getNumPartitions())
     parts = np.array_split(np.arange(hours), min(jobs, hours))
 
-    def next_trees(k: int, some: np.ndarray) -> Trees:
+    def next_trees(k: int, few: DataFrame, some: np.ndarray) -> Trees:
         before = Trees.joined(since).of_hours(some) if since else None
-        return grow(binned, Trees.blank([k] * len(some), some, own["depth"]), before, own["depth"], kind, features, None)
+        return grow(few, Trees.blank([k] * len(some), some, own["depth"]), before, own["depth"], kind, features, None)
 
     with ThreadPoolExecutor(len(parts)) as pool:
         for k in range(own["trees"]):
-            grown = Trees.joined(list(pool.map(partial(next_trees, k), parts)))
+            few = _few(binned, 1)
+            grown = Trees.joined(list(pool.map(partial(next_trees, k, few), parts)))
             since.append(replace(grown, value=grown.value * own["rate"]))
             if len(since) == REWRITE and k < own["trees"] - 1:
                 rest = store(binned.mapInPandas(partial(_left_over, features=features, trees=Trees.joined(since)), binned.schema))

@@ -183,3 +183,21 @@ def test_experiments_take_trees_from_their_registry(spark, hourly, tmp_path, mon
     monkeypatch.setattr(T, "fit_forest", lambda *a, **k: fits.append(1) or real(*a, **k))
     first, again = [E.run_experiments(hourly(rows), [e]).drop("train_time_sec", "inference_time_sec").collect() for _ in range(2)]
     assert len(fits) == 1 and first == again and first[0]["status"] == "SUCCESS"
+
+
+def test_tasks_that_send_sums_follow_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    table = spark.range(1000).repartition(16 * cores)
+    assert T._few(table, 8).rdd.getNumPartitions() == -(-2 * cores // 8)
+    assert T._few(table, 1).rdd.getNumPartitions() == cores
+
+
+def test_sums_side_by_side_are_exact():
+    rng = np.random.default_rng(3)
+    for rows, top in ((500, 1 << 24), (4096, 1 << 24), (4096, 1 << 36)):
+        w, ws = rng.integers(1, 5, rows).astype(float), rng.integers(-top, top, rows).astype(float)
+        at = rng.integers(0, 40, (rows, 3))
+        n, s = T._both(at.ravel(), w, ws, 3, 40)
+        for cell in range(40):
+            hit = (at == cell).sum(axis=1)
+            assert n[cell] == (w * hit).sum() and s[cell] == (ws * hit).sum()
