@@ -3,8 +3,8 @@
 Base patterns find e-mail addresses, IP addresses, payment cards and phone numbers; these spans always stay.
 Wider patterns propose further, overlapping candidates: addresses with written-out signs, numbers with other
 separators, numbers without a country code, and runs of letters and digits that may be keys or tokens. What fails a
-check of its kind (octets, check digit, number of digits) is out. Gradient-boosted trees, fitted on a bounded sample
-of candidates of each kind, score the rest by format and context.
+check of its kind (octets, check digit, number of digits) is out. Gradient-boosted trees, fitted on all
+labelled candidates, score the rest by format and context.
 
 Numbers and addresses are right on a base span of their kind and wrong if they fail a check or lie on a base span of
 another kind; the features leave out the signs that the base patterns hang on, so that the trees carry over to other
@@ -17,7 +17,7 @@ All patterns are possessive or bounded, so that long runs of one character are r
 """
 
 from dataclasses import dataclass, field
-from functools import reduce
+from math import isqrt
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -266,28 +266,33 @@ def probability(model: Model, c: Column) -> Column:
     return 1 / (1 + F.exp(-2 * margin))
 
 
-def fit(detected: DataFrame, sample: int = 25_000, rounds: int = 10, depth: int = 3, precision: float = 0.99) -> Model:
-    """Trees and thresholds from at most `sample` labelled candidates of all documents, as many of each kind, chosen by
-    a hash of their features.
+def fit(detected: DataFrame, rounds: int = 10, depth: int = 3, precision: float = 0.99) -> Model:
+    """Trees and thresholds from all labelled candidates of all documents.
 
-    A quarter is held out for the thresholds: per kind the least of 100 levels from which on `precision` of the
-    held-out candidates are right, with 20 right ones at least. Where none of them is wrong, it is the level that 95 % of
-    the right ones reach. Without candidates of both sorts there is no model.
+    Each kind weighs as much as the largest, so that a rare one is learned as well. A quarter, by a hash of place and features, is held out for the thresholds: per
+    kind the least of 100 levels from which on `precision` of the held-out candidates are right, with 20 right ones at
+    least. Where none of them is wrong, it is the level that 95 % of the right ones reach. Without candidates of both
+    sorts there is no model.
     """
-    each = detected.select(F.explode("candidates").alias("c")).select("c.*")
-    drawn = F.xxhash64("kind", "start", "end", *FEATURES)
-    labelled = each.filter("label is not null").select("kind", "label", *FEATURES, drawn.alias("drawn"))
-    own = [labelled.filter(F.col("kind") == k).orderBy("drawn").limit(sample // len(KINDS)) for k in KINDS]
-    rows = store(reduce(DataFrame.unionAll, own))
-    held_out = F.pmod("drawn", F.lit(4)) == 0
-    sorts = {r[0] for r in rows.filter(~held_out).select("label").distinct().collect()}
-    if len(sorts) < 2:
+    each = detected.select(F.explode("candidates").alias("c")).select("c.*").filter("label is not null")
+    held_out = F.pmod(F.xxhash64("kind", "start", "end", *FEATURES), F.lit(4)) == 0
+    rows = store(each.select("kind", "label", *FEATURES, held_out.alias("held_out")))
+    training = rows.filter("not held_out")
+    sizes = training.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n")).collect()
+    if len({r["label"] for r in sizes}) < 2:
         return Model()
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.filter(~held_out))
-    trained = GBTClassifier(maxIter=rounds, maxDepth=depth, minInstancesPerNode=10, seed=1).fit(vectors)
+    of_kind = {k: sum(r["n"] for r in sizes if r["kind"] == k) for k in KINDS}
+    most = max(of_kind.values())
+    share = F.create_map(*[F.lit(v) for k, n in of_kind.items() if n for v in (k, most / n)])
+    weighed = training.withColumn("weight", share[F.col("kind")])
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(weighed)
+    # MLlib looks for split points in as many rows as the square of the bins: so many bins that this is all of them
+    bins = max(32, isqrt(sum(r["n"] for r in sizes)) + 1)
+    gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, minInstancesPerNode=10, maxBins=bins, weightCol="weight", seed=1)
+    trained = gbt.fit(vectors)
     trees = tuple(_tree(t._call_java("rootNode")) for t in trained.trees)
     model = Model(trees, tuple(trained.treeWeights))
-    scored = rows.filter(held_out).select("kind", "label", probability(model, F.struct(*FEATURES)).alias("p"))
+    scored = rows.filter("held_out").select("kind", "label", probability(model, F.struct(*FEATURES)).alias("p"))
     levels = scored.groupBy("kind", F.floor(F.col("p") * 100).alias("level"))
     counts = levels.agg(F.sum("label").alias("right"), F.count("*").alias("all")).collect()  # 101 levels per kind
     least = {}

@@ -210,3 +210,20 @@ def test_long_runs_and_secrets_without_examples(documents):
     rows = [(1, "x1" * 10_000), (2, 'token = "' + "a1" * 20 + '"'), (3, "a" * 5_000 + " 1" * 5_000)]
     found = pii.find_spans(pii.detect(documents(rows))).collect()
     assert all(not r.spans for r in found)
+
+
+def test_every_labelled_candidate_counts(documents, monkeypatch):
+    seen = []
+
+    class Watched(pii.GBTClassifier):
+        def fit(self, rows):
+            seen.append((rows.count(), rows.select("is_phone").filter("is_phone = 1").count(), self.getMaxBins()))
+            return super().fit(rows)
+
+    monkeypatch.setattr(pii, "GBTClassifier", Watched)
+    rows = [(i, " ".join(f"+1 {200 + i % 700} 555 {1000 + k}; 1999 2020 33{k % 10}" for k in range(20)) + " host 1.2.3.999") for i in range(320)]
+    detected = pii.detect(documents(rows))
+    labelled = detected.selectExpr("inline(candidates)").filter("label is not null and is_phone = 1").count()
+    pii.fit(detected, rounds=1)
+    assert labelled >= 6_400 and 0.7 * labelled < seen[0][1] < 0.8 * labelled
+    assert seen[0][2] ** 2 >= seen[0][0]
