@@ -11,10 +11,11 @@ and again for each frequent n-gram in its reach, since leaving those for last le
 2. Prefix members are dealt out by n-gram; those that only one set holds go no further.
 3. Sets that share fewer members than they must are dropped, and again with what is left of each n-gram's sets.
 4. Pairs that share as many members as they must connect the rest into clusters. A cluster is not a result: it is
-   a set of documents outside which they have no links. Large ones are cut into blocks, and each pair of blocks is
-   a task.
-5. In each task, full sets are compared exactly. A breadth-first search compares the set at hand with all that
-   are not reached yet, so that copies cost one comparison each, and no link between components is missed.
+   a set of documents outside which they have no links. Large ones, which common lines hold together, are parted by
+   what is rare inside of them; those that stay large are cut into blocks, and each pair of blocks is a task.
+5. In each task, full sets are compared exactly. A breadth-first search compares the set at hand with those not
+   reached yet that share one of its rarest members, so that copies cost one comparison each, and no link between
+   components is missed.
 6. The links found, one per set and task at most, are joined up to components.
 """
 
@@ -34,6 +35,15 @@ from noonward.llm.skew import join_counted
 from noonward.session import discard, store
 
 
+#: The bytes between words, as bytes.split() has them.
+BLANK = np.isin(np.arange(256), [*b" \t\n\v\f\r"])
+#: What leaves the first bytes of eight, by their number.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Words that are hashed at a time, and bytes from which on a word is hashed by itself.
+AT_ONCE, LONG = 1 << 16, 64
+
+
 @dataclass(frozen=True)
 class Settings:
     """`words` per n-gram; links from `percent` of similarity on."""
@@ -69,28 +79,68 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at `starts` in `data`, which has seven bytes or more after the last word.
+
+    Eight bytes of all words are taken at a time, so words of at most eight bytes have equal hashes only if they are equal.
+    Longer words than LONG are few, and hashed one by one.
+    """
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+    out = sizes.astype(np.uint64)
+    for first in range(0, len(starts), AT_ONCE):
+        own = out[first : first + AT_ONCE]
+        long = sizes[first : first + AT_ONCE] > LONG
+        live = np.flatnonzero(~long)
+        at, left = starts[first + live], sizes[first + live]
+        while len(live):
+            taken = eight[at].view("<u8")[:, 0] & FIRST_BYTES[np.minimum(left, 8)]
+            own[live] = mixed(own[live] * MULTIPLIER + taken)
+            more = left > 8
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(long):
+            word = data[starts[first + i] : starts[first + i] + sizes[first + i]]
+            own[i] = np.frombuffer(hashlib.blake2b(word.tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return out
+
+
+def rolled(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The hashes of all runs of so many words."""
+    runs = max(0, len(hashes) - words + 1)
+    out = np.full(runs, np.uint64(words))
+    for k in range(words):
+        out = mixed(out * MULTIPLIER + hashes[k : k + runs])
+    return out
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, each once. The array given is sorted in its place."""
+    hashes.sort()
+    new = np.ones(len(hashes), bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=new[1:])
+    return hashes[new]
+
+
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     """The sorted 64-bit hashes of the distinct word n-grams of each whole text, A-Z in lower case.
 
-    A text with fewer words has its whole sequence as the only one; one without words has none.
+    A text with fewer words has its whole sequence as the only one; one without words has none. Words are found and
+    hashed in all texts at once: there is a step in Python for each text, none for each word.
     """
-    split = [t.encode().lower().split() for t in texts]
-    index = dict.fromkeys(w for row in split for w in row)
-    digests = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in index)
-    index = dict(zip(index, range(len(index))))
-    hashes = np.frombuffer(digests, np.uint64)
-    out = []
-    for row in split:
-        own = hashes[np.fromiter(map(index.__getitem__, row), np.int64, len(row))]
-        n = len(own)
-        if not n:
-            out.append(own)
-            continue
-        size = min(words, n)
-        rolled = np.full(n - size + 1, np.uint64(size))
-        for k in range(size):
-            rolled = mixed(rolled * np.uint64(0x9E3779B97F4A7C15) + own[k : n - size + 1 + k])
-        out.append(np.unique(rolled))
+    lower = [t.encode().lower() for t in texts]
+    data = np.frombuffer(b"\n".join([b"", *lower, bytes(8)]), np.uint8)  # starts and ends with a blank
+    blank = BLANK[data[:-8]]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    hashes = word_hashes(data, starts, sizes)
+    runs = rolled(hashes, words)
+    ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in lower], dtype=np.int64))
+    out, first = [], 0
+    for end in ends.tolist():
+        if end - first >= words:
+            out.append(distinct(runs[first : end - words + 1]))
+        else:
+            out.append(rolled(hashes[first:end], end - first) if end > first else hashes[:0])
+        first = end
     return out
 
 
@@ -216,37 +266,143 @@ def _shared_members(prefixes: DataFrame, listed: np.ndarray) -> DataFrame:
     return found
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of the ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 def linked(ids: list, sets: list[np.ndarray], percent: int) -> list[tuple]:
-    """Links (id, id) that join up all sets of the list that similarity joins, one per set at most."""
+    """Links (id, id) that join up all sets of the list that similarity joins, one per set at most.
+
+    Members are ranked by how many sets of the list have them, and a set of n is looked up by its n - a(n) + 1 rarest:
+    similar sets share one of these. So what is common in the list, as lines that its texts quote, is hardly looked up.
+    """
     sizes = np.array([len(m) for m in sets], np.int64)
-    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    marked = np.zeros(len(codes), bool)
-    pool, owner = codes, np.repeat(np.arange(len(sets)), sizes)  # members of the sets that are not reached yet
-    is_open, held = np.ones(len(sets), bool), len(sets)
+    starts = np.cumsum(sizes) - sizes
+    _, codes, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(held), np.int64)
+    rank[np.argsort(held, kind="stable")] = np.arange(len(held))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    ranked = np.sort(owner * len(held) + rank[codes]) - owner * len(held)  # set by set, the rarest first
+    looked = np.arange(len(ranked)) - starts[owner] < (sizes - -(-percent * sizes // 100) + 1)[owner]
+    keys, owners = ranked[looked], owner[looked]
+    firsts = np.searchsorted(owners, np.arange(len(sets) + 1))  # where a set's keys are
+    by_key = np.argsort(keys, kind="stable")
+    keys_sorted, there = keys[by_key], owners[by_key]  # the sets of each key that are not reached yet
+    is_open, open_then, left = np.ones(len(sets), bool), len(sets), len(sets)
+    low, high = np.searchsorted(keys_sorted, keys), np.searchsorted(keys_sorted, keys, "right")
+    meets = np.add.reduceat(high - low > 1, firsts[:-1])  # the keys that a set shares with any other
+    marked = np.zeros(len(held), bool)
     out = []
-    for first in range(len(sets)):
+    for first in np.flatnonzero(meets).tolist():
         queue = [first] if is_open[first] else []
+        left -= len(queue)
         is_open[first] = False
-        while queue and is_open.any():
+        while queue and left:
             x = queue.pop()
-            own = codes[starts[x] : starts[x + 1]]
-            marked[own] = True
-            shared = np.bincount(owner[marked[pool]], minlength=len(sets))
-            marked[own] = False
-            near = np.flatnonzero(is_open & (shared > 0) & (100 * shared >= percent * (sizes[x] + sizes - shared)))
-            out += [(ids[x], ids[y]) for y in near]
+            own = slice(firsts[x], firsts[x + 1])
+            near = there[_ranges(low[own], high[own] - low[own])]
+            near = np.unique(near[is_open[near]])
+            near = near[100 * np.minimum(sizes[near], sizes[x]) >= percent * np.maximum(sizes[near], sizes[x])]
+            if not len(near):
+                continue
+            mine = ranked[starts[x] : starts[x] + sizes[x]]
+            marked[mine] = True
+            found = marked[ranked[_ranges(starts[near], sizes[near])]]
+            marked[mine] = False
+            shared = np.add.reduceat(found, np.cumsum(sizes[near]) - sizes[near], dtype=np.int64)
+            near = near[100 * shared >= percent * (sizes[x] + sizes[near] - shared)]
+            out += [(ids[x], ids[y]) for y in near.tolist()]
             is_open[near] = False
+            left -= len(near)
             queue += near.tolist()
-            if 2 * (left := int(is_open.sum())) < held:
-                keep = is_open[owner]
-                pool, owner, held = pool[keep], owner[keep], left
+            if 2 * left < open_then:
+                keep = is_open[there]
+                keys_sorted, there, open_then = keys_sorted[keep], there[keep], left
+                low, high = np.searchsorted(keys_sorted, keys), np.searchsorted(keys_sorted, keys, "right")
     return out
 
 
+def _full_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """`wanted` (own, hi, lo and others) with the members of each set, read from the texts of the documents `own`.
+
+    A document's other texts, which are other sets, are told by their digests.
+    """
+    # a list of documents grows with the corpus, so it is not broadcast, however short it looks on a small one
+    own = docs.select(F.col("doc_id").alias("own"), "text").join(wanted.hint("merge"), "own")
+    passed = [c for c in wanted.columns if c not in ("own", "hi", "lo")]
+
+    def run(batches):
+        for batch, texts in slices(batches, "text"):
+            sets = shingle_sets(texts, s.words)
+            own = zip(batch.column("hi").to_pylist(), batch.column("lo").to_pylist())
+            meant = [i for i, (m, digest) in enumerate(zip(sets, own)) if set_digest(m) == digest]
+            kept = [batch.column(c).take(pa.array(meant, pa.int64())) for c in passed]
+            yield pa.RecordBatch.from_arrays([*kept, _lists([sets[i] for i in meant])], names=[*passed, "members"])
+
+    return own.mapInArrow(run, ", ".join(f"{c} long" for c in passed) + ", members array<long>")
+
+
+def _totals(clustered: DataFrame) -> DataFrame:
+    return clustered.groupBy("cluster").agg(F.sum("n").alias("total"))
+
+
+def _parted(sets: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, n, cluster): smaller clusters for the sets (doc_id, n, cluster, members) of large ones.
+
+    As at first, but members are ordered by how many sets of the cluster have them, the rarest first, and all members
+    are counted: what ties a large cluster together, as lines that many texts quote, goes last.
+    """
+    each = sets.dropDuplicates(["doc_id"]).select("cluster", "doc_id", "n", F.explode("members").alias("member"))
+    each = store(each.select("doc_id", "n", F.xxhash64("cluster", "member").alias("member")))
+    counts = each.groupBy("member").agg(F.count(F.lit(1)).alias("held"))
+    ranked = join_counted(each, counts, ["member"], "held", each.count())
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("held", "member"))
+    wanted = F.col("n") - _least_shared(s, F.col("n")) + _base_matches(s, F.col("n"))
+    prefixes = store(ranked.withColumn("at", at).filter((F.col("at") <= wanted) & (F.col("held") > 1)).drop("at", "held"))
+    once = _peeled(prefixes, s)
+    hits = _peeled(once, s)
+    found = components(_candidates(hits, s)).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
+    parts = store(hits.select("doc_id", "n").distinct().join(found, "doc_id"))
+    discard(each, prefixes, once, hits)
+    return parts
+
+
+def _split(docs: DataFrame, clustered: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
+    """`clustered` (doc_id, n, cluster) with clusters over a block parted as long as that gets them to half their size.
+
+    Those that stay large are mostly linked throughout, and compared in pairs of blocks.
+    """
+    done = clustered.filter("false").select("doc_id", "n", "cluster")
+    rest, tables = clustered, [clustered]
+    while True:
+        totals = _totals(rest).filter(F.col("total") > s.block)
+        large = rest.join(totals, "cluster")
+        done = done.unionByName(rest.join(totals, "cluster", "left_anti").select(*done.columns))
+        if totals.isEmpty():
+            break
+        wanted = large.withColumnRenamed("cluster", "before").join(known, "doc_id")
+        sets = store(_full_sets(docs, wanted.select("own", "hi", "lo", "doc_id", "n", "before", "total"), s))
+        parts = _parted(sets.select("doc_id", "n", F.col("before").alias("cluster"), "members"), s)
+        discard(sets)
+        parts = parts.join(large.select("doc_id", F.col("cluster").alias("before"), F.col("total").alias("of")), "doc_id")
+        largest = parts.groupBy("before", "cluster").agg(F.sum("n").alias("total")).groupBy("before").agg(F.max("total").alias("most"))
+        parts = store(parts.join(largest, "before"))
+        tables.append(parts)
+        stays = F.col("most") * 2 > F.col("of")
+        done = done.unionByName(parts.filter(stays).select(*done.columns))
+        rest = parts.filter(~stays).select(*done.columns)
+    if len(tables) == 1:
+        return clustered
+    found = store(done)
+    discard(*tables)
+    return found
+
+
 def _blocks(clustered: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, cluster, blocks): into how many blocks a document's cluster is cut; and a task for small clusters."""
-    totals = clustered.groupBy("cluster").agg(F.sum("n").alias("total"))
+    totals = _totals(clustered)
     # the sum of small clusters is one number, from which follows how many tasks they need
     small = totals.filter(F.col("total") <= s.block).agg(F.sum("total")).first()[0] or 0
     tasks = int(math.ceil(small / s.block)) + 1
@@ -259,23 +415,8 @@ def _blocks(clustered: DataFrame, s: Settings) -> DataFrame:
 
 
 def _links(docs: DataFrame, blocks: DataFrame, s: Settings) -> DataFrame:
-    """Links (a, b) between the sets of each cluster, read from the texts of the documents that they are known by.
-
-    A document's other texts, which are other sets, are told by their digests.
-    """
-    # a list of documents grows with the corpus, so it is not broadcast, however short it looks on a small one
-    own = docs.select(F.col("doc_id").alias("own"), "text").join(blocks.hint("merge"), "own")
-
-    def run(batches):
-        for batch, texts in slices(batches, "text"):
-            sets = shingle_sets(texts, s.words)
-            own = zip(batch.column("hi").to_pylist(), batch.column("lo").to_pylist())
-            meant = [i for i, (m, digest) in enumerate(zip(sets, own)) if set_digest(m) == digest]
-            members = pa.array([sets[i].tobytes() for i in meant], pa.binary())
-            kept = [batch.column(c).take(pa.array(meant, pa.int64())) for c in ("doc_id", "cluster", "blocks", "task")]
-            yield pa.RecordBatch.from_arrays([*kept, members], names=["doc_id", "cluster", "blocks", "task", "members"])
-
-    sets = own.mapInArrow(run, "doc_id long, cluster long, blocks long, task long, members binary")
+    """Links (a, b) between the sets of each cluster."""
+    sets = _full_sets(docs, blocks, s)
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     sets = sets.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     part = {
@@ -289,8 +430,7 @@ def _links(docs: DataFrame, blocks: DataFrame, s: Settings) -> DataFrame:
         for _, group in rows.groupby("cluster"):
             group = group.drop_duplicates("doc_id")  # repeated rows
             if len(group) > 1:
-                members = [np.frombuffer(m, np.uint64) for m in group["members"]]
-                out += linked(group["doc_id"].tolist(), members, s.percent)
+                out += linked(group["doc_id"].tolist(), group["members"].tolist(), s.percent)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     parted = sets.withColumns(part).select("task", "key", "low", "high", "cluster", "doc_id", "members")
@@ -324,6 +464,7 @@ def jaccard_rows(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     clustered = store(clustered)
     discard(hits)
     known = per_set.select(F.col("node").alias("doc_id"), "own", "hi", "lo")
+    clustered = _split(docs, clustered, known, s)
     links = store(_links(docs, _blocks(clustered, s).join(known, "doc_id"), s))
     found = components(links).select(F.col("id").alias("node"), "component")
     named = per_set.select("hi", "lo", "node", "own", "copies").join(found, "node", "left")

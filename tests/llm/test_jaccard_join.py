@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -153,6 +154,57 @@ def test_linked_joins_up_what_all_pairs_join():
                 assert root(i) == root(j)
 
 
+def test_shingles_are_runs_of_words():
+    rng = random.Random(4)
+    texts = ["", " \t\n", "a", "A b", "word " * 3000, " lead and trail ", "\v\f\r\n x", "\x00 \x00\x00 a\x00", "Ünï 12,5 \u00a0\u2003 \x1c \U0001f600"]
+    texts += ["".join(rng.choice("abAB \n\t\x00\x1c é") for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts += [" ".join("z" * rng.randrange(jj.LONG - 9, jj.LONG + 9) for _ in range(rng.randrange(9))) for _ in range(100)]
+    for words in (1, 2, 5):
+        sets = [m.tobytes() for m in jj.shingle_sets(texts, words)]
+        want = [shingles(t, words) for t in texts]
+        assert [len(m) // 8 for m in sets] == [len(w) for w in want]
+        assert len(set(sets)) == len(set(want)) == len(set(zip(sets, want)))
+        for _ in range(500):
+            i, j = rng.randrange(len(texts)), rng.randrange(len(texts))
+            assert len(np.intersect1d(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[j], np.uint64))) == len(want[i] & want[j])
+
+
+def quoting(seed, n, lines, own):
+    """Sets of one to four of so many lines, some far more common than others, and a few members of their own."""
+    rng = random.Random(seed)
+    pool = [[rng.getrandbits(63) for _ in range(12)] for _ in range(lines)]
+    picked = [{int(lines * rng.random() ** 2) for _ in range(rng.randrange(2, 5))} for _ in range(n)]
+    return [{m for i in lines for m in pool[i]} | {rng.getrandbits(63) for _ in range(own)} for lines in picked]
+
+
+def test_sets_that_quote_common_lines_are_not_all_compared():
+    """Before, each of the sets was held against all others of its cluster: over a minute."""
+    sets = [np.array(sorted(m), np.uint64) for m in quoting(6, 20_000, lines=400, own=9)]
+    began = time.process_time()
+    assert jj.linked(list(range(len(sets))), sets, 85) == []
+    assert time.process_time() - began < 20
+
+
+def test_large_clusters_are_split_by_what_is_rare_in_them(documents, monkeypatch):
+    s = jj.Settings(words=1, percent=80, **(SMALL | {"block": 1000}))
+    rng = random.Random(7)
+    texts = [[f"m{m}" for m in sorted(x)] for x in quoting(7, 150, lines=20, own=6)]
+    texts += [edited(rng, texts[k], 1) for k in range(0, 150, 10)]
+    family = [f"f{k}" for k in range(60)]
+    texts += [edited(rng, family, 3) for _ in range(40)]  # linked throughout, so it stays large
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    seen, blocks = [], jj._blocks
+
+    def largest(clustered, s):
+        own = clustered.filter("n <> 60").groupBy("cluster").sum("n").agg({"sum(n)": "max"}).first()[0]
+        seen.append(own)
+        return blocks(clustered, s)
+
+    monkeypatch.setattr(jj, "_blocks", largest)
+    assert found(documents, rows, s) == sorted(brute(rows, s), key=str)
+    assert seen[0] <= s.block
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(5, 3), (3, 9), (7, 7), (None, 4), (9, 5)]
     df = spark.createDataFrame(chain, "a long, b long")
