@@ -228,18 +228,20 @@ def _candidates(hits: DataFrame, s: Settings) -> DataFrame:
     """Pairs (a, b) that connect all documents among which there may be links.
 
     A member that few sets have says which pairs share it; pairs that share at least the smaller of their q stay,
-    counted over all such members. A member of many sets connects all of them to the first instead, so that rows
+    counted over all such members. Near copies share most members, so each list of sets is taken once, with the number
+    of members that have it. A member of many sets connects all of them to the first instead, so that rows
     never grow with the square of a group.
     """
     few = hits.filter(F.col("held") <= s.few).groupBy("member")
-    rows = few.agg(F.sort_array(F.collect_list(F.struct("doc_id", "n"))).alias("sets")).select("sets")
+    rows = few.agg(F.sort_array(F.collect_list(F.struct("doc_id", "n"))).alias("sets"))
+    lists = rows.groupBy("sets").agg(F.count(F.lit(1)).alias("times"))
 
     def later(a, i):
         near = F.filter(F.slice("sets", i + 2, s.few), lambda b: F.greatest(a.n, b.n) * s.percent <= F.least(a.n, b.n) * 100)
         return F.transform(near, lambda b: F.struct(a.doc_id.alias("a"), b.doc_id.alias("b"), F.least(a.n, b.n).alias("n")))
 
-    pairs = rows.select(F.explode(F.flatten(F.transform("sets", later))).alias("pair")).select("pair.*")
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
+    pairs = lists.select("times", F.explode(F.flatten(F.transform("sets", later))).alias("pair")).select("times", "pair.*")
+    counted = pairs.groupBy("a", "b").agg(F.sum("times").alias("shared"), F.min("n").alias("n"))
     enough = counted.filter(F.col("shared") >= _base_matches(s, F.col("n"))).select("a", "b")
     many = hits.filter(F.col("held") > s.few).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     return enough.union(many.distinct())
